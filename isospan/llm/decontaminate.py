@@ -12,13 +12,14 @@ benchmark; documents are never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, doc_view, texts
+from .common import NULL_ID, doc_view, parts, texts
 
 #: Masks of 8 tokens out of 8 to 12: each pair of substitutions in 16 equal tokens leaves one of them untouched.
 SEEDS = ("11111111", "111101101011", "110110111011", "1011010011111")
@@ -28,6 +29,8 @@ LEAST_EQUAL = 13
 COST = 2
 #: Tokens of benchmark items in one block.
 BLOCK_TOKENS = 2_000_000
+#: Unknown tokens between two documents: more than a mask leaves out in a row.
+GAP = 3
 #: ASCII signs taken off both ends of a word.
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -108,29 +111,41 @@ class Block:
         begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
         return int(same[begin:end].sum()), a + shift + begin, a + begin, end - begin
 
-    def overlaps(self, ids: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """For each item that a document's tokens hold: its best run (item, then as lay() has it)."""
-        tried: set[tuple[int, int]] = set()
-        best: dict[int, tuple[int, ...]] = {}
-        for m, (keys, owner, start) in zip(self.masks, self.seeds, strict=True):
+    def overlaps(self, texts: list[bytes], words: Vocabulary) -> list[list[tuple[int, int, int, int, int]]]:
+        """For each text, the items that it holds with their best runs (item, then as lay() has it).
+
+        The texts' tokens stand in one array, parted by unknown tokens that no mask can leave out.
+        """
+        raw = [t.split() for t in texts]
+        counts = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids = np.fromiter(map(words.__getitem__, chain.from_iterable(raw)), np.int64, int(counts.sum()))
+        owner = np.repeat(np.arange(len(raw)), counts)[ids >= 0]
+        ids = ids[ids >= 0]
+        first = np.searchsorted(owner, np.arange(len(raw) + 1))
+        spread = np.zeros(len(ids) + GAP * len(raw), np.int64)
+        spread[np.arange(len(ids)) + GAP * owner] = ids
+        begin = first[:-1] + GAP * np.arange(len(raw))
+        tried: set[tuple[int, int, int]] = set()
+        best: list[dict[int, tuple[int, ...]]] = [{} for _ in raw]
+        for m, (keys, items, start) in zip(self.masks, self.seeds, strict=True):
             if not len(keys):
                 continue
-            at, h = spaced(ids, m)
-            if not len(at):
-                continue
+            at, h = spaced(spread, m)
             lo = np.searchsorted(keys, h, "left")
             hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == h)
-            for i in hit.tolist():
-                k = int(lo[i])
+            docs = np.searchsorted(begin, at[hit], "right") - 1
+            for i, d in zip(hit.tolist(), docs.tolist(), strict=True):
+                k, where = int(lo[i]), int(at[i] - begin[d])
                 while k < len(keys) and keys[k] == h[i]:
-                    place = int(owner[k]), int(at[i]) - int(start[k])
+                    place = d, int(items[k]), where - int(start[k])
                     k += 1
                     if place not in tried:
                         tried.add(place)
-                        run = self.lay(ids, *place)
-                        if run[0] >= min(LEAST_EQUAL, len(self.ids[place[0]])):
-                            best[place[0]] = max(best.get(place[0], (0,)), (run[0], -run[1], *run[1:]))
-        return [(self.items[k], r[0], *r[2:]) for k, r in sorted(best.items())]
+                        _, item, shift = place
+                        run = self.lay(ids[first[d] : first[d + 1]], item, shift)
+                        if run[0] >= min(LEAST_EQUAL, len(self.ids[item])):
+                            best[d][item] = max(best[d].get(item, (0,)), (run[0], -run[1], *run[1:]))
+        return [[(self.items[k], r[0], *r[2:]) for k, r in sorted(b.items())] for b in best]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Block]:
@@ -146,12 +161,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block(list(zip(rows["item_id"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), strict=True)))
 
 
-def _ids(words: Vocabulary, text: bytes) -> np.ndarray:
-    raw = text.split()
-    ids = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
-    return ids[ids >= 0]
-
-
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each pair of document and benchmark item that overlap: doc_id, item_id, equal tokens, where the
     run starts in the document's and the item's tokens, and its length.
@@ -167,12 +176,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             words = Vocabulary(block.known)
-            for b in batches:
-                rows = [
-                    (doc, *x)
-                    for doc, t in zip(b.column(0).to_pylist(), texts(b), strict=True)
-                    for x in block.overlaps(_ids(words, t))
-                ]
+            for b in parts(batches):
+                found = block.overlaps(texts(b), words)
+                rows = [(doc, *x) for doc, xs in zip(b.column(0).to_pylist(), found, strict=True) for x in xs]
                 names = [x.split() for x in FOUND.split(", ")]
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays(
@@ -216,10 +222,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             words = Vocabulary(block.known)
-            for b in batches:
-                if b.num_rows:
-                    raw = b.column(at).cast(pa.binary()).to_pylist()
-                    yield b.filter(pa.array([not block.overlaps(_ids(words, t or b"")) for t in raw], pa.bool_()))
+            for b in parts(batches):
+                raw = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
+                yield b.filter(pa.array([not x for x in block.overlaps(raw, words)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

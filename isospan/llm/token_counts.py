@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_view, texts
+from .common import doc_view, parts, texts
 
 #: How the byte-level vocabularies cut text before merging: a fixed value of their format.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -128,14 +128,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                raw = texts(part)
-                n = counter([t.decode("utf-8", "replace") for t in raw])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
+        for b in parts(batches):
+            raw = texts(b)
+            n = counter([t.decode("utf-8", "replace") for t in raw])
+            over = pa.array([x > limit for x in n], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(map(len, raw), pa.int64()), pa.array(n, pa.int64()), over],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+            )
 
     return doc_view(docs).mapInArrow(run, COUNTS)
