@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +43,13 @@ def release() -> None:
         _remove(*_written.pop())
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts its lineage, survives lost executors, and lets the
-    planner see its true size."""
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Write df to the shared folder, parted by some columns if named, and read it again: cuts its lineage, survives
+    lost executors, and lets the planner see its true size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/isospan-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +58,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def hash128(values: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes as two arrays of bigints."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, values)), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in parts of some rows; empty ones are left out."""
     for b in batches:
