@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from . import decontaminate, pii, quality_rules, token_counts
+from pyspark.sql import functions as F
+
+from . import (
+    decontaminate,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    ngram_join,
+    pii,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+)
+from .oracles import ORACLE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +32,41 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _sha256(text: str) -> F.Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", "weight", "copy", "mix_block", "slot")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_units", "n_removed", "removed", _sha256("text").alias("kept_sha256"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", _sha256("text").alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules
     book = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), rules.POLICIES[rules.CURRENT])
@@ -48,10 +92,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_token_counts": op5_token_counts,
-    "op8_quality_rules": op8_quality_rules,
-    "op9_pii": op9_pii,
-    "op10_decontamination": op10_decontamination,
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_ngram_join,
+        op3_lm_scoring,
+        op4_quality_classifier,
+        op5_token_counts,
+        op6_substring_dedup,
+        op7_line_dedup,
+        op8_quality_rules,
+        op9_pii,
+        op10_decontamination,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "table", "tokenizer_path"]

@@ -38,8 +38,9 @@ class Cutter:
     def hashes(self, words: list[bytes]) -> np.ndarray:
         if len(self.words) > 500_000:
             self.words.clear()
-        for w in set(words) - self.words.keys():
-            self.words[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in self.words:
+                self.words[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
 
     def units(self, text: bytes) -> list[tuple[bytes, int, int]]:
@@ -128,8 +129,8 @@ def _points(text: bytes, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
-    """The rows of docs with all columns, text without repeated units, and n_units, n_removed (spans) and removed, an array of (start, end) offsets in code points of the original text; these replace
-    columns of docs so named.
+    """The rows of docs with all columns, text without repeated units, and n_units, n_removed (spans) and removed, an
+    array of (start, end) offsets in code points of the original text; these replace columns of docs so named.
 
     The smallest doc_id that has a unit keeps it, in its first place; null doc_ids are one document, larger than all
     others, and rows with the same doc_id are one document. A null or empty text has no units and stays as it is.
