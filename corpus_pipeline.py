@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isospan.llm import decontaminate, quality_rules
+from isospan.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
+from isospan.llm.common import materialize
 from isospan.llm.queries import table
 
 
@@ -13,19 +15,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, quality_rules.POLICIES[quality_rules.CURRENT])
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one has; n_chars is that of what is left."""
+    left = line_dedup.dedup_lines(docs).select(docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies."""
+    return ngram_join.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with a benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality), ("decontamination", decontaminated)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the weight of its source asks, with its place in the mixture."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_join", near_copies),
+    ("decontamination", decontaminated),
+    ("mixing", mixture),
+]
 
-#: Similarity joins and array merging have no SQL form; tests hold the stages against brute force.
+#: Spaced seeds and hashed permutations have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs
