@@ -2,56 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 #: Stands in for a null doc_id wherever ids are compared: it sorts after every other id.
 NULL_ID = (1 << 63) - 1
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="isospan-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have ended by then; the folder is scratch space
-        pass
-
-
-@atexit.register
-def release() -> None:
-    """Delete the tables that materialize() wrote."""
-    while _written:
-        _remove(*_written.pop())
-
-
-def materialize(df: DataFrame, *by: str) -> DataFrame:
-    """Write df to the shared folder, parted by some columns if named, and read it again: cuts its lineage, survives
-    lost executors, and lets the planner see its true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/isospan-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["NULL_ID", "doc_view", "hash128", "materialize", "parts", "texts"]
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The batch's texts as UTF-8 bytes; null is empty."""
