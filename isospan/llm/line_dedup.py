@@ -97,16 +97,17 @@ def drops(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The rows of docs with all columns, text without the lines that a smaller doc_id has too, and n_lines (before
-    dropping) and n_dropped, which replace columns of docs so named.
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, counts: bool = True) -> DataFrame:
+    """The rows of docs with all columns, text without the lines that a smaller doc_id has too, and, if counts, n_lines
+    (before dropping) and n_dropped, which replace columns of docs so named.
 
     Lines are parted by \\n. Those whose key (see line_key) has under 10 code points stay. A null or empty text is one
     empty line and stays as it is. Rows with the same doc_id are one document: each keeps the lines that it owns,
     also those it repeats. Null doc_ids are one document, larger than all others. An empty table gives none.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    more = ["n_lines", "n_dropped"] if counts else []
+    docs = docs.drop(*more)
+    schema = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in more)])
     at = docs.columns.index("text")
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
     lost = drops(docs, batches)
@@ -124,13 +125,12 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                     h1, h2 = hash128(keys := list(map(line_key, lines)))
                     own = [not k or x not in gone for k, x in zip(keys, zip(h1.tolist(), h2.tolist(), strict=True), strict=True)]
                     lines = [x for x, k in zip(lines, own, strict=True) if k]
-                    t = b"\n".join(lines)
+                    t = t and b"\n".join(lines)
                 kept.append(t)
                 n_dropped.append(n_lines[-1] - len(lines))
             columns = [b.column(k) for k in range(b.num_columns - 1)]
             columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names
-            )
+            found = [pa.array(x, pa.int64()) for x in (n_lines, n_dropped)] if counts else []
+            yield pa.RecordBatch.from_arrays([*columns, *found], names=schema.names)
 
     return both.mapInArrow(run, schema)

@@ -92,28 +92,28 @@ def find_exponent(sources: DataFrame, target: Target) -> float:
 
 
 def weigh(docs: DataFrame, target: Target) -> DataFrame:
-    """docs: __source, __tokens. For each source its docs, tokens, blocks, weight, repeats (how often it is gone
-    through, 1 at least) and budget in tokens.
+    """docs: __source, __tokens. For each source __docs, __all (its tokens), __blocks, __weight, __repeats (how often
+    it is gone through, 1 at least) and __budget in tokens.
 
     The budgets are the smallest in the ratio of the weights under which no document is left out.
     """
-    totals = docs.groupBy("__source").agg(F.count("*").alias("docs"), F.sum("__tokens").alias("tokens"))
+    totals = docs.groupBy("__source").agg(F.count("*").alias("__docs"), F.sum("__tokens").alias("__all"))
     totals = materialize(totals)
-    everything = totals.agg(F.sum("tokens")).first()[0]
-    sources = totals.withColumn("p", F.col("tokens") / F.lit(everything or 1))
+    everything = totals.agg(F.sum("__all")).first()[0]
+    sources = totals.withColumn("p", F.col("__all") / F.lit(everything or 1))
     a = find_exponent(sources, target) if everything else 1.0
     raised = F.col("p") ** F.lit(a)
     z, least = sources.agg(F.sum(raised), F.min(raised / F.col("p"))).first()
-    block = F.greatest(F.lit(LEAST_BLOCK), F.sqrt("docs"))
+    block = F.greatest(F.lit(LEAST_BLOCK), F.sqrt("__docs"))
     return materialize(
         sources.select(
             "__source",
-            "docs",
-            "tokens",
-            F.ceil(F.col("docs") / block).alias("blocks"),
-            F.round(raised / F.lit(z or 1.0), 12).alias("weight"),
-            F.greatest(F.lit(1.0), F.round(raised / F.col("p") / F.lit(least or 1.0), 9)).alias("repeats"),
-        ).withColumn("budget", F.round(F.col("tokens") * F.col("repeats")).cast("bigint"))
+            "__docs",
+            "__all",
+            F.ceil(F.col("__docs") / block).alias("__blocks"),
+            F.round(raised / F.lit(z or 1.0), 12).alias("__weight"),
+            F.greatest(F.lit(1.0), F.round(raised / F.col("p") / F.lit(least or 1.0), 9)).alias("__repeats"),
+        ).withColumn("__budget", F.round(F.col("__all") * F.col("__repeats")).cast("bigint"))
     )
 
 
@@ -137,16 +137,16 @@ def mix_sources(docs: DataFrame, target: Target = Target()) -> DataFrame:
         }
     )
     sources = weigh(own, target)
-    dealt = own.join(sources.drop("docs"), "__source").withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("blocks")))
-    passes = F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1)
+    dealt = own.join(sources.drop("__docs"), "__source").withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("__blocks")))
+    passes = F.sequence(F.lit(0), F.ceil("__repeats").cast("int") - 1)
     # Where each block starts in each pass through its source.
-    blocks = materialize(dealt.groupBy("__source", "__block").agg(F.sum("__tokens").alias("size"), F.max("repeats").alias("repeats")))
+    blocks = materialize(dealt.groupBy("__source", "__block").agg(F.sum("__tokens").alias("__size"), F.max("__repeats").alias("__repeats")))
     in_pass = Window.partitionBy("__source", "copy").orderBy(F.xxhash64(F.lit(target.seed), "copy", "__block"), "__block")
     starts = blocks.withColumn("copy", F.explode(passes)).select(
         "__source",
         "copy",
         "__block",
-        (F.sum("size").over(in_pass.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("__start"),
+        (F.sum("__size").over(in_pass.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).alias("__start"),
     )
     in_block = Window.partitionBy("__source", "copy", "__block").orderBy("slot", "doc_id", "__tokens")
     placed = (
@@ -154,14 +154,14 @@ def mix_sources(docs: DataFrame, target: Target = Target()) -> DataFrame:
         .withColumn("slot", F.xxhash64("__id", "copy"))
         .withColumn("__within", F.sum("__tokens").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__tokens"))
         .join(starts, ["__source", "copy", "__block"])
-        .withColumn("__at", F.col("copy") * F.col("tokens") + F.col("__start") + F.col("__within"))
-        .where(F.col("__at") < F.col("budget"))
+        .withColumn("__at", F.col("copy") * F.col("__all") + F.col("__start") + F.col("__within"))
+        .where(F.col("__at") < F.col("__budget"))
     )
-    mix_block = F.floor(F.col("__at") / F.col("budget") * F.lit(target.mix_blocks)).cast("bigint")
+    mix_block = F.floor(F.col("__at") / F.col("__budget") * F.lit(target.mix_blocks)).cast("bigint")
     return placed.select(
         *docs.columns,
         F.col("__tokens").alias("n_tokens"),
-        "weight",
+        F.col("__weight").alias("weight"),
         F.col("copy").cast("bigint").alias("copy"),
         mix_block.alias("mix_block"),
         "slot",
