@@ -31,6 +31,8 @@ TARGET_RECALL = 0.9995
 BLOCK = 1024
 #: Cells of the incidence matrix that verification has in memory at once.
 CELLS = 1 << 24
+#: Bits of the filter that keeps documents out of the shuffle of shingle sets, at most; and for each candidate.
+FILTER_BITS, BITS_EACH = 1 << 28, 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(31)
@@ -217,6 +219,26 @@ def verify(members: DataFrame, trees: int, depth: int) -> DataFrame:
     return members.groupBy("comp", "i", "j").applyInArrow(run, _LINKS)
 
 
+def _only(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """docs: id, text. The rows that may be candidates: a bitmap of hashed ids, of a bounded size however many there
+    are, leaves the others where they are. What it lets through wrongly goes in the join that follows."""
+    n = candidates.count()
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (BITS_EACH * n).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = candidates.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(id), {bits}) % 64))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(bits >> 6, np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
+
+    return docs.withColumn("place", place).mapInArrow(run, "id bigint, text string, place bigint").drop("place")
+
+
 def _members(docs: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
     """The shingle sets of the candidates (id, root), once for each pair of blocks that they take part in."""
 
@@ -228,7 +250,8 @@ def _members(docs: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
 
     sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = candidates.join(sizes, "root").select("id", F.col("root").alias("comp"), "blocks")
-    own = doc_view(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").join(placed, "id").select("id", "text", "comp", "blocks")
+    own = _only(doc_view(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text"), candidates)
+    own = own.join(placed, "id").select("id", "text", "comp", "blocks")
     sets = own.mapInArrow(run, "id bigint, comp bigint, blocks int, shingles binary")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     return (
