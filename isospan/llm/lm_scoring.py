@@ -6,7 +6,8 @@ is an arc of the lattice too, with its count less a discount; the discounts' mas
 cross words, hence a text's probability is the product over its words, and the end of text.
 
 The vocabulary's own scores weight the segmentations at first; expectation maximisation over the distinct training
-words then makes them piece probabilities of this corpus. All of this works on the table of distinct words, which
+words then makes them piece probabilities of this corpus. A word that the text had before is one more arc: CACHE of the
+probability goes to the words so far, each by its part of them. All of this works on the table of distinct words, which
 Spark counts, shards and joins with the documents: words of the highest counts, of which there are at most HEAVY, go
 to the tasks as a dictionary, all others meet the documents' words in a shuffle.
 """
@@ -35,6 +36,8 @@ BUFFER = 500_000
 ROUNDS, ADDED = 2, 0.01
 #: Stands before a word in pieces; in a text it is read byte by byte.
 MARK = "▁"
+#: Probability that a word after the first is drawn from those before it in its text.
+CACHE = 0.2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20
 
@@ -251,6 +254,18 @@ def score_words(spark: SparkSession, words: DataFrame, lattice: Lattice, n: int,
     return words.mapInArrow(run, "word binary, c bigint, t bigint, logp double")
 
 
+def _earlier(row: np.ndarray, word: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each token, given in the order of texts and of places in them: the probability of its word as one of those
+    before it in its text."""
+    order = np.lexsort((word, row))
+    row, word = row[order], word[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])][: len(row)])
+    seen = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    out = np.empty(len(row))
+    out[order] = seen
+    return CACHE * out / np.maximum(place, 1)
+
+
 def _heavy(scored: DataFrame, most: int) -> DataFrame:
     """The words of the highest counts, at most so many: a histogram of the counts gives where they begin."""
     level = F.floor(F.log2("t") * 8)
@@ -268,7 +283,7 @@ def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, heavy: int
     """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     path: a sentencepiece model, readable on the driver. Tokens are the words, A-Z in lower case, and one end.
-    base_score: log10 of an add-one unigram model of the training words; score: of the lattice. A null or empty text
+    base_score: log10 of an add-one unigram model of the training words; score: of the lattice with earlier words. A null or empty text
     is an end alone. A null doc_id is trained on and stays null; repeated rows give repeated rows and count as often;
     an empty table gives none. Further columns are left out. Words without a piece are spelt in bytes.
     """
@@ -290,6 +305,7 @@ def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, heavy: int
     shared = spark.sparkContext.broadcast(
         (top["word"].to_pylist(), c > 0, np.log10((c + 1) / below), top["logp"].to_numpy())
     )
+    fresh = math.log10(1 - CACHE)
     end = int(ends > 0), math.log10((ends + 1) / below), math.log10(ends / n) if ends else 0.0
     head = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
@@ -303,12 +319,27 @@ def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, heavy: int
             flat = list(chain.from_iterable(raw))
             at = np.fromiter(map(get, flat, repeat(len(listed))), np.int64, len(flat))
             row = np.repeat(np.arange(len(raw)), sizes)
-            sums = [np.bincount(row, x[at], len(raw)) for x in (known, base, score)]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             cold = np.flatnonzero(at == len(listed))
-            rest = Counter(zip(row[cold].tolist(), map(flat.__getitem__, cold.tolist()), strict=True))
+            number: dict[bytes, int] = {}
+            word = at.copy()
+            word[cold] = [len(listed) + number.setdefault(flat[k], len(number)) for k in cold.tolist()]
+            earlier = _earlier(row, word, place)
+            # Probabilities of the words that aren't cold, whose own score is 0 here; cold ones are a product of
+            # their row's log probability, with log10(1 - CACHE) for each but a text's first word.
+            anew = score[at] + np.where(place > 0, fresh, 0.0)
+            heavy_again = (earlier > 0) & (at < len(listed))
+            anew[heavy_again] = np.log10(earlier[heavy_again] + 10 ** anew[heavy_again])
+            anew[cold[earlier[cold] > 0]] = 0
+            sums = [np.bincount(row, x, len(raw)) for x in (known[at], base[at], anew)]
+            rest: dict[tuple[int, bytes], list[float]] = {}
+            for r, k, share in zip(row[cold].tolist(), cold.tolist(), earlier[cold].tolist(), strict=True):
+                again = rest.setdefault((r, flat[k]), [])
+                if share:
+                    again.append(share)
             rid = b.column(2).to_numpy()
             heads = [
-                {"doc_id": d, "n_tokens": int(s) + 1, "known": int(k) + end[0], "base": x + end[1], "score": y + end[2]}
+                {"doc_id": d, "n_tokens": int(s) + 1, "known": int(k) + end[0], "base": x + end[1], "score": y + end[2] + fresh * (s > 0)}
                 for d, s, k, x, y in zip(b.column(0).to_pylist(), sizes, *sums, strict=True)
             ]
             # A document's own row has a key that no word has, so it meets none and stands apart from the others.
@@ -317,22 +348,24 @@ def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, heavy: int
                 [
                     pa.array(np.r_[rid, rid[np.fromiter((r for r, _ in rest), np.int64, len(rest))]]),
                     pa.array([*keys, *(w for _, w in rest)], pa.binary()),
-                    pa.array([*repeat(0, len(raw)), *rest.values()], pa.int32()),
+                    pa.array([*repeat([], len(raw)), *rest.values()], pa.list_(pa.float64())),
                     pa.array([*heads, *repeat(None, len(rest))], head),
                 ],
-                names=["rid", "word", "n", "head"],
+                names=["rid", "word", "again", "head"],
             )
 
-    out = "rid bigint, word binary, n int, head struct<doc_id:bigint,n_tokens:bigint,known:bigint,base:double,score:double>"
+    out = "rid bigint, word binary, again array<double>, head struct<doc_id:bigint,n_tokens:bigint,known:bigint,base:double,score:double>"
     rows = own.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, out)
     met = rows.join(scored.select("word", "c", "logp"), "word", "left")
-    c, n_ = F.coalesce("c", F.lit(0)), F.col("n")
+    c, n_ = F.coalesce("c", F.lit(0)), F.size("again") + 1
+    anew = F.lit(1 - CACHE) * F.pow(F.lit(10.0), "logp")
+    logp = F.aggregate("again", F.col("logp"), lambda total, share: total + F.log10(share + anew))
     total = met.groupBy("rid").agg(
         F.max("head.doc_id").alias("doc_id"),
         F.sum("head.n_tokens").alias("n_tokens"),
         F.sum(F.when(F.col("head").isNotNull(), F.col("head.known")).otherwise(F.when(c > 0, n_).otherwise(0))).alias("n_known"),
         F.sum(F.when(F.col("head").isNotNull(), F.col("head.base")).otherwise(n_ * F.log10((c + 1) / F.lit(below)))).alias("base_score"),
-        F.sum(F.when(F.col("head").isNotNull(), F.col("head.score")).otherwise(n_ * F.col("logp"))).alias("score"),
+        F.sum(F.when(F.col("head").isNotNull(), F.col("head.score")).otherwise(logp)).alias("score"),
     )
     return total.select(
         "doc_id",

@@ -106,6 +106,18 @@ def test_lattice(spark):
     for r in docs.collect():
         base = sum(math.log10((train[x] + 1) / (n + v + 1)) for x in [*r.text.split(), None])
         assert abs(base - a.base_score[r.doc_id]) < 1e-9 and a.train_tokens[r.doc_id] == n
+    # The score takes each word from those before it or from the lattice.
+    once, twice = (sum(x == k for w, x in train.items() if w) for k in (1, 2))
+    table = lm_scoring.count_words(docs)
+    lattice = lm_scoring.train(spark, table, path)
+    found = lm_scoring.score_words(spark, table, lattice, n, once / (once + 2 * twice) if once and twice else 0.5, v - 1).collect()
+    found = {r.word.decode(): 10**r.logp for r in found}
+    for r in docs.collect():
+        score, words = 0.0, r.text.split()
+        for k, w in enumerate([*words, None]):
+            p = found[w] if w else train[None] / n
+            score += math.log10(p if not k else lm_scoring.CACHE * words[:k].count(w) / k + (1 - lm_scoring.CACHE) * p)
+        assert abs(score - a.score[r.doc_id]) < 1e-6
 
 
 def test_quality_classifier(spark):
