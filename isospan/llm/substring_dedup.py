@@ -1,9 +1,10 @@
 """Repeated passages by hashing normalised units.
 
-Units are lines, and in lines of many words also segments: a segment ends where the hash of two neighbouring words
-falls in a fixed class, so a passage that is set into another line is cut at the same words there. Digests of all
-units are grouped; the earliest document keeps a unit, in its first place, and all others lose it. What is removed
-is reported by its offsets in the original text.
+Units are lines, and segments of the whole text across line breaks: a text is cut where the hash of two neighbouring
+words falls in a fixed class, so a passage is cut at the same words wherever it stands, and every cut starts a segment
+that runs to the first cut at least LEAST_WORDS on. Segments overlap and leave no words out. Digests of all units are
+grouped; the earliest document keeps a unit, in its first place, and all others lose it. What is removed is reported
+by its offsets in the original text.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, doc_view, hash128, materialize, parts, texts
+from .common import NULL_ID, doc_view, hash128, parts, texts
 
 #: Words from which a line or segment is a unit.
 LEAST_WORDS = 6
-#: Words from which a line is cut into segments too.
-LONG_LINE = 25
-#: One in so many pairs of words ends a segment.
+#: One in so many pairs of words is cut.
 CUT = 6
 _KEY = ["h1", "h2"]
 _CONTINUES = bytes(range(0x80, 0xC0))
+#: The bytes that bytes.split() takes for space.
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\v\f", np.uint8))
 
 
 class Cutter:
@@ -44,35 +45,40 @@ class Cutter:
         return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
 
     def units(self, text: bytes) -> list[tuple[bytes, int, int]]:
-        """(normalised unit, start, end) with offsets in bytes; a line comes before its segments.
+        """(normalised unit, start, end) with offsets in bytes; lines come before segments, both in order of start.
 
         Normalised: words in lower-case A-Z, parted by one space. A segment is marked, to differ from a line.
         """
-        out, at = [], 0
-        for line in text.split(b"\n"):
-            words = line.lower().split()
-            if len(words) >= LEAST_WORDS:
-                out.append((b" ".join(words), at, at + len(line)))
-                if len(words) >= LONG_LINE:
-                    out += self.segments(words, line, at)
-            at += len(line) + 1
+        words = text.lower().split()
+        if len(words) < LEAST_WORDS:
+            return []
+        raw = np.frombuffer(text, np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+        first, last = edge[::2], edge[1::2]
+        plain, at = b" ".join(words), np.concatenate([[0], np.cumsum(last - first + 1)])
+        part = lambda a, b: (plain[x : y - 1] for x, y in zip(at[a].tolist(), at[b].tolist(), strict=True))
+        ends = np.flatnonzero(raw == ord("\n"))
+        begin, ends = np.append(0, ends + 1), np.append(ends, len(raw))
+        a, b = np.searchsorted(first, begin), np.searchsorted(first, ends)
+        some = b - a >= LEAST_WORDS
+        out = list(zip(part(a[some], b[some]), begin[some].tolist(), ends[some].tolist(), strict=True))
+        a, b = self.segments(words)
+        out += zip(map(b"\x00".__add__, part(a, b)), first[a].tolist(), last[b - 1].tolist(), strict=True)
         return out
 
-    def segments(self, words: list[bytes], line: bytes, at: int) -> list[tuple[bytes, int, int]]:
+    def segments(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First words and ends of the segments. The ends of the text are cuts too, and a last segment ends there."""
         h = self.hashes(words)
         mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        ends = np.flatnonzero((mixed >> np.uint64(33)) % np.uint64(CUT) == 0) + 1
-        cuts = [0, *ends.tolist(), len(words)]
-        lower, out, pos = line.lower(), [], 0
-        for a, b in zip(cuts, cuts[1:]):
-            first = None
-            for w in words[a:b]:
-                pos = lower.index(w, pos)
-                first = pos if first is None else first
-                pos += len(w)
-            if b - a >= LEAST_WORDS:
-                out.append((b"\x00" + b" ".join(words[a:b]), at + first, at + pos))
-        return out
+        inner = np.flatnonzero((mixed >> np.uint64(33)) % np.uint64(CUT) == 0) + 1
+        cuts = np.concatenate([[0], inner, [len(words)]])
+        to = np.searchsorted(cuts, cuts + LEAST_WORDS)
+        a = np.flatnonzero(to < len(cuts))
+        b = to[a]
+        # a has all cuts up to the last that is LEAST_WORDS from the end, but that one's segment may end before.
+        if b[-1] < len(cuts) - 1:
+            a, b = np.append(a, a[-1]), np.append(b, len(cuts) - 1)
+        return cuts[a], cuts[b]
 
 
 def unit_hashes(docs: DataFrame) -> DataFrame:
@@ -103,13 +109,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(text: bytes, units: list[tuple[bytes, int, int]], lost: set[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without its lost units and those it repeats, and the removed spans in bytes. A line goes with its end."""
+    """The text without its lost units and those it repeats, and the removed spans in bytes. A line goes with its end.
+    What overlaps the first place of the same unit is no repetition."""
     h1, h2 = hash128(u for u, _, _ in units)
-    seen, spans = set(), []
+    seen: dict[tuple[int, int], int] = {}
+    spans = []
     for (u, a, b), h in zip(units, zip(h1.tolist(), h2.tolist(), strict=True), strict=True):
-        if h in lost or h in seen:
+        if h in lost or a >= seen.setdefault(h, b):
             spans.append((a, min(b + (u[0] != 0), len(text))))
-        seen.add(h)
     spans = _merged(spans)
     kept, at = [], 0
     for a, b in spans:
@@ -132,12 +139,14 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     """The rows of docs with all columns, text without repeated units, and n_units, n_removed (spans) and removed, an
     array of (start, end) offsets in code points of the original text; these replace columns of docs so named.
 
-    The smallest doc_id that has a unit keeps it, in its first place; null doc_ids are one document, larger than all
+    The smallest doc_id that has a unit keeps it, in its first place, but for words that are also in a unit, overlapping
+    it, that goes: each word removed is kept in an earlier place of its unit, or goes there in favour of one earlier yet. Null doc_ids are one document, larger than all
     others, and rows with the same doc_id are one document. A null or empty text has no units and stays as it is.
-    Units have six words or more. An empty table gives none.
+    Units have six words or more. An empty table gives none. The units are found anew for each use: they would take more
+    disk than time.
     """
     docs = docs.drop("n_units", "n_removed", "removed")
-    units = materialize(unit_hashes(docs))
+    units = unit_hashes(docs)
     shared = units.groupBy(_KEY).agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner != last")
     lost = units.join(shared.select("h1", "h2", "owner"), _KEY).where("id != owner")
     lost = lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))

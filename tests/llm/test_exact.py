@@ -202,6 +202,34 @@ def test_substring_dedup(spark):
             assert line not in r.text and texts[k - 1] in r.text
 
 
+def test_passages_go_whole_but_for_their_edges(spark):
+    rng = random.Random(9)
+    word = iter(f"w{k}" for k in range(100_000))
+    some = lambda n: [next(word) for _ in range(n)]
+    passages = [some(rng.randrange(51, 151)) for _ in range(60)]
+    texts = [" ".join([*some(9), *p, *some(9)]) for p in passages]
+    for k, p in enumerate(passages):
+        if k % 3 == 1:  # other line breaks
+            p = [x + "\n" if j % 7 == 6 else x for j, x in enumerate(p)]
+        texts.append(" ".join([*some(40 if k % 3 else 4), *p, *some(40)]))
+    texts += [" ".join(["again"] * 40), "\n".join(texts[0].split())]
+    rows = {r.doc_id: r.text for r in substring_dedup.dedup_passages(frame(spark, texts)).collect()}
+    share = []
+    for k, p in enumerate(passages):
+        assert rows[k] == texts[k]
+        left = rows[60 + k].split()
+        gone = [x not in left for x in p]
+        first, end = gone.index(True), len(gone) - gone[::-1].index(True)
+        assert all(gone[first:end])
+        assert [x for x in texts[60 + k].split() if x not in p] == [x for x in left if x not in p]
+        share.append((end - first) / len(p))
+        a, b = substring_dedup.Cutter().segments([x.encode() for x in p])
+        inside = (a > 0) & (b < len(p))
+        assert first <= a[inside].min() and end >= b[inside].max()
+    assert sum(share) / len(share) > 0.8
+    assert rows[120] == texts[120] and not rows[121].split()
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_join", "op7_line_dedup", "op8_quality_rules"])
 def test_oracles(spark, sf, name):
     db = duckdb.connect()
