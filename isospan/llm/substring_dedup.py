@@ -30,18 +30,23 @@ _CONTINUES = bytes(range(0x80, 0xC0))
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\v\f", np.uint8))
 
 
+class Hashes(dict):
+    """Hashes of words, remembered as met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Cutter:
     """Finds the units of texts; remembers the hashes of words."""
 
     def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.words = Hashes()
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         if len(self.words) > 500_000:
             self.words.clear()
-        for w in set(words):
-            if w not in self.words:
-                self.words[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
 
     def units(self, text: bytes) -> list[tuple[bytes, int, int]]:
