@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from isospan.llm import decontaminate, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, queries, substring_dedup, token_counts
@@ -162,6 +163,30 @@ def test_quality_classifier(spark):
     assert sum(quality_classifier.unpack(r.n).sum() for r in tri.collect()) == sum(c3.values())
 
 
+def test_thresholds_cover_all_trusted_text(spark):
+    texts, _ = invented(300)
+    docs = frame(spark, texts[:200]).union(frame(spark, texts[200:], lang="es").withColumn("doc_id", F.col("doc_id") + 200))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(290)], "doc_id bigint, quality int, toxic int")
+    sample = quality_classifier.Sample(docs=40, calibrate=10)
+    rows = quality_classifier.classify(docs, labels, sample).collect()
+    learnt = {r.doc_id for r in quality_classifier.trusted(docs, labels, sample)[1].collect()}
+    assert len(learnt) == 40
+    for lang in ("en", "es"):
+        held = [r for r in rows if r.lang == lang and r.doc_id < 290 and r.doc_id not in learnt]
+        mean = sum(r.log_prob for r in held) / sum(r.n_tokens for r in held)
+        smooth = [10 ** (-(r.log_prob + 20 * mean) / (r.n_tokens + 20)) for r in held]
+        assert len(held) > 50
+        assert np.allclose([r.threshold for r in rows if r.lang == lang], 1.05 * np.quantile(smooth, 0.995))
+    # A text that doesn't fit leaves room for those after it.
+    small = quality_classifier.Sample(docs=40, calibrate=10, words=1000)
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == min(learnt, key=lambda k: rank(spark, k)), F.repeat("text", 100)).otherwise(F.col("text")))
+    assert quality_classifier.trusted(longer, labels, small)[1].count() > 3
+
+
+def rank(spark, k):
+    return spark.range(1).select(F.xxhash64(F.lit(k).cast("bigint"))).first()[0]
+
+
 def discounts_of(counts):
     n = collections.Counter(counts.values())
     y = n[1] / (n[1] + 2 * n[2])
