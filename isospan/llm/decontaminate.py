@@ -11,6 +11,7 @@ benchmark; documents are never shuffled.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,25 +32,31 @@ COST = 2
 BLOCK_TOKENS = 2_000_000
 #: Unknown tokens between two documents: more than a mask leaves out in a row.
 GAP = 3
-#: ASCII signs taken off both ends of a word.
-SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 FOUND = "doc_id bigint, item_id bigint, equal int, doc_token int, item_token int, length int"
 
 
-def normal(word: bytes) -> bytes:
-    """A word in lower-case letters A-Z without signs at its ends; words of signs alone become empty and are dropped."""
-    return word.strip(SIGNS).lower()
+def normal(word: str) -> str:
+    """A word's compatibility form, case-folded, without what isn't a letter, number or mark at its ends; words of signs
+    alone become empty and are dropped."""
+    word = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", word).casefold())
+    inner = [k for k, c in enumerate(word) if unicodedata.category(c)[0] in "LNM"]
+    return word[inner[0] : inner[-1] + 1] if inner else ""
+
+
+def split(text: bytes) -> list[str]:
+    """The words as written, parted by any space that Unicode knows."""
+    return text.decode("utf-8", "replace").split()
 
 
 class Vocabulary(dict):
     """Numbers of the benchmark's words from 1; 0 for others, empty words -1. Written forms are remembered as met."""
 
-    def __init__(self, known: dict[bytes, int]):
+    def __init__(self, known: dict[str, int]):
         super().__init__()
         self.known = known
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         plain = normal(word)
         n = self.known.get(plain, 0) if plain else -1
         if len(self) > 500_000:
@@ -80,10 +87,10 @@ class Block:
     """Some benchmark items: their tokens end to end, and the hashes of their windows for each mask."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.ids, self.items = [], []
         for item, text in items:
-            words = [w for w in map(normal, text.split()) if w]
+            words = [w for w in map(normal, split(text)) if w]
             if words:
                 self.items.append(item)
                 self.ids.append(np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64))
@@ -116,7 +123,7 @@ class Block:
 
         The texts' tokens stand in one array, parted by unknown tokens that no mask can leave out.
         """
-        raw = [t.split() for t in texts]
+        raw = [split(t) for t in texts]
         counts = np.fromiter(map(len, raw), np.int64, len(raw))
         ids = np.fromiter(map(words.__getitem__, chain.from_iterable(raw)), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(raw)), counts)[ids >= 0]

@@ -322,6 +322,14 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == set(range(10, 30))
 
 
+def test_decontamination_folds_unicode(spark):
+    item = "El niño comió él «más» peñas rápidas según aquél señor, Straße ﬁnal œuvre être café crème"
+    docs = frame(spark, ["antes " + item.upper().replace(" ", "\u00a0") + "… después", "¿" + "? ¡".join(item.split()) + "?", "nada de nada"])
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = {r.doc_id: r.most_equal for r in decontaminate.report(docs, benchmark).collect()}
+    assert rows == {0: 16, 1: 16, 2: 0}
+
+
 def test_mixing(spark):
     texts, _ = invented(400)
     rows = [(k, t, "en", "big" if k % 2 else f"s{k % 10}", len(t)) for k, t in enumerate(texts)]
