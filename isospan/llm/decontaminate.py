@@ -24,7 +24,7 @@ from .common import NULL_ID, doc_view, parts, texts
 
 #: Masks of 8 tokens out of 8 to 12: each pair of substitutions in 16 equal tokens leaves one of them untouched.
 SEEDS = ("11111111", "111101101011", "110110111011", "1011010011111")
-#: A run counts with so many equal tokens, or all of a shorter item's.
+#: A run counts with so many equal tokens, or four fifths of a shorter item's.
 LEAST_EQUAL = 13
 #: What an unequal token costs a run; an equal one gains 1.
 COST = 2
@@ -65,6 +65,11 @@ class Vocabulary(dict):
         return n
 
 
+def share(length: int) -> int:
+    """Four fifths of so many tokens, rounded up."""
+    return -(-4 * length // 5)
+
+
 def spaced(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows without an unknown token under the mask, and their hashes."""
     n = len(ids) - len(mask) + 1
@@ -94,29 +99,48 @@ class Block:
             if words:
                 self.items.append(item)
                 self.ids.append(np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64))
-        shortest = min(map(len, SEEDS))
-        lengths = {len(x) for x in self.ids if len(x) < shortest}
-        self.masks = [*SEEDS, *("1" * n for n in sorted(lengths))]
-        self.seeds = []
-        for m in self.masks:
-            part = [(k, spaced(x, m)) for k, x in enumerate(self.ids) if len(m) >= shortest or len(x) == len(m)]
-            keys = np.concatenate([h for _, (_, h) in part] or [np.empty(0, np.uint64)])
-            owner = np.concatenate([np.full(len(h), k) for k, (_, h) in part] or [np.empty(0, np.int64)])
-            start = np.concatenate([a for _, (a, _) in part] or [np.empty(0, np.int64)])
+        # Where item k's four fifths are fewer than LEAST_EQUAL, it is parted into one piece more than it may have
+        # substitutions: one piece is untouched.
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for k, x in enumerate(self.ids):
+            if share(len(x)) <= LEAST_EQUAL:
+                ends = np.linspace(0, len(x), len(x) - share(len(x)) + 2).astype(int).tolist()
+                for at, end in zip(ends, ends[1:]):
+                    pieces.setdefault(end - at, []).append((k, at))
+        windows = [(m, [(k, *spaced(x, m)) for k, x in enumerate(self.ids)]) for m in SEEDS]
+        for n, places in sorted(pieces.items()):
+            part = [(k, at, spaced(self.ids[k][at : at + n], "1" * n)[1]) for k, at in places]
+            windows.append(("1" * n, [(k, np.array([at]), h) for k, at, h in part]))
+        self.masks, self.seeds = [m for m, _ in windows], []
+        for _, part in windows:
+            keys = np.concatenate([h for *_, h in part] or [np.empty(0, np.uint64)])
+            owner = np.concatenate([np.full(len(h), k) for k, _, h in part] or [np.empty(0, np.int64)])
+            start = np.concatenate([a for _, a, _ in part] or [np.empty(0, np.int64)])
             order = np.argsort(keys, kind="stable")
             self.seeds.append((keys[order], owner[order], start[order]))
 
-    def lay(self, ids: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int]:
-        """The best run of item laid over a document's tokens from shift on: equal tokens, first token in the
-        document and in the item, length."""
+    def lay(self, ids: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int] | None:
+        """The best run of item laid over a document's tokens from shift on, if it counts: equal tokens, first token in
+        the document and in the item, length. Of runs that gain as much, the one with most equal tokens, then the
+        first; the whole if no run counts, but four fifths of the item are equal."""
         x = self.ids[item]
         a, b = max(0, -shift), min(len(x), len(ids) - shift)
         same = x[a:b] == ids[a + shift : b + shift]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -COST))])
+        least, every = min(LEAST_EQUAL, share(len(x))), int(np.count_nonzero(same))
+        if every < least:
+            return None
+        equal = np.concatenate([[0], np.cumsum(same)])
+        total = (1 + COST) * equal - COST * np.arange(len(equal))
         low = np.minimum.accumulate(total)
-        end = int(np.argmax(total - low))
-        begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-        return int(same[begin:end].sum()), a + shift + begin, a + begin, end - begin
+        ends = np.flatnonzero(total - low == (total - low).max())
+        begins = np.searchsorted(-low, -low[ends])
+        best = int(np.argmax(equal[ends] - equal[begins]))
+        begin, end = int(begins[best]), int(ends[best])
+        if equal[end] - equal[begin] < least:
+            if every < share(len(x)):
+                return None
+            begin, end = 0, b - a
+        return int(equal[end] - equal[begin]), a + shift + begin, a + begin, end - begin
 
     def overlaps(self, texts: list[bytes], words: Vocabulary) -> list[list[tuple[int, int, int, int, int]]]:
         """For each text, the items that it holds with their best runs (item, then as lay() has it).
@@ -150,7 +174,7 @@ class Block:
                         tried.add(place)
                         _, item, shift = place
                         run = self.lay(ids[first[d] : first[d + 1]], item, shift)
-                        if run[0] >= min(LEAST_EQUAL, len(self.ids[item])):
+                        if run:
                             best[d][item] = max(best[d].get(item, (0,)), (run[0], -run[1], *run[1:]))
         return [[(self.items[k], r[0], *r[2:]) for k, r in sorted(b.items())] for b in best]
 

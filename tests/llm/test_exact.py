@@ -330,6 +330,21 @@ def test_decontamination_folds_unicode(spark):
     assert rows == {0: 16, 1: 16, 2: 0}
 
 
+def test_decontamination_of_short_items(spark):
+    change = lambda words, *at: " ".join(["odd"] * 5 + ["new" if k in at else w for k, w in enumerate(words)] + ["odd"] * 5)
+    cases = [(18, 2, 15), (15, 2), (15, 12), (16, 1, 14), (15, 3, 7, 11), (13, 6), (13, 4, 8), (10, 3, 6), (8, 4), (5, 2), (4,)]
+    fewer = [(18, 2, 5, 8, 11, 14), (13, 3, 6, 9), (8, 2, 5), (4, 1)]
+    items, texts = [], []
+    for k, (n, *at) in enumerate(cases + fewer):
+        items.append((k, " ".join(f"item{k}word{j}" for j in range(n))))
+        texts.append(change(items[-1][1].split(), *at))
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = {r.doc_id: (r.item_ids, r.most_equal) for r in decontaminate.report(frame(spark, texts), benchmark).collect()}
+    for k, (n, *at) in enumerate(cases):
+        assert rows[k] == ([k], n - len(at)), (n, at)
+    assert all(rows[len(cases) + k] == ([], 0) for k in range(len(fewer)))
+
+
 def test_mixing(spark):
     texts, _ = invented(400)
     rows = [(k, t, "en", "big" if k % 2 else f"s{k % 10}", len(t)) for k, t in enumerate(texts)]
