@@ -25,11 +25,11 @@ TABLES = {
     + " FROM {supplier}",
     "calendar": "SELECT DISTINCT o_orderpriority AS service_id, "
     "CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH','3-MEDIUM') THEN 1 ELSE 0 END AS monday FROM {orders}",
-    "trips": "SELECT o_orderkey AS trip_id, o_orderpriority AS service_id, o_custkey % 15 AS shape_id, "
+    "trips": "SELECT o_orderkey AS trip_id, o_orderpriority AS service_id, o_custkey % (SELECT max(user_id) + 1 FROM {events}) AS shape_id, "
     "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE 'R' || CAST(o_custkey % 42 AS STRING) END AS route_id FROM {orders}",
     "routes": "SELECT 'R' || CAST(p_partkey AS STRING) AS route_id, CASE WHEN p_partkey = 41 THEN NULL "
     "WHEN p_partkey % 14 = 0 THEN '高速 Line ' || CAST(p_partkey AS STRING) WHEN p_partkey % 10 = 9 THEN 'Line 9' "
-    "ELSE 'Line ' || CAST(p_partkey AS STRING) END AS route_long_name FROM {part} WHERE p_partkey < 42",
+    "ELSE 'Line ' || CAST(p_partkey AS STRING) END AS route_long_name FROM {part}",
     "stop_times": "SELECT trip_id, stop_id, stop_sequence, arrival_sec, arrival_sec + dwell_sec AS departure_sec FROM ("
     f"SELECT o_orderkey AS trip_id, l_suppkey AS stop_id, CAST(ROW_NUMBER() OVER ({_ORDER}) AS BIGINT) AS stop_sequence, "
     "CAST(18000 + (o_orderkey*7919) % 61200 + SUM((CAST(l_quantity AS BIGINT) % 6) * 60) OVER "
@@ -44,7 +44,7 @@ TABLES = {
     "shapes": "SELECT user_id AS shape_id, event_id AS shape_pt_sequence, "
     "CAST(42.25 AS DOUBLE) + CAST((event_id*7919) % 1000 AS DOUBLE) / 1000 * CAST(0.0833 AS DOUBLE) AS shape_pt_lat, "
     "CAST(140.875 AS DOUBLE) + CAST((event_id*6007) % 1000 AS DOUBLE) / 1000 * CAST(0.125 AS DOUBLE) AS shape_pt_lon "
-    "FROM {events} WHERE user_id < 15",
+    "FROM {events}",
 }
 
 

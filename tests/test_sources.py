@@ -56,3 +56,13 @@ def test_checked_columns(spark, tmp_path):
     rows = sources.read_population(spark, str(tmp_path / "p.csv")).collect()
     assert [(r.meshcode, r.pop_t, r.pop_65over, round(r.lat, 7)) for r in rows] == [(6340370000, 1.5, 0.0, 42.2504167)]
     assert sources.optional(lambda: sources.read_population(spark, str(tmp_path / "none.csv"))) is None
+
+
+def test_star_takes_all_rows(spark, sf):
+    from isospan.sources import star
+
+    count = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").count()
+    feed = star.star_feed(spark, sf)
+    assert feed.shapes.count() == count("events") and feed.routes.count() == count("part")
+    users = spark.read.parquet(f"{sf}/events.parquet").agg({"user_id": "max"}).first()[0]
+    assert feed.trips.agg({"shape_id": "max"}).first()[0] > min(users, 15) - 1
