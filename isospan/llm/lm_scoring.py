@@ -1,15 +1,13 @@
 """Subword lattice likelihood of documents.
 
 The pieces of an existing vocabulary span all segmentations of a word; a log-space forward recursion adds up their
-probabilities, so a word's score is its marginal probability and not that of one segmentation. A word seen in training
-is an arc of the lattice too, with its count less a discount; the discounts' mass goes to the pieces. Pieces don't
-cross words, hence a text's probability is the product over its words, and the end of text.
-
-The vocabulary's own scores weight the segmentations at first; expectation maximisation over the distinct training
-words then makes them piece probabilities of this corpus. A word that the text had before is one more arc: CACHE of the
-probability goes to the words so far, each by its part of them. All of this works on the table of distinct words, which
-Spark counts, shards and joins with the documents: words of the highest counts, of which there are at most HEAVY, go
-to the tasks as a dictionary, all others meet the documents' words in a shuffle.
+probabilities, so a word's score is its marginal probability and not that of one segmentation. Pieces don't cross
+words, hence a text's probability is the product over its words, and the end of text. Nothing else has a part in it.
+
+The vocabulary's own scores weight the segmentations at first; expectation maximisation over the training words, each
+as often as it occurs, then makes them piece probabilities of this corpus. All of this works on the table of distinct
+words, which Spark counts, shards and joins with the documents: words of the highest counts, of which there are at most
+HEAVY, go to the tasks as a dictionary, all others meet the documents' words in a shuffle.
 """
 
 from __future__ import annotations
@@ -33,16 +31,12 @@ HEAVY = 1 << 18
 #: Distinct words that a task counts before it hands them on.
 BUFFER = 500_000
 #: Rounds of expectation maximisation, and what is added to each expected count.
-ROUNDS, ADDED = 2, 0.01
+ROUNDS, ADDED = 4, 0.01
 #: Stands before a word in pieces; in a text it is read byte by byte.
 MARK = "▁"
-#: Probability that a word after the first is drawn from those before it in its text.
-CACHE = 0.2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20
 
-SCORES = "held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
-
 
 def held_out(doc_id: int | None) -> bool:
     """Whether a document is kept from training; a null doc_id is trained on."""
@@ -155,10 +149,11 @@ class Lattice:
             out[at] = self._forward(codes.shape[1], len(at), self._weights(codes))[:, -1] + self.stop
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece, of unknown bytes and of stops in all segmentations of the words."""
+    def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, of unknown bytes and of stops in all segmentations of the words, each of which
+        occurs so many times."""
         total = np.zeros(len(self.logp) + 2)
-        total[-1] = len(words)
+        total[-1] = times.sum()
         for at, codes in self._groups(words):
             n, arcs = codes.shape[1], self._weights(codes)
             alpha = self._forward(n, len(at), arcs)
@@ -169,7 +164,7 @@ class Lattice:
                     if j + size <= n:
                         beta[:, j] = np.logaddexp(beta[:, j], w[:, j] + beta[:, j + size])
             for size, found, w in arcs:
-                used = np.exp(alpha[:, : n + 1 - size] + w + beta[:, size:] - alpha[:, -1:])
+                used = np.exp(alpha[:, : n + 1 - size] + w + beta[:, size:] - alpha[:, -1:]) * times[at, None]
                 known = found >= 0
                 total[:-2] += np.bincount(found[known], used[known], len(self.logp))
                 if size == 1 and not known.all():
@@ -225,8 +220,8 @@ def train(spark: SparkSession, words: DataFrame, path: str, rounds: int = ROUNDS
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(shared.value.logp) + 2)
-            for own, _, _ in _word_batches(batches):
-                total += shared.value.expected(own)
+            for own, c, _ in _word_batches(batches):
+                total += shared.value.expected(own, c)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
 
@@ -237,16 +232,13 @@ def train(spark: SparkSession, words: DataFrame, path: str, rounds: int = ROUNDS
     return lattice
 
 
-def score_words(spark: SparkSession, words: DataFrame, lattice: Lattice, n: int, discount: float, v: int) -> DataFrame:
-    """word, c, t, logp: the log10 of the word's marginal probability, its own arc and the pieces' together."""
-    left = math.log(discount * v / n) if v else 0.0
+def score_words(spark: SparkSession, words: DataFrame, lattice: Lattice, go: float) -> DataFrame:
+    """word, c, t, logp: the log10 of the word's marginal probability, and of go, that a word follows at all."""
     shared = spark.sparkContext.broadcast(lattice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, c, t in _word_batches(batches):
-            logp = shared.value.log_probabilities(own) + left
-            with np.errstate(divide="ignore"):
-                logp = np.logaddexp(logp, np.log(np.maximum(c - discount, 0) / max(n, 1))) / math.log(10)
+            logp = (shared.value.log_probabilities(own) + math.log(go)) / math.log(10)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own, pa.binary()), pa.array(c), pa.array(t), pa.array(logp)], names=["word", "c", "t", "logp"]
             )
@@ -254,18 +246,6 @@ def score_words(spark: SparkSession, words: DataFrame, lattice: Lattice, n: int,
     return words.mapInArrow(run, "word binary, c bigint, t bigint, logp double")
 
 
-def _earlier(row: np.ndarray, word: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """For each token, given in the order of texts and of places in them: the probability of its word as one of those
-    before it in its text."""
-    order = np.lexsort((word, row))
-    row, word = row[order], word[order]
-    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])][: len(row)])
-    seen = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-    out = np.empty(len(row))
-    out[order] = seen
-    return CACHE * out / np.maximum(place, 1)
-
-
 def _heavy(scored: DataFrame, most: int) -> DataFrame:
     """The words of the highest counts, at most so many: a histogram of the counts gives where they begin."""
     level = F.floor(F.log2("t") * 8)
@@ -283,9 +263,10 @@ def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, heavy: int
     """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     path: a sentencepiece model, readable on the driver. Tokens are the words, A-Z in lower case, and one end.
-    base_score: log10 of an add-one unigram model of the training words; score: of the lattice with earlier words. A null or empty text
-    is an end alone. A null doc_id is trained on and stays null; repeated rows give repeated rows and count as often;
-    an empty table gives none. Further columns are left out. Words without a piece are spelt in bytes.
+    base_score: log10 of an add-one unigram model of the training words; score: log10 of the lattice's marginal
+    probability, that of the end being its share of the training tokens. A null or empty text is an end alone. A null
+    doc_id is trained on and stays null; repeated rows give repeated rows and count as often; an empty table gives
+    none. Further columns are left out. Words without a piece are spelt in bytes.
     """
     spark = docs.sparkSession
     own = doc_view(docs)
@@ -293,20 +274,17 @@ def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, heavy: int
     trained = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
     ends = own.agg(F.count_if(trained)).first()[0]
     c = F.col("c")
-    total, distinct, once, twice = words.agg(
-        F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2)
-    ).first()
+    total, distinct = words.agg(F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0)).first()
     n, below = total + ends, total + ends + distinct + (ends > 0) + 1
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    lattice = train(spark, words, path, rounds)
-    scored = materialize(score_words(spark, words, lattice, n, discount, distinct))
+    # Of a corpus without words, or without training documents, both a word and an end still have a chance.
+    stop = min(max(ends, 0.5), n - 0.5) / n if n else 0.5
+    scored = materialize(score_words(spark, words, train(spark, words, path, rounds), 1 - stop))
     top = _heavy(scored, heavy).toArrow()
     c = top["c"].to_numpy()
     shared = spark.sparkContext.broadcast(
         (top["word"].to_pylist(), c > 0, np.log10((c + 1) / below), top["logp"].to_numpy())
     )
-    fresh = math.log10(1 - CACHE)
-    end = int(ends > 0), math.log10((ends + 1) / below), math.log10(ends / n) if ends else 0.0
+    end = int(ends > 0), math.log10((ends + 1) / below), math.log10(stop)
     head = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,27 +297,13 @@ def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, heavy: int
             flat = list(chain.from_iterable(raw))
             at = np.fromiter(map(get, flat, repeat(len(listed))), np.int64, len(flat))
             row = np.repeat(np.arange(len(raw)), sizes)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            cold = np.flatnonzero(at == len(listed))
-            number: dict[bytes, int] = {}
-            word = at.copy()
-            word[cold] = [len(listed) + number.setdefault(flat[k], len(number)) for k in cold.tolist()]
-            earlier = _earlier(row, word, place)
-            # Probabilities of the words that aren't cold, whose own score is 0 here; cold ones are a product of
-            # their row's log probability, with log10(1 - CACHE) for each but a text's first word.
-            anew = score[at] + np.where(place > 0, fresh, 0.0)
-            heavy_again = (earlier > 0) & (at < len(listed))
-            anew[heavy_again] = np.log10(earlier[heavy_again] + 10 ** anew[heavy_again])
-            anew[cold[earlier[cold] > 0]] = 0
-            sums = [np.bincount(row, x, len(raw)) for x in (known[at], base[at], anew)]
-            rest: dict[tuple[int, bytes], list[float]] = {}
-            for r, k, share in zip(row[cold].tolist(), cold.tolist(), earlier[cold].tolist(), strict=True):
-                again = rest.setdefault((r, flat[k]), [])
-                if share:
-                    again.append(share)
+            sums = [np.bincount(row, x, len(raw)) for x in (known[at], base[at], score[at])]
+            rest: Counter[tuple[int, bytes]] = Counter()
+            for k in np.flatnonzero(at == len(listed)).tolist():
+                rest[int(row[k]), flat[k]] += 1
             rid = b.column(2).to_numpy()
             heads = [
-                {"doc_id": d, "n_tokens": int(s) + 1, "known": int(k) + end[0], "base": x + end[1], "score": y + end[2] + fresh * (s > 0)}
+                {"doc_id": d, "n_tokens": int(s) + 1, "known": int(k) + end[0], "base": x + end[1], "score": y + end[2]}
                 for d, s, k, x, y in zip(b.column(0).to_pylist(), sizes, *sums, strict=True)
             ]
             # A document's own row has a key that no word has, so it meets none and stands apart from the others.
@@ -348,24 +312,23 @@ def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, heavy: int
                 [
                     pa.array(np.r_[rid, rid[np.fromiter((r for r, _ in rest), np.int64, len(rest))]]),
                     pa.array([*keys, *(w for _, w in rest)], pa.binary()),
-                    pa.array([*repeat([], len(raw)), *rest.values()], pa.list_(pa.float64())),
+                    pa.array([*repeat(0, len(raw)), *rest.values()], pa.int64()),
                     pa.array([*heads, *repeat(None, len(rest))], head),
                 ],
-                names=["rid", "word", "again", "head"],
+                names=["rid", "word", "times", "head"],
             )
 
-    out = "rid bigint, word binary, again array<double>, head struct<doc_id:bigint,n_tokens:bigint,known:bigint,base:double,score:double>"
+    out = "rid bigint, word binary, times bigint, head struct<doc_id:bigint,n_tokens:bigint,known:bigint,base:double,score:double>"
     rows = own.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, out)
     met = rows.join(scored.select("word", "c", "logp"), "word", "left")
-    c, n_ = F.coalesce("c", F.lit(0)), F.size("again") + 1
-    anew = F.lit(1 - CACHE) * F.pow(F.lit(10.0), "logp")
-    logp = F.aggregate("again", F.col("logp"), lambda total, share: total + F.log10(share + anew))
+    c = F.coalesce("c", F.lit(0))
+    both = lambda field, rest: F.sum(F.coalesce(F.col(f"head.{field}"), F.col("times") * rest))
     total = met.groupBy("rid").agg(
         F.max("head.doc_id").alias("doc_id"),
         F.sum("head.n_tokens").alias("n_tokens"),
-        F.sum(F.when(F.col("head").isNotNull(), F.col("head.known")).otherwise(F.when(c > 0, n_).otherwise(0))).alias("n_known"),
-        F.sum(F.when(F.col("head").isNotNull(), F.col("head.base")).otherwise(n_ * F.log10((c + 1) / F.lit(below)))).alias("base_score"),
-        F.sum(F.when(F.col("head").isNotNull(), F.col("head.score")).otherwise(logp)).alias("score"),
+        both("known", (c > 0).cast("bigint")).alias("n_known"),
+        both("base", F.log10((c + 1) / F.lit(below))).alias("base_score"),
+        both("score", F.col("logp")).alias("score"),
     )
     return total.select(
         "doc_id",

@@ -1,6 +1,7 @@
 """Operators against brute force, the public tokenizers, DuckDB, and cases planted in invented text."""
 
 import collections
+import functools
 import itertools
 import math
 import random
@@ -107,18 +108,42 @@ def test_lattice(spark):
     for r in docs.collect():
         base = sum(math.log10((train[x] + 1) / (n + v + 1)) for x in [*r.text.split(), None])
         assert abs(base - a.base_score[r.doc_id]) < 1e-9 and a.train_tokens[r.doc_id] == n
-    # The score takes each word from those before it or from the lattice.
-    once, twice = (sum(x == k for w, x in train.items() if w) for k in (1, 2))
-    table = lm_scoring.count_words(docs)
-    lattice = lm_scoring.train(spark, table, path)
-    found = lm_scoring.score_words(spark, table, lattice, n, once / (once + 2 * twice) if once and twice else 0.5, v - 1).collect()
-    found = {r.word.decode(): 10**r.logp for r in found}
+    # A text's score is the product over its words of the sum over all segmentations, and the end: nothing else.
+    lattice = lm_scoring.train(spark, lm_scoring.count_words(docs), path)
+    known, stop = dict(zip(pieces, lattice.logp, strict=True)), sum(train[x] for x in [None]) / n
+    starts = sum(math.exp(x) for p, x in known.items() if p.startswith("▁"))
+    inner = sum(math.exp(x) for p, x in known.items() if not p.startswith("▁"))
+    assert abs(starts - 1) < 1e-9 and abs(inner + 256 * math.exp(lattice.unknown) + math.exp(lattice.stop) - 1) < 1e-9
+    memo = functools.cache(total)
     for r in docs.collect():
-        score, words = 0.0, r.text.split()
-        for k, w in enumerate([*words, None]):
-            p = found[w] if w else train[None] / n
-            score += math.log10(p if not k else lm_scoring.CACHE * words[:k].count(w) / k + (1 - lm_scoring.CACHE) * p)
-        assert abs(score - a.score[r.doc_id]) < 1e-6
+        want = sum(math.log10((1 - stop) * memo("▁" + w) * math.exp(lattice.stop)) for w in r.text.split()) + math.log10(stop)
+        assert abs(want - a.score[r.doc_id]) < 1e-6
+
+
+def test_expected_uses():
+    """One round of expectation maximisation against the sum over all segmentations one by one."""
+    pieces, logp = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba"], np.log([0.1, 0.2, 0.1, 0.15, 0.2, 0.05, 0.2])
+    lattice = lm_scoring.Lattice.of(pieces, logp)
+    known = dict(zip(pieces, logp, strict=True))
+
+    def ways(text):
+        if not text:
+            yield ()
+        for k in range(1, len(text) + 1):
+            if text[:k] in known:
+                yield from ((text[:k], *w) for w in ways(text[k:]))
+
+    words, times = {"ab": 3, "ba": 1, "abab": 2, "b": 5}, collections.Counter()
+    for w, n in words.items():
+        found = {x: math.exp(sum(known[p] for p in x)) for x in ways("▁" + w)}
+        for x, p in found.items():
+            for piece in x:
+                times[piece] += n * p / sum(found.values())
+    got = lattice.expected([w.encode() for w in words], np.array(list(words.values())))
+    assert np.allclose(got, [*(times[p] for p in pieces), 0, sum(words.values())])
+    better = lattice.learnt(got)
+    old, new = (sum(n * x for n, x in zip(words.values(), m.log_probabilities([w.encode() for w in words]))) for m in (lattice.learnt(np.ones(9)), better))
+    assert new > old
 
 
 def test_quality_classifier(spark):
