@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import materialize
@@ -15,7 +15,48 @@ from ..tables import materialize
 #: Stands in for a null doc_id wherever ids are compared: it sorts after every other id.
 NULL_ID = (1 << 63) - 1
 
-__all__ = ["NULL_ID", "doc_view", "hash128", "materialize", "parts", "texts"]
+#: Bits of a sieve, at most; and for each id.
+SIEVE_BITS, BITS_EACH = 1 << 28, 16
+
+__all__ = ["NULL_ID", "Sieve", "doc_view", "hash128", "materialize", "parts", "texts"]
+
+
+class Sieve:
+    """A bitmap of hashed ids, of a bounded size however many there are: passes all rows whose id is among them, and
+    few others. It leaves rows that can't meet anything out of a shuffle; the join behind it is exact."""
+
+    def __init__(self, ids: DataFrame, column: str = "id"):
+        """ids: a written table; its ids of type bigint."""
+        n = ids.count()
+        self.bits = bits = 1 << min(SIEVE_BITS.bit_length() - 1, max(10, (BITS_EACH * n).bit_length()))
+        words = ids.select(
+            F.shiftright(self.place(F.col(column)), 6).alias("word"),
+            F.expr(f"shiftleft(1L, int(pmod(xxhash64({column}), {bits}) % 64))").alias("bit"),
+        )
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        bitmap = np.zeros(bits >> 6, np.int64)
+        bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    def place(self, key: Column) -> Column:
+        """Where in the bitmap an id, of type bigint, has its bit."""
+        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+
+    @staticmethod
+    def holds(bitmap: np.ndarray, place: pa.Array) -> np.ndarray:
+        at = place.to_numpy(zero_copy_only=False)
+        return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+
+    def keep(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The rows that may have a key among the ids."""
+        shared, placed = self.shared, rows.withColumn("__place", self.place(key))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(Sieve.holds(shared.value, b.column(b.num_columns - 1))))
+
+        return placed.mapInArrow(run, placed.schema).drop("__place")
+
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The batch's texts as UTF-8 bytes; null is empty."""

@@ -1,38 +1,44 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
 A document is the set of its word shingles. Documents with equal sets are copies and go on as one representative.
-Each tree of the forest is a sorted trie of signatures; two documents meet in a tree if their signatures share a
-prefix. Prefixes start at a depth and are shortened, one level at a time, until the recall estimated from the links
-found reaches the target. What meets is verified exactly on the whole sets.
+Each tree of the forest is a trie of MinHash signatures, written once and sorted by prefix; two documents meet in a
+tree if their signatures share a prefix. Matching starts at the deepest level. What meets is verified exactly on the
+whole sets; the similarities of the links found tell how many more the forest is expected to hold, and how far the
+matched prefixes have to be shortened to reach the target recall. Signatures aren't made again for that, and candidate
+components that a shorter prefix doesn't change keep their results.
 
 No pairs are written out. Documents that meet are tied to the smallest of their trie node, which makes candidate
-components; within a component, in blocks of bounded size, all links are found by counting shared shingles. Each
-block gives one row per document: how many links, and the smallest document that they lead to.
+components; a component is cut into blocks, bounded by documents and by shingles, of documents that share a node, and
+all links of two blocks that have a node in common are found by counting shared shingles. Each block gives one row per
+document: how many links, and the smallest document that they lead to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, doc_view, materialize, parts, texts
+from .common import NULL_ID, Sieve, doc_view, materialize, parts, texts
 
 WORDS = 5
 #: Similarity from which documents are linked, as a fraction.
 SIMILAR = (4, 5)
-TREES, DEPTH = 36, 7
-TARGET_RECALL = 0.9995
-#: Documents of a candidate component that one block holds; a task sees two blocks.
-BLOCK = 1024
+TREES = 36
+#: Levels of a trie at which matching starts and to which prefixes may be shortened.
+DEEPEST, FLOOR = 10, 6
+TARGET_RECALL = 0.9999
+#: Documents and shingles of one block; a task sees two blocks. A document with more shingles is a block by itself.
+BLOCK, SHINGLES = 256, 1 << 20
 #: Cells of the incidence matrix that verification has in memory at once.
 CELLS = 1 << 24
-#: Bits of the filter that keeps documents out of the shuffle of shingle sets, at most; and for each candidate.
-FILTER_BITS, BITS_EACH = 1 << 28, 16
+#: Links are told apart by similarity, in percent from this on.
+PERCENT = 100 * SIMILAR[0] // SIMILAR[1]
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(31)
@@ -69,26 +75,31 @@ def _permutations(trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[0], seeds[1] | np.uint64(1)
 
 
-def prefixes(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """For each (non-empty) set and tree, the hash of its signature's prefix of that depth."""
+def paths(sets: list[np.ndarray], trees: int, floor: int, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each (non-empty) set and tree: the hash of its signature down to the floor, and 8 bits of each level below
+    that, the deepest last."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    xors, factors = _permutations(trees, DEPTH if depth <= DEPTH else depth)
-    wide = len(xors) // trees
-    work, out = np.empty_like(flat), np.empty((len(sets), trees), np.uint64)
+    xors, factors = _permutations(trees, deepest)
+    work = np.empty_like(flat)
+    nodes, below = np.empty((len(sets), trees), np.uint64), np.zeros((len(sets), trees), np.uint64)
     for t in range(trees):
         key = np.full(len(sets), t + 1, np.uint64)
-        for k in range(t * wide, t * wide + depth):
-            np.bitwise_xor(flat, xors[k], out=work)
-            np.multiply(work, factors[k], out=work)
-            key = (key ^ np.minimum.reduceat(work, starts)) * _FACTOR
-            key ^= key >> _SHIFT
-        out[:, t] = key
-    return out
-
-
-def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """For each row: id (doc_id, or NULL_ID), h1 and h2 (hash of the set), n (shingles), keys (a prefix per tree)."""
+        for k in range(deepest):
+            np.bitwise_xor(flat, xors[t * deepest + k], out=work)
+            np.multiply(work, factors[t * deepest + k], out=work)
+            least = np.minimum.reduceat(work, starts)
+            if k < floor:
+                key = (key ^ least) * _FACTOR
+                key ^= key >> _SHIFT
+            else:
+                below[:, t] = below[:, t] << np.uint64(8) | least & np.uint64(255)
+        nodes[:, t] = key
+    return nodes, below
+
+
+def signatures(docs: DataFrame, trees: int, floor: int, deepest: int) -> DataFrame:
+    """For each row: id (doc_id, or NULL_ID), h1 and h2 (hash of the set), n (shingles), and paths() of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -96,17 +107,17 @@ def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             sets = list(map(shingler, texts(b)))
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             own = [k for k, s in enumerate(sets) if len(s)]
-            keys: list[list[int]] = [[] for _ in sets]
+            trie: list[list[list[int]]] = [[[] for _ in sets] for _ in range(2)]
             if own:
-                for k, row in zip(own, prefixes([sets[k] for k in own], trees, depth).view(np.int64).tolist(), strict=True):
-                    keys[k] = row
+                for column, found in zip(trie, paths([sets[k] for k in own], trees, floor, deepest), strict=True):
+                    for k, row in zip(own, found.view(np.int64).tolist(), strict=True):
+                        column[k] = row
             ids = [NULL_ID if x is None else x for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "h1", "h2", "n", "keys"],
-            )
+            columns = [pa.array(ids, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(map(len, sets), pa.int64())]
+            columns += [pa.array(x, pa.list_(pa.int64())) for x in trie]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h1", "h2", "n", "nodes", "below"])
 
-    return doc_view(docs).mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>")
+    return doc_view(docs).mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, nodes array<bigint>, below array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,13 +185,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-_LINKS = "id bigint, links bigint, missed double, root bigint, closed boolean"
+_LINKS = "id bigint, links bigint, root bigint, percents array<int>"
+_LINKS_ARROW = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("percents", pa.list_(pa.int32()))])
 
 
-def verify(members: DataFrame, trees: int, depth: int) -> DataFrame:
-    """members: comp, i, j, blocks, side, id, shingles. For each id with links in its pair of blocks: how many, the
-    links that the forest is expected to have missed for them, and the smallest id that they lead to; closed: the
-    component was one block, so that root is final."""
+def verify(members: DataFrame) -> DataFrame:
+    """members: i, j (two blocks, or one twice), side (0: of i), id, shingles. For each id with links: how many, the
+    smallest id that they lead to, and how many of those to larger ids there are of each percent of similarity."""
     up, down = SIMILAR
 
     def run(table: pa.Table) -> pa.Table:
@@ -190,119 +201,159 @@ def verify(members: DataFrame, trees: int, depth: int) -> DataFrame:
         first = {(i, s.tobytes()): k for k, (i, s) in reversed(list(enumerate(zip(ids.tolist(), sets, strict=True))))}
         own = sorted(first.values(), key=lambda k: ids[k])
         ids, sets, side = ids[own], [sets[k] for k in own], table["side"].to_numpy()[own]
-        blocks, within = table["blocks"][0].as_py(), table["i"][0].as_py() == table["j"][0].as_py()
+        within = table["i"][0].as_py() == table["j"][0].as_py()
         left = np.arange(len(own)) if within else np.flatnonzero(side == 0)
         right = left if within else np.flatnonzero(side == 1)
-        none = pa.table({"id": [], "links": [], "missed": [], "root": [], "closed": []}).cast(
-            pa.schema([("id", pa.int64()), ("links", pa.int64()), ("missed", pa.float64()), ("root", pa.int64()), ("closed", pa.bool_())])
-        )
         if not len(left) or not len(right) or len(own) < 2:
-            return none
+            return _LINKS_ARROW.empty_table()
         sizes = np.array(list(map(len, sets)), np.float32)
         same = intersections(sets, left, right)
         both = sizes[left][:, None] + sizes[right][None, :]
         a, b = np.nonzero((up + down) * same >= up * both)
-        similarity = (same[a, b] / (both[a, b] - same[a, b])).astype(np.float64)
+        percent = (100 * same[a, b] / (both[a, b] - same[a, b])).astype(np.int64) - PERCENT
         a, b = left[a], right[b]
         keep = (ids[a] != ids[b]) & ((a < b) if within else True)
-        a, b, similarity = a[keep], b[keep], similarity[keep]
+        a, b, percent = a[keep], b[keep], percent[keep]
         if not len(a):
-            return none
-        missed = 1 / (1 - (1 - similarity**depth) ** trees) - 1
+            return _LINKS_ARROW.empty_table()
         n = np.bincount(a, minlength=len(own)) + np.bincount(b, minlength=len(own))
-        lost = np.bincount(a, missed, len(own)) + np.bincount(b, missed, len(own))
+        wide = 101 - PERCENT
+        percents = np.bincount(a * wide + percent, minlength=len(own) * wide).reshape(-1, wide)
         root, linked = _roots(len(own), a, b), np.flatnonzero(n)
-        return pa.table(
-            {"id": ids[linked], "links": n[linked], "missed": lost[linked], "root": ids[root[linked]], "closed": np.full(len(linked), blocks == 1)}
-        )
+        columns = [ids[linked], n[linked], ids[root[linked]], percents[linked].astype(np.int32).tolist()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, _LINKS_ARROW.types, strict=True)], schema=_LINKS_ARROW)
 
-    return members.groupBy("comp", "i", "j").applyInArrow(run, _LINKS)
+    return members.groupBy("i", "j").applyInArrow(run, _LINKS)
 
 
-def _only(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """docs: id, text. The rows that may be candidates: a bitmap of hashed ids, of a bounded size however many there
-    are, leaves the others where they are. What it lets through wrongly goes in the join that follows."""
-    n = candidates.count()
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (BITS_EACH * n).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = candidates.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(id), {bits}) % 64))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(bits >> 6, np.int64)
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def recall(percents: list[int], trees: int, found_at: int, depth: int) -> float:
+    """Of the links that the forest holds, the share expected to meet at a depth, estimated from those found at
+    another, each standing for as many as its chance to be found tells."""
+    s = (PERCENT + np.arange(len(percents))) / 100
+    chance = lambda d: 1 - (1 - s**d) ** trees
+    held = np.array(percents) / chance(found_at)
+    return float((held * chance(depth)).sum() / held.sum()) if held.sum() else 1.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(2).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
 
-    return docs.withColumn("place", place).mapInArrow(run, "id bigint, text string, place bigint").drop("place")
+def _at(depth: int, deepest: int) -> list[Column]:
+    """The prefix of a path down to a depth."""
+    return [F.col("node"), F.shiftrightunsigned("below", 8 * (deepest - depth)).alias("below")]
+
 
+def _blocks(candidates: DataFrame, matched: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """candidates: id, n, root; matched: id, node, below (a shared prefix). The block of each candidate (id, block),
+    and the pairs of blocks to verify (i, j).
+
+    A component that fits in a block is one. Of a larger one, the documents of one node, the first of theirs, stay
+    together, as a block or several, or in one of the blocks for small nodes; and only blocks with a node in common are
+    paired.
+    """
+    fit = lambda docs, shingles: F.ceil(F.greatest(docs / F.lit(block), shingles / F.lit(SHINGLES))).cast("int")
+    sums = (F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    size = candidates.groupBy("root").agg(*sums).select("root", fit(F.col("docs"), F.col("shingles")).alias("blocks"))
+    sized = candidates.join(size, "root")
+    one = sized.where("blocks = 1").select("id", F.col("root").alias("block"))
+    large = sized.where("blocks > 1")
+    nodes = matched.join(large.select("id"), "id", "left_semi").select("id", F.xxhash64("node", "below").alias("node"))
+    home = large.join(nodes.groupBy("id").agg(F.min("node").alias("home")), "id")
+    dealt = home.groupBy("root", "home").agg(*sums).select("root", "home", fit(F.col("docs"), F.col("shingles")).alias("own"))
+    place = F.when(F.col("own") > 1, F.xxhash64("root", "home", F.pmod(F.xxhash64("id"), F.col("own")))).otherwise(
+        F.xxhash64("root", F.pmod(F.xxhash64("home", F.lit(1)), 2 * F.col("blocks")))
+    )
+    many = home.join(dealt, ["root", "home"]).select("id", place.alias("block"))
+    many = materialize(many)
+    met = nodes.join(many, "id").select("node", "block").distinct()
+    pairs = met.withColumnRenamed("block", "i").join(met.withColumnRenamed("block", "j"), "node").where("i < j").select("i", "j").distinct()
+    placed = materialize(one.unionAll(many))
+    alone = placed.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct()
+    return placed, materialize(alone.unionAll(pairs))
 
-def _members(docs: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
-    """The shingle sets of the candidates (id, root), once for each pair of blocks that they take part in."""
+
+def _members(docs: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The shingle sets of the candidates, once for each pair of blocks that they take part in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in parts(batches):
             sets = [shingler(t).tobytes() for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 2, 3)), pa.array(sets, pa.binary())], names=["id", "comp", "blocks", "shingles"])
-
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = candidates.join(sizes, "root").select("id", F.col("root").alias("comp"), "blocks")
-    own = _only(doc_view(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text"), candidates)
-    own = own.join(placed, "id").select("id", "text", "comp", "blocks")
-    sets = own.mapInArrow(run, "id bigint, comp bigint, blocks int, shingles binary")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    return (
-        sets.withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "comp",
-            F.least("mine", "other").alias("i"),
-            F.greatest("mine", "other").alias("j"),
-            "blocks",
-            (F.col("mine") > F.col("other")).cast("int").alias("side"),
-            "id",
-            "shingles",
-        )
-    )
-
-
-def similar_classes(
-    docs: DataFrame, target: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK
-) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 2)), pa.array(sets, pa.binary())], names=["id", "block", "shingles"])
+
+    own = doc_view(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
+    own = Sieve(placed).keep(own, F.col("id")).join(placed, "id").select("id", "text", "block")
+    sets = own.mapInArrow(run, "id bigint, block bigint, shingles binary")
+    asked = pairs.select("i", "j", F.col("i").alias("block"), F.lit(0).alias("side"))
+    asked = asked.unionAll(pairs.where("i <> j").select("i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    return sets.join(asked, "block").select("i", "j", "side", "id", "shingles")
+
+
+@dataclass
+class Joined:
+    """rows: id, h1, h2, n of each document. sets: h1, h2, rep of each different set. found: id, links, root, percents
+    of verify(). depths: the levels that were tried."""
+
+    rows: DataFrame
+    sets: DataFrame
+    found: DataFrame
+    depths: list[int]
+
+
+def join(docs: DataFrame, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = DEEPEST, floor: int = FLOOR, block: int = BLOCK) -> Joined:
+    """The links between different sets; see similar_classes(). From deepest to floor there are 8 levels at most."""
+    if not 0 < floor <= deepest <= floor + 8:
+        raise ValueError("levels below the floor are 8 bits each of one bigint")
+    rows = materialize(signatures(docs, trees, floor, deepest))
+    sets = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value(F.struct("nodes", "below")).alias("trie")))
+    tries = sets.select("rep", "n", F.explode(F.arrays_zip("trie.nodes", "trie.below")).alias("t")).select(F.col("t.nodes").alias("node"), F.col("t.below").alias("below"), F.col("rep").alias("id"), "n")
+    shared = tries.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least != last")
+    forest = materialize(tries.join(shared.select("node"), "node", "left_semi").sortWithinPartitions("node", "below"))
+    depth, depths, before, found = deepest, [], None, None
+    while True:
+        depths.append(depth)
+        prefix = forest.select("id", "n", *_at(depth, deepest))
+        met = prefix.groupBy("node", "below").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least != last")
+        matched = materialize(prefix.join(met.select("node", "below", "least"), ["node", "below"]))
+        roots = components(matched.select(F.col("id").alias("a"), F.col("least").alias("b")))
+        candidates = materialize(roots.join(matched.select("id", "n").distinct(), "id"))
+        sums = (F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("check"))
+        state = materialize(candidates.groupBy("root").agg(*sums))
+        todo = candidates
+        if before is not None:
+            # Components of one block are verified in all pairs, so those that are as they were need no more.
+            same = state.join(before, state.columns, "left_semi").where((F.col("docs") <= block) & (F.col("shingles") <= SHINGLES))
+            old = candidates.join(same.select("root"), "root", "left_semi").select("id")
+            found, todo = found.join(old, "id", "left_semi"), candidates.join(same.select("root"), "root", "left_anti")
+        new = verify(_members(docs, *_blocks(todo, matched, block)))
+        found, before = materialize(new if found is None else found.unionAll(new)), state
+        percents = found.agg(*(F.coalesce(F.sum(F.get("percents", F.lit(k))), F.lit(0)) for k in range(101 - PERCENT))).first()
+        if depth == floor or recall(percents, trees, depth, depth) >= target:
+            return Joined(rows, sets, found, depths)
+        depth = next((d for d in range(depth - 1, floor, -1) if recall(percents, trees, depth, d) >= target), floor)
+
+
+def similar_classes(docs: DataFrame, **how) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, copy_id (the smallest doc_id with an equal set), class_id (the
     smallest copy_id that links lead to), n_links (copy_ids, other than its own, at a similarity of 0.8 or more).
 
     Shingles are five consecutive words, or all words of a shorter text; A-Z in lower case. Null, empty and blank
     texts have none and are copies of each other. Rows with the same doc_id are one document with the links of all of
     them; null doc_ids are one document, larger than all others, whose null stands in class_id and copy_id too. An
-    empty table gives none. Further columns are left out.
+    empty table gives none. Further columns are left out. how: parameters of join().
 
     A component of candidates of more than ``block`` documents is verified in pairs of blocks, so a task holds two
-    blocks at most; each of its documents is written once for each block.
+    blocks at most; each of its documents is written once for each block that has a trie node in common with its own.
     """
-    while True:
-        rows = materialize(signatures(docs, trees, depth))
-        sets = materialize(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys")))
-        nodes = sets.select("rep", F.explode("keys").alias("node"))
-        met = nodes.groupBy("node").agg(F.min("rep").alias("least"), F.max("rep").alias("last")).where("least != last")
-        ties = nodes.join(met.select("node", "least"), "node").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-        candidates = materialize(components(ties))
-        found = materialize(verify(_members(docs, candidates, block), trees, depth))
-        n, missed = found.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("missed"), F.lit(0.0))).first()
-        if depth == 1 or n >= target * (n + missed):
-            break
-        depth -= 1
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = found.where("closed").select("id", "root")
-    if not found.where("NOT closed").isEmpty():
-        roots = roots.unionAll(components(found.where("NOT closed").select(F.col("id").alias("a"), F.col("root").alias("b"))))
-    linked = links.join(roots, "id", "left").withColumnRenamed("id", "rep")
-    classes = sets.select("h1", "h2", "rep").join(linked, "rep", "left")
+    got = join(docs, **how)
+    links = got.found.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    # A component that was one block has its final roots; those of others go through the roots of each block.
+    more = got.found.select("id", "root").where("id <> root").distinct()
+    more = materialize(more)
+    if more.groupBy("id").count().where("count > 1").isEmpty() and more.join(more.select(F.col("id").alias("root")), "root", "left_semi").isEmpty():
+        linked = links
+    else:
+        linked = links.drop("root").join(components(more.select(F.col("id").alias("a"), F.col("root").alias("b"))), "id", "left")
+    classes = got.sets.select("h1", "h2", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
     known = lambda c: F.when(c != NULL_ID, c)
-    return rows.join(classes, ["h1", "h2"]).select(
+    return got.rows.join(classes, ["h1", "h2"]).select(
         known(F.col("id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         known(F.col("rep")).alias("copy_id"),

@@ -69,14 +69,45 @@ def test_ngram_join(spark, block):
 
 
 def test_prefixes_are_shortened(spark):
-    texts, rng = invented(20, words=4000)
+    """Few trees and a deep start miss links, so matched prefixes are shortened until the target is reached."""
+    texts, rng = invented(150, seed=4, words=4000)
     near = [t.split() for t in texts]
     for w in near:
         w[len(w) // 2] = "other"
-    docs = frame(spark, texts + [" ".join(w) for w in near])
-    found = lambda **how: sum(r.n_links for r in ngram_join.similar_classes(docs, trees=3, depth=6, **how).collect())
-    assert found(target=0.0) <= found(target=0.9999)
-    assert ngram_join.prefixes([np.arange(9, dtype=np.uint64)], 3, 2).shape == (1, 3)
+    texts += [" ".join(w) for w in near]
+    sets = list(map(shingles, texts))
+    want = sum(5 * len(a & b) >= 4 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    docs = frame(spark, texts)
+
+    def found(**how):
+        got = ngram_join.join(docs, trees=4, deepest=10, floor=2, **how)
+        return got.depths, sum(r.links for r in got.found.collect()) / 2
+
+    depths, some = found(target=0.0)
+    assert depths == [10] and some < 0.9 * want
+    depths, most = found(target=0.98)
+    assert len(depths) > 1 and depths == sorted(depths, reverse=True) and depths[-1] < 10
+    assert want > 100 and 0.95 * want <= most <= want
+    # With production parameters a similarity at the limit needs a shorter prefix than the deepest, others don't.
+    share = lambda percent, depth: ngram_join.recall([0] * percent + [1000], ngram_join.TREES, depth, depth)
+    assert share(0, ngram_join.DEEPEST) < ngram_join.TARGET_RECALL <= share(0, ngram_join.FLOOR) and share(10, ngram_join.DEEPEST) > ngram_join.TARGET_RECALL
+    nodes, below = ngram_join.paths([np.arange(9, dtype=np.uint64)], 3, 2, 4)
+    assert nodes.shape == below.shape == (1, 3) and below.max() < 1 << 16
+
+
+def test_recall_at_the_limit(spark):
+    """Pairs from just under to well over the limit of similarity: all at or over it are found."""
+    texts, rng = invented(400, seed=8, words=5000)
+    for t in texts[:400]:
+        w = t.split()
+        for _ in range(rng.randrange(1, 3)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = list(map(shingles, texts))
+    want = {k for k in range(400) if 5 * len(sets[k] & sets[k + 400]) >= 4 * len(sets[k] | sets[k + 400])}
+    rows = {r.doc_id: r for r in ngram_join.similar_classes(frame(spark, texts)).collect()}
+    got = {k for k in range(400) if rows[k + 400].class_id == k}
+    assert len(want) > 150 and got == want
 
 
 def test_lattice(spark):
