@@ -47,13 +47,13 @@ class Sieve:
         at = place.to_numpy(zero_copy_only=False)
         return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
-    def keep(self, rows: DataFrame, key: Column) -> DataFrame:
-        """The rows that may have a key among the ids."""
+    def part(self, rows: DataFrame, key: Column, among: bool = True) -> DataFrame:
+        """The rows that may have a key among the ids, or those that have none for certain."""
         shared, placed = self.shared, rows.withColumn("__place", self.place(key))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array(Sieve.holds(shared.value, b.column(b.num_columns - 1))))
+                yield b.filter(pa.array(Sieve.holds(shared.value, b.column(b.num_columns - 1)) == among))
 
         return placed.mapInArrow(run, placed.schema).drop("__place")
 

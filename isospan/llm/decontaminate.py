@@ -1,12 +1,14 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a mask over consecutive tokens: positions marked 1 are hashed, positions marked 0 may differ. Hashes of
-every window of the benchmark items are joined with those of every window of the documents; around a hit the two
-texts are laid over each other and the best run, in which substituted tokens cost more than equal ones gain, is
-verified.
-
-Benchmark items are joined in blocks of a bounded number of tokens, so what tasks hold doesn't grow with the
-benchmark; documents are never shuffled.
+A seed is a mask over consecutive tokens: positions marked 1 are hashed, positions marked 0 may differ. The hashes of
+all windows of the benchmark items are a table. A document's windows are looked up in a Bloom filter of it, of a bounded
+size, where the document is read; what passes is joined with the table, and each pair of document and item that a seed
+aligns is verified token by token. Neither documents nor the benchmark pass through the driver, and only documents with
+a window that passes are shuffled.
+
+A document overlaps an item if WINDOW tokens of the item in a row, or all of a shorter item, lie on tokens of the
+document in a row of which four fifths are equal: 13 of 16. The masks are such that every placement of the tokens that
+differ leaves a seed untouched, so no overlap is missed.
 """
 
 from __future__ import annotations
@@ -17,21 +19,28 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import NULL_ID, doc_view, parts, texts
-
-#: Masks of 8 tokens out of 8 to 12: each pair of substitutions in 16 equal tokens leaves one of them untouched.
-SEEDS = ("11111111", "111101101011", "110110111011", "1011010011111")
-#: A run counts with so many equal tokens, or four fifths of a shorter item's.
-LEAST_EQUAL = 13
-#: What an unequal token costs a run; an equal one gains 1.
-COST = 2
-#: Tokens of benchmark items in one block.
-BLOCK_TOKENS = 2_000_000
-#: Unknown tokens between two documents: more than a mask leaves out in a row.
-GAP = 3
+from pyspark.sql import types as T
+
+from .common import NULL_ID, Sieve, doc_view, materialize, parts, texts
+
+#: Tokens of an item that are compared at once; of a shorter item, all.
+WINDOW = 16
+#: Items of fewer tokens aren't checked.
+LEAST_ITEM = 8
+#: Masks for items of WINDOW tokens or more, and for shorter ones.
+SEEDS = ("1110010111", "11110111", "1110000010111", "1111111", "11101111")
+SHORT_SEEDS = ("110111", "11010011", "11111")
+#: Bits of the Bloom filter, which has two places for each seed.
+BLOOM_BITS = 1 << 28
+#: Contaminated rows that are sent to all tasks; beyond, rows that may be among them are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: More than any mask spans, between two documents.
+GAP = 13
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 FOUND = "doc_id bigint, item_id bigint, equal int, doc_token int, item_token int, length int"
 
@@ -49,179 +58,201 @@ def split(text: bytes) -> list[str]:
     return text.decode("utf-8", "replace").split()
 
 
-class Vocabulary(dict):
-    """Numbers of the benchmark's words from 1; 0 for others, empty words -1. Written forms are remembered as met."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known = known
+class Hashes(dict):
+    """64-bit hashes of words by their normal form, other than 0, which is that of words of signs alone. Written forms
+    are remembered as met."""
 
     def __missing__(self, word: str) -> int:
         plain = normal(word)
-        n = self.known.get(plain, 0) if plain else -1
+        n = xxhash.xxh3_64_intdigest(plain.encode()) | 1 if plain else 0
         if len(self) > 500_000:
             self.clear()
         self[word] = n
         return n
 
 
+def tokens(texts: list[bytes], words: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' tokens end to end, and the number of its text for each."""
+    raw = [split(t) for t in texts]
+    counts = np.fromiter(map(len, raw), np.int64, len(raw))
+    found = np.fromiter(map(words.__getitem__, chain.from_iterable(raw)), np.uint64, int(counts.sum()))
+    return found[found > 0], np.repeat(np.arange(len(raw)), counts)[found > 0]
+
+
 def share(length: int) -> int:
     """Four fifths of so many tokens, rounded up."""
     return -(-4 * length // 5)
 
 
-def spaced(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows without an unknown token under the mask, and their hashes."""
-    n = len(ids) - len(mask) + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    cares = [k for k, c in enumerate(mask) if c == "1"]
-    known = ids > 0
-    ok = known[cares[0] : cares[0] + n].copy()
-    for k in cares[1:]:
-        ok &= known[k : k + n]
-    at = np.flatnonzero(ok)
-    h = np.zeros(len(at), np.uint64)
-    for k in cares:
-        h = (h ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return at, h
-
-
-class Block:
-    """Some benchmark items: their tokens end to end, and the hashes of their windows for each mask."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.known: dict[str, int] = {}
-        self.ids, self.items = [], []
-        for item, text in items:
-            words = [w for w in map(normal, split(text)) if w]
-            if words:
-                self.items.append(item)
-                self.ids.append(np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64))
-        # Where item k's four fifths are fewer than LEAST_EQUAL, it is parted into one piece more than it may have
-        # substitutions: one piece is untouched.
-        pieces: dict[int, list[tuple[int, int]]] = {}
-        for k, x in enumerate(self.ids):
-            if share(len(x)) <= LEAST_EQUAL:
-                ends = np.linspace(0, len(x), len(x) - share(len(x)) + 2).astype(int).tolist()
-                for at, end in zip(ends, ends[1:]):
-                    pieces.setdefault(end - at, []).append((k, at))
-        windows = [(m, [(k, *spaced(x, m)) for k, x in enumerate(self.ids)]) for m in SEEDS]
-        for n, places in sorted(pieces.items()):
-            part = [(k, at, spaced(self.ids[k][at : at + n], "1" * n)[1]) for k, at in places]
-            windows.append(("1" * n, [(k, np.array([at]), h) for k, at, h in part]))
-        self.masks, self.seeds = [m for m, _ in windows], []
-        for _, part in windows:
-            keys = np.concatenate([h for *_, h in part] or [np.empty(0, np.uint64)])
-            owner = np.concatenate([np.full(len(h), k) for k, _, h in part] or [np.empty(0, np.int64)])
-            start = np.concatenate([a for _, a, _ in part] or [np.empty(0, np.int64)])
-            order = np.argsort(keys, kind="stable")
-            self.seeds.append((keys[order], owner[order], start[order]))
-
-    def lay(self, ids: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int] | None:
-        """The best run of item laid over a document's tokens from shift on, if it counts: equal tokens, first token in
-        the document and in the item, length. Of runs that gain as much, the one with most equal tokens, then the
-        first; the whole if no run counts, but four fifths of the item are equal."""
-        x = self.ids[item]
-        a, b = max(0, -shift), min(len(x), len(ids) - shift)
-        same = x[a:b] == ids[a + shift : b + shift]
-        least, every = min(LEAST_EQUAL, share(len(x))), int(np.count_nonzero(same))
-        if every < least:
-            return None
-        equal = np.concatenate([[0], np.cumsum(same)])
-        total = (1 + COST) * equal - COST * np.arange(len(equal))
-        low = np.minimum.accumulate(total)
-        ends = np.flatnonzero(total - low == (total - low).max())
-        begins = np.searchsorted(-low, -low[ends])
-        best = int(np.argmax(equal[ends] - equal[begins]))
-        begin, end = int(begins[best]), int(ends[best])
-        if equal[end] - equal[begin] < least:
-            if every < share(len(x)):
-                return None
-            begin, end = 0, b - a
-        return int(equal[end] - equal[begin]), a + shift + begin, a + begin, end - begin
-
-    def overlaps(self, texts: list[bytes], words: Vocabulary) -> list[list[tuple[int, int, int, int, int]]]:
-        """For each text, the items that it holds with their best runs (item, then as lay() has it).
-
-        The texts' tokens stand in one array, parted by unknown tokens that no mask can leave out.
-        """
-        raw = [split(t) for t in texts]
-        counts = np.fromiter(map(len, raw), np.int64, len(raw))
-        ids = np.fromiter(map(words.__getitem__, chain.from_iterable(raw)), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(raw)), counts)[ids >= 0]
-        ids = ids[ids >= 0]
-        first = np.searchsorted(owner, np.arange(len(raw) + 1))
-        spread = np.zeros(len(ids) + GAP * len(raw), np.int64)
-        spread[np.arange(len(ids)) + GAP * owner] = ids
-        begin = first[:-1] + GAP * np.arange(len(raw))
-        tried: set[tuple[int, int, int]] = set()
-        best: list[dict[int, tuple[int, ...]]] = [{} for _ in raw]
-        for m, (keys, items, start) in zip(self.masks, self.seeds, strict=True):
-            if not len(keys):
-                continue
-            at, h = spaced(spread, m)
-            lo = np.searchsorted(keys, h, "left")
-            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == h)
-            docs = np.searchsorted(begin, at[hit], "right") - 1
-            for i, d in zip(hit.tolist(), docs.tolist(), strict=True):
-                k, where = int(lo[i]), int(at[i] - begin[d])
-                while k < len(keys) and keys[k] == h[i]:
-                    place = d, int(items[k]), where - int(start[k])
-                    k += 1
-                    if place not in tried:
-                        tried.add(place)
-                        _, item, shift = place
-                        run = self.lay(ids[first[d] : first[d + 1]], item, shift)
-                        if run:
-                            best[d][item] = max(best[d].get(item, (0,)), (run[0], -run[1], *run[1:]))
-        return [[(self.items[k], r[0], *r[2:]) for k, r in sorted(b.items())] for b in best]
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks; each is read by itself, so the driver holds one block at a time."""
-    items = benchmark.select(
-        F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    tokens = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    n = max(1, -(-int(tokens) // BLOCK_TOKENS))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = part.toArrow()
-        yield Block(list(zip(rows["item_id"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), strict=True)))
+def spaced(ids: np.ndarray, mask: str) -> np.ndarray:
+    """Hashes of the windows under the mask."""
+    n = max(0, len(ids) - len(mask) + 1)
+    h = np.full(n, int(mask, 2), np.uint64)
+    for k, c in enumerate(mask):
+        if c == "1":
+            h = (h ^ ids[k : k + n]) * _FACTOR
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def _places(h: Column) -> list[Column]:
+    return [F.pmod(h, F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(BLOOM_BITS))]
+
+
+def bloom(seeds: DataFrame) -> Broadcast:
+    """A Bloom filter of the seeds' hashes."""
+    bits = seeds.select(F.explode(F.array(*_places(F.col("h")))).alias("at"))
+    words = bits.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    filled = np.zeros(BLOOM_BITS >> 6, np.int64)
+    filled[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return seeds.sparkSession.sparkContext.broadcast(filled)
+
+
+def _passes(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where the hashes that pass the filter are."""
+    low = np.uint64(BLOOM_BITS - 1)
+    at = (h & low).astype(np.int64)
+    first = np.flatnonzero(filled[at >> 6] >> (at & 63) & 1)
+    at = (h[first] >> np.uint64(32) & low).astype(np.int64)
+    return first[np.flatnonzero(filled[at >> 6] >> (at & 63) & 1)]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item (a number for each row), item_id, n, tokens (hashes of 64 bits), without items of too few tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Hashes()
+        for b in batches:
+            raw = [tokens([t], words)[0] for t in texts(b)]
+            stay = [k for k, x in enumerate(raw) if len(x) >= LEAST_ITEM]
+            own = b.take(pa.array(stay, pa.int64()))
+            more = [pa.array([len(raw[k]) for k in stay], pa.int32()), pa.array([raw[k].tobytes() for k in stay], pa.binary())]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *more], names=["item", "item_id", "n", "tokens"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return materialize(rows.mapInArrow(run, "item bigint, item_id bigint, n int, tokens binary"))
+
+
+def _seeds(items: DataFrame) -> DataFrame:
+    """h, item, start: every window of the items under the masks for their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, n, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                ids = np.frombuffer(x, np.uint64)
+                for mask in SEEDS if n >= WINDOW else SHORT_SEEDS:
+                    h = spaced(ids, mask).view(np.int64)
+                    columns = [pa.array(h), pa.array(np.full(len(h), item)), pa.array(np.arange(len(h), dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["h", "item", "start"])
+
+    return materialize(items.select("item", "n", "tokens").mapInArrow(run, "h bigint, item bigint, start int"))
+
+
+def _hits(docs: DataFrame, filled: Broadcast, masks: tuple[str, ...]) -> DataFrame:
+    """docs: doc_id, text, and what is to be kept. For each row with a window that passes the filter: a number of its
+    own (rid), doc_id, what was kept, its tokens, and the windows' hashes and places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Hashes()
+        for b in parts(batches):
+            ids, owner = tokens(texts(b), words)
+            first = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            spread = np.zeros(len(ids) + GAP * b.num_rows, np.uint64)
+            spread[np.arange(len(ids)) + GAP * owner] = ids
+            begin = first + GAP * np.arange(b.num_rows + 1)
+            doc, at, hashes = [], [], []
+            for m in masks:
+                n = len(spread) - len(m) + 1
+                if n < 1:
+                    continue
+                h = spaced(spread, m)
+                hit = _passes(filled.value, h)
+                hit = hit[(spread[hit] > 0) & (spread[hit + len(m) - 1] > 0)]
+                of = np.searchsorted(begin, hit, "right") - 1
+                doc.append(of)
+                at.append(hit - begin[of])
+                hashes.append(h[hit])
+            doc, at, hashes = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (doc, at, hashes))
+            order = np.argsort(doc, kind="stable")
+            own, sizes = np.unique(doc, return_counts=True)
+            ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(t))) for x, t in ((hashes, np.int64), (at, np.int32))]
+            kept = b.drop_columns(["text"]).take(pa.array(own, pa.int64()))
+            raw = pa.array([ids[first[k] : first[k + 1]].tobytes() for k in own.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*kept.columns, raw, *lists], names=[*kept.schema.names, "tokens", "hashes", "places"])
+
+    rows = docs.withColumn("rid", F.monotonically_increasing_id())
+    schema = rows.drop("text").schema
+    for name, kind in (("tokens", T.BinaryType()), ("hashes", T.ArrayType(T.LongType())), ("places", T.ArrayType(T.IntegerType()))):
+        schema = schema.add(name, kind)
+    return materialize(rows.mapInArrow(run, schema))
+
+
+def best_run(same: np.ndarray) -> tuple[int, int, int] | None:
+    """same: which of an item's tokens equal those that they lie on. Windows with enough equal tokens that overlap or
+    touch are one run, without unequal tokens at its ends; of the run with most equal tokens, then the first: how many,
+    the first token, and the length. None without such a window."""
+    wide = min(WINDOW, len(same))
+    total = np.concatenate([[0], np.cumsum(same)])
+    ends = np.flatnonzero(total[wide:] - total[:-wide] >= share(wide)) + wide
+    if not len(ends):
+        return None
+    new = np.flatnonzero(np.diff(ends) > wide) + 1
+    begin, end = ends[np.concatenate([[0], new])] - wide, ends[np.concatenate([new - 1, [len(ends) - 1]])]
+    best = int(np.argmax(total[end] - total[begin]))
+    inside = np.flatnonzero(same[begin[best] : end[best]])
+    return len(inside), int(begin[best] + inside[0]), int(inside[-1] - inside[0] + 1)
+
+
+def _verified(met: DataFrame) -> DataFrame:
+    """met: rid, item_id, shift, n, theirs (the item's tokens), ours (the document's from the item's first on, or from
+    its own first). The best run of each row that overlaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rid, item, shift, n, theirs, ours in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                a, doc, same = max(0, -shift), np.frombuffer(ours, np.uint64), np.zeros(n, bool)
+                same[a : a + len(doc)] = np.frombuffer(theirs, np.uint64)[a : a + len(doc)] == doc
+                if found := best_run(same):
+                    out.append((rid, item, found[0], shift + found[1], found[1], found[2]))
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    names = ["rid", "item_id", "equal", "doc_token", "item_token", "length"]
+    return met.mapInArrow(run, "rid bigint, item_id bigint, equal int, doc_token int, item_token int, length int")
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs: doc_id, text, and further columns, which are kept. One row for each row of docs and item that overlap."""
+    items = _items(benchmark)
+    long, short = items.agg(F.coalesce(F.max(F.col("n") >= WINDOW), F.lit(False)), F.coalesce(F.max(F.col("n") < WINDOW), F.lit(False))).first()
+    seeds = _seeds(items)
+    hits = _hits(docs, bloom(seeds), SEEDS * long + SHORT_SEEDS * short)
+    windows = hits.select("rid", F.explode(F.arrays_zip("hashes", "places")).alias("w"))
+    windows = windows.select("rid", F.col("w.hashes").alias("h"), F.col("w.places").alias("place"))
+    pairs = windows.join(seeds, "h").select("rid", "item", (F.col("place") - F.col("start")).alias("shift")).distinct()
+    # Of a document's tokens only those that the item lies on go on.
+    skip, n = F.greatest("shift", F.lit(0)), F.col("n") + F.least("shift", F.lit(0))
+    ours = F.substring("tokens", (8 * skip + 1).cast("int"), (8 * n).cast("int"))
+    met = pairs.join(items.withColumnRenamed("tokens", "theirs"), "item").join(hits.select("rid", "tokens"), "rid")
+    found = _verified(met.select("rid", "item_id", "shift", "n", "theirs", ours.alias("ours")))
+    best = found.groupBy("rid", "item_id").agg(F.max_by(F.struct("equal", "doc_token", "item_token", "length"), F.struct("equal", -F.col("doc_token"), -F.col("item_token"))).alias("b"))
+    return hits.drop("tokens", "hashes", "places").join(best, "rid").select(*docs.drop("text").columns, "item_id", "b.*")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each pair of document and benchmark item that overlap: doc_id, item_id, equal tokens, where the
     run starts in the document's and the item's tokens, and its length.
 
-    Null or empty texts, on either side, hold no tokens and overlap nothing; null ids stay null; repeated rows give
-    repeated rows; with an empty table on either side there are no rows. Further columns are left out. When an item
-    overlaps a document in several places, the run with most equal tokens, then the first, counts.
+    Null or empty texts, on either side, hold no tokens and overlap nothing; items of fewer than LEAST_ITEM tokens
+    aren't checked; null ids stay null; repeated documents give repeated rows, repeated items don't; with an empty table
+    on either side there are no rows. Further columns are left out. When an item overlaps a document in several places,
+    the run with most equal tokens, then the first, counts.
     """
-    frames = []
-    for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            words = Vocabulary(block.known)
-            for b in parts(batches):
-                found = block.overlaps(texts(b), words)
-                rows = [(doc, *x) for doc, xs in zip(b.column(0).to_pylist(), found, strict=True) for x in xs]
-                names = [x.split() for x in FOUND.split(", ")]
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64() if t == "bigint" else pa.int32()) for c, (_, t) in zip(columns, names, strict=True)],
-                    names=[n for n, _ in names],
-                )
-
-        frames.append(doc_view(docs).mapInArrow(run, FOUND))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+    return _overlaps(doc_view(docs), benchmark)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -245,17 +276,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that overlap no benchmark item; in one pass for each block."""
-    at = docs.columns.index("text")
-    for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            words = Vocabulary(block.known)
-            for b in parts(batches):
-                raw = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
-                yield b.filter(pa.array([not x for x in block.overlaps(raw, words)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs, all columns as they are, that overlap no benchmark item. A row is told by its doc_id and the
+    hashes of its text."""
+    id_, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = {"__id": id_, "__h1": F.xxhash64(text), "__h2": F.hash(text)}
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), *(c.alias(k) for k, c in key.items()))
+    dirty = materialize(_overlaps(own, benchmark).select(*key).distinct())
+    same = [c == dirty[k] for k, c in key.items()]
+    if dirty.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(dirty), same, "left_anti")
+    sieve = Sieve(dirty, "__h1")
+    return sieve.part(docs, key["__h1"], False).unionAll(sieve.part(docs, key["__h1"]).join(dirty, same, "left_anti"))

@@ -279,7 +279,7 @@ def _members(docs: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 2)), pa.array(sets, pa.binary())], names=["id", "block", "shingles"])
 
     own = doc_view(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-    own = Sieve(placed).keep(own, F.col("id")).join(placed, "id").select("id", "text", "block")
+    own = Sieve(placed).part(own, F.col("id")).join(placed, "id").select("id", "text", "block")
     sets = own.mapInArrow(run, "id bigint, block bigint, shingles binary")
     asked = pairs.select("i", "j", F.col("i").alias("block"), F.lit(0).alias("side"))
     asked = asked.unionAll(pairs.where("i <> j").select("i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))

@@ -388,17 +388,74 @@ def test_decontamination_folds_unicode(spark):
 
 def test_decontamination_of_short_items(spark):
     change = lambda words, *at: " ".join(["odd"] * 5 + ["new" if k in at else w for k, w in enumerate(words)] + ["odd"] * 5)
-    cases = [(18, 2, 15), (15, 2), (15, 12), (16, 1, 14), (15, 3, 7, 11), (13, 6), (13, 4, 8), (10, 3, 6), (8, 4), (5, 2), (4,)]
-    fewer = [(18, 2, 5, 8, 11, 14), (13, 3, 6, 9), (8, 2, 5), (4, 1)]
+    cases = [(18, 2, 15), (15, 2), (15, 12), (16, 1, 14), (15, 3, 7, 11), (13, 6), (13, 4, 8), (10, 3, 6), (8, 4)]
+    fewer = [(18, 2, 5, 8, 11, 14), (13, 3, 6, 9), (8, 2, 5), (7,), (1,)]
     items, texts = [], []
     for k, (n, *at) in enumerate(cases + fewer):
         items.append((k, " ".join(f"item{k}word{j}" for j in range(n))))
         texts.append(change(items[-1][1].split(), *at))
-    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    benchmark = spark.createDataFrame([*items, (90, "the"), (91, "odd odd")], "item_id bigint, text string")
     rows = {r.doc_id: (r.item_ids, r.most_equal) for r in decontaminate.report(frame(spark, texts), benchmark).collect()}
     for k, (n, *at) in enumerate(cases):
         assert rows[k] == ([k], n - len(at)), (n, at)
     assert all(rows[len(cases) + k] == ([], 0) for k in range(len(fewer)))
+    left = decontaminate.clean(frame(spark, ["the odd odd ones"]), benchmark)
+    assert left.count() == 1
+
+
+def test_masks_miss_nothing():
+    """Every placement of substitutions within the tolerance leaves a seed of the masks for that length."""
+    for n in range(decontaminate.LEAST_ITEM, decontaminate.WINDOW + 1):
+        masks = decontaminate.SEEDS if n == decontaminate.WINDOW else decontaminate.SHORT_SEEDS
+        seeds = [int(m, 2) << k for m in masks for k in range(n - len(m) + 1)]
+        for changes in range(n - decontaminate.share(n) + 1):
+            for at in itertools.combinations(range(n), changes):
+                assert any(not s & sum(1 << k for k in at) for s in seeds), (n, at)
+
+
+def runs_of(item, text):
+    """Brute force: for the item on all diagonals of the text, the most equal tokens of a run of windows."""
+    wide, best = min(16, len(item)), 0
+    for shift in range(1 - len(item), len(text)):
+        same = [0 <= k + shift < len(text) and x == text[k + shift] for k, x in enumerate(item)]
+        cover = set()
+        for k in range(len(item) - wide + 1):
+            if 5 * sum(same[k : k + wide]) >= 4 * wide:
+                cover |= set(range(k, k + wide))
+        run = 0
+        for k in range(len(item)):
+            run = run + same[k] if k in cover else 0
+            best = max(best, run)
+    return best
+
+
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_decontamination_against_all_diagonals(spark, monkeypatch, rows):
+    """Items that share lines and windows, texts with edits of all kinds: the same as token by token everywhere."""
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    line = some(12)
+    items = [some(rng.randrange(6, 40)) for _ in range(25)] + [line + some(rng.randrange(3, 20)) for _ in range(15)]
+    texts = []
+    for k in range(160):
+        part = list(items[rng.randrange(len(items))])
+        for _ in range(rng.randrange(0, 6)):
+            part[rng.randrange(len(part))] = f"w{rng.randrange(60)}"
+        if k % 3 == 0:
+            del part[rng.randrange(len(part))]
+        texts.append(some(rng.randrange(0, 20)) + part[rng.randrange(0, 3) :] + (line if k % 5 == 0 else []) + some(rng.randrange(0, 20)))
+    want = {}
+    for d, t in enumerate(texts):
+        found = {k: runs_of(x, t) for k, x in enumerate(items) if len(x) >= 8}
+        want[d] = {k: n for k, n in found.items() if n}
+    docs = frame(spark, [" ".join(t) for t in texts])
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = collections.defaultdict(dict)
+    for r in decontaminate.find_overlaps(docs, benchmark).collect():
+        got[r.doc_id][r.item_id] = r.equal
+    assert {d: got[d] for d in want} == want and sum(map(bool, want.values())) > 80 and not all(want.values())
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == {d for d, x in want.items() if not x}
 
 
 def test_mixing(spark):
