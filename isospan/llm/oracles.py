@@ -76,7 +76,53 @@ SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, reps.copy_id, rea
 FROM sets JOIN reps ON sets.s = reps.s JOIN reach ON reach.id = reps.copy_id LEFT JOIN counts ON counts.a = reps.copy_id
 """
 
+_PASSAGES = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, {_WORDS.replace("coalesce(text, '')", _LOWER.format("coalesce(text, '')"))} AS ws,
+         string_split_regex(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS gaps
+  FROM documents),
+words AS (
+  SELECT doc_id, w, k, CAST(('0x' || left(md5(w), 8)) AS BIGINT) % 6 AS class,
+         sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY k) AS stop
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS gap, unnest(range(len(ws))) AS k FROM docs)),
+cuts AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, (class + lag(class) OVER (PARTITION BY doc_id ORDER BY k)) % 6 = 0 AS cut FROM words) WHERE cut AND k > 0
+  UNION SELECT doc_id, 0 FROM docs UNION SELECT doc_id, len(ws) FROM docs),
+reach AS (
+  SELECT c.doc_id, c.k AS a, min(c.k) OVER (PARTITION BY c.doc_id ORDER BY c.k RANGE BETWEEN 20 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM cuts c),
+segments AS (
+  SELECT doc_id, a, b FROM reach WHERE b IS NOT NULL
+  UNION SELECT r.doc_id, max(a), any_value(len(d.ws)) FROM reach r JOIN docs d USING (doc_id) WHERE b IS NOT NULL GROUP BY r.doc_id),
+lines AS (
+  SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS stop
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM docs)),
+units AS (
+  SELECT s.doc_id, false AS line, array_to_string(d.ws[s.a + 1:s.b], ' ') AS unit, f.stop - length(f.w) AS start, l.stop
+  FROM segments s JOIN docs d USING (doc_id) JOIN words f ON f.doc_id = s.doc_id AND f.k = s.a JOIN words l ON l.doc_id = s.doc_id AND l.k = s.b - 1
+  UNION ALL
+  SELECT doc_id, true, array_to_string(ws, ' '), stop - size, stop FROM (
+    SELECT doc_id, stop, length(line) AS size, {_WORDS.replace("coalesce(text, '')", _LOWER.format("line"))} AS ws FROM lines) WHERE len(ws) >= 20),
+owners AS (SELECT line, unit, min(doc_id) AS owner FROM units GROUP BY ALL),
+spans AS (
+  SELECT u.doc_id, start, least(u.stop + CAST(u.line AS INT), length(d.text)) AS stop
+  FROM (SELECT *, first_value(stop) OVER (PARTITION BY doc_id, line, unit ORDER BY start) AS place FROM units) u
+  JOIN owners o ON o.line = u.line AND o.unit = u.unit JOIN docs d ON d.doc_id = u.doc_id
+  WHERE o.owner <> u.doc_id OR u.start >= u.place),
+islands AS (
+  SELECT doc_id, min(start) AS a, max(stop) AS b FROM (
+    SELECT *, sum(CAST(start > coalesce(far, -1) AS INT)) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS n FROM (
+      SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM spans))
+  GROUP BY doc_id, n),
+left_over AS (
+  SELECT i.doc_id, count(*) AS n, string_agg(i.a || ':' || i.b, ',' ORDER BY i.a) AS removed,
+         string_agg(substr(d.text, CAST(i.from_ + 1 AS BIGINT), CAST(i.a - i.from_ AS BIGINT)), '' ORDER BY i.a) || substr(any_value(d.text), CAST(max(i.b) + 1 AS BIGINT)) AS kept
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM islands) i JOIN docs d ON d.doc_id = i.doc_id GROUP BY i.doc_id)
+SELECT d.doc_id, coalesce(l.n, 0) AS n_removed, coalesce(l.removed, '') AS removed, sha256(coalesce(l.kept, d.text)) AS kept_sha256
+FROM docs d LEFT JOIN left_over l ON l.doc_id = d.doc_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op6_substring_dedup": _PASSAGES,
     "op2_ngram_join": _NGRAM_JOIN,
     "op7_line_dedup": _LINE_DEDUP,
     "op8_quality_rules": _QUALITY,

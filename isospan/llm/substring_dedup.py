@@ -1,14 +1,19 @@
 """Repeated passages by hashing normalised units.
 
-Units are lines, and segments of the whole text across line breaks: a text is cut where the hash of two neighbouring
-words falls in a fixed class, so a passage is cut at the same words wherever it stands, and every cut starts a segment
-that runs to the first cut at least LEAST_WORDS on. Segments overlap and leave no words out. Digests of all units are
-grouped; the earliest document keeps a unit, in its first place, and all others lose it. What is removed is reported
-by its offsets in the original text.
+Units are lines, and segments of the whole text across line breaks, of LEAST_WORDS words or more: a text is cut between
+two words where a fixed rule over both says so, hence a passage is cut at the same words wherever it stands, and every
+cut starts a segment that runs to the first cut at least LEAST_WORDS on. Segments overlap and leave no words out, so
+passages set into other lines are found as well. Digests of all units are grouped; the earliest document keeps a unit,
+in its first place, and all others lose it. What is removed is reported by its offsets in the original text. Shorter
+lines, such as notices that many texts share, are no passages and stay; they are for line deduplication.
+
+Units that occur in one document alone, and documents that lose nothing, stay out of the shuffles that follow the
+grouping.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,65 +23,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, doc_view, hash128, parts, texts
+from .common import NULL_ID, Sieve, doc_view, materialize, parts, texts
 
 #: Words from which a line or segment is a unit.
-LEAST_WORDS = 6
+LEAST_WORDS = 20
 #: One in so many pairs of words is cut.
 CUT = 6
 _KEY = ["h1", "h2"]
 _CONTINUES = bytes(range(0x80, 0xC0))
 #: The bytes that bytes.split() takes for space.
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\v\f", np.uint8))
+#: Two odd factors, and their inverses modulo 2 to the 64.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_INVERSES = np.array([pow(int(f), -1, 1 << 64) for f in _FACTORS], np.uint64)
 
 
-class Hashes(dict):
-    """Hashes of words, remembered as met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def cut_class(word: bytes) -> int:
+    """Two neighbouring words whose classes add up to a multiple of CUT are cut."""
+    return int(hashlib.md5(word).hexdigest()[:8], 16) % CUT
 
 
-class Cutter:
-    """Finds the units of texts; remembers the hashes of words."""
+class Numbers(dict):
+    """Numbers of words as met, with their hashes and classes."""
 
     def __init__(self) -> None:
-        self.words = Hashes()
+        super().__init__()
+        self.hashes, self.classes = np.empty(1024, np.uint64), np.empty(1024, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        if n == len(self.hashes):
+            self.hashes, self.classes = (np.concatenate([x, np.empty_like(x)]) for x in (self.hashes, self.classes))
+        self.hashes[n], self.classes[n] = xxhash.xxh3_64_intdigest(word), cut_class(word)
+        return n
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.words) > 500_000:
-            self.words.clear()
-        return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
 
-    def units(self, text: bytes) -> list[tuple[bytes, int, int]]:
-        """(normalised unit, start, end) with offsets in bytes; lines come before segments, both in order of start.
+class Cutter:
+    """Finds the units of texts; remembers words."""
 
-        Normalised: words in lower-case A-Z, parted by one space. A segment is marked, to differ from a line.
-        """
+    def __init__(self) -> None:
+        self.words = Numbers()
+        self.powers = np.ones((4, 1), np.uint64)
+
+    def _powers(self, n: int) -> np.ndarray:
+        """Powers of the factors and of their inverses, up to n."""
+        if self.powers.shape[1] <= n:
+            steps = np.concatenate([_FACTORS, _INVERSES])[:, None].repeat(2 * n, 1)
+            self.powers = np.cumprod(np.concatenate([np.ones((4, 1), np.uint64), steps], 1), axis=1, dtype=np.uint64)
+        return self.powers
+
+    def units(self, text: bytes) -> tuple[np.ndarray, ...]:
+        """Of each unit: two hashes of its words, A-Z in lower case, and of whether it is a line; start and end in
+        bytes; whether it is a line. Lines come before segments, both in order of start."""
         words = text.lower().split()
         if len(words) < LEAST_WORDS:
-            return []
+            none = np.empty(0, np.int64)
+            return none.view(np.uint64), none.view(np.uint64), none, none, none.astype(bool)
+        if len(self.words) > 500_000:
+            self.words.clear()
+        ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        hashes, classes = self.words.hashes[ids], self.words.classes[ids]
         raw = np.frombuffer(text, np.uint8)
         edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
         first, last = edge[::2], edge[1::2]
-        plain, at = b" ".join(words), np.concatenate([[0], np.cumsum(last - first + 1)])
-        part = lambda a, b: (plain[x : y - 1] for x, y in zip(at[a].tolist(), at[b].tolist(), strict=True))
         ends = np.flatnonzero(raw == ord("\n"))
         begin, ends = np.append(0, ends + 1), np.append(ends, len(raw))
         a, b = np.searchsorted(first, begin), np.searchsorted(first, ends)
-        some = b - a >= LEAST_WORDS
-        out = list(zip(part(a[some], b[some]), begin[some].tolist(), ends[some].tolist(), strict=True))
-        a, b = self.segments(words)
-        out += zip(map(b"\x00".__add__, part(a, b)), first[a].tolist(), last[b - 1].tolist(), strict=True)
-        return out
-
-    def segments(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        long = b - a >= LEAST_WORDS
+        c, d = self.segments(classes)
+        line = np.arange(long.sum() + len(c)) < long.sum()
+        starts, stops = np.concatenate([begin[long], first[c]]), np.concatenate([ends[long], last[d - 1]])
+        a, b = np.concatenate([a[long], c]), np.concatenate([b[long], d])
+        powers, out = self._powers(len(words)), []
+        for k, mixed in enumerate((hashes, (hashes ^ (hashes >> np.uint64(31))) * _FACTORS[0])):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers[k, : len(words)], dtype=np.uint64)])
+            h = ((sums[b] - sums[a]) * powers[k + 2, a] + (b - a).astype(np.uint64)) * _FACTORS[1 - k]
+            out.append((h ^ (h >> np.uint64(29))) + line)
+        return *out, starts, stops, line
+
+    @staticmethod
+    def segments(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First words and ends of the segments. The ends of the text are cuts too, and a last segment ends there."""
-        h = self.hashes(words)
-        mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        inner = np.flatnonzero((mixed >> np.uint64(33)) % np.uint64(CUT) == 0) + 1
-        cuts = np.concatenate([[0], inner, [len(words)]])
+        inner = np.flatnonzero((classes[:-1] + classes[1:]) % CUT == 0) + 1
+        cuts = np.concatenate([[0], inner, [len(classes)]])
         to = np.searchsorted(cuts, cuts + LEAST_WORDS)
         a = np.flatnonzero(to < len(cuts))
         b = to[a]
@@ -86,21 +115,33 @@ class Cutter:
         return cuts[a], cuts[b]
 
 
+def _repeated(h1: np.ndarray, h2: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The units that begin at or behind the end of an earlier equal one. Equal ones are in order of start."""
+    _, first, of = np.unique(np.stack([h1, h2]), axis=1, return_index=True, return_inverse=True)
+    return starts >= stops[first[of.ravel()]]
+
+
 def unit_hashes(docs: DataFrame) -> DataFrame:
-    """h1, h2, id: the distinct unit hashes of each row; id is doc_id, or NULL_ID where it is null."""
+    """h1, h2, id, again: the distinct unit hashes of each row; id is doc_id, or NULL_ID where it is null; again: the
+    unit is repeated in the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter()
         for b in parts(batches):
-            keys, ids = [], []
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for doc, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                own = {u for u, _, _ in cutter.units(t)}
-                keys += own
-                ids += [NULL_ID if doc is None else doc] * len(own)
-            h1, h2 = hash128(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids, pa.int64())], names=["h1", "h2", "id"])
+                h1, h2, starts, stops, _ = cutter.units(t)
+                if len(h1):
+                    both, first, of = np.unique(np.stack([h1, h2]), axis=1, return_index=True, return_inverse=True)
+                    again = np.bincount(of.ravel(), starts >= stops[first[of.ravel()]], both.shape[1]) > 0
+                    for column, values in zip(out, (both[0], both[1], np.full(both.shape[1], NULL_ID if doc is None else doc), again), strict=True):
+                        column.append(values)
+            columns = [np.concatenate(x or [np.empty(0, np.int64)]) for x in out]
+            kinds = (np.int64, np.int64, np.int64, bool)
+            arrays = [pa.array(x.view(k) if x.dtype == np.uint64 else x.astype(k)) for x, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h1", "h2", "id", "again"])
 
-    return doc_view(docs).mapInArrow(run, "h1 bigint, h2 bigint, id bigint")
+    return doc_view(docs).mapInArrow(run, "h1 bigint, h2 bigint, id bigint, again boolean")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,16 +154,15 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(text: bytes, units: list[tuple[bytes, int, int]], lost: set[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+def _cut(text: bytes, cutter: Cutter, lost: set[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
     """The text without its lost units and those it repeats, and the removed spans in bytes. A line goes with its end.
     What overlaps the first place of the same unit is no repetition."""
-    h1, h2 = hash128(u for u, _, _ in units)
-    seen: dict[tuple[int, int], int] = {}
-    spans = []
-    for (u, a, b), h in zip(units, zip(h1.tolist(), h2.tolist(), strict=True), strict=True):
-        if h in lost or a >= seen.setdefault(h, b):
-            spans.append((a, min(b + (u[0] != 0), len(text))))
-    spans = _merged(spans)
+    h1, h2, starts, stops, line = cutter.units(text)
+    if not len(h1):
+        return text, []
+    pairs = zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist(), strict=True)
+    gone = np.fromiter((x in lost for x in pairs), bool, len(h1)) | _repeated(h1, h2, starts, stops)
+    spans = _merged(list(zip(starts[gone].tolist(), np.minimum(stops + line, len(text))[gone].tolist(), strict=True)))
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
@@ -141,43 +181,42 @@ def _points(text: bytes, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
-    """The rows of docs with all columns, text without repeated units, and n_units, n_removed (spans) and removed, an
-    array of (start, end) offsets in code points of the original text; these replace columns of docs so named.
+    """The rows of docs with all columns, text without repeated units, and n_removed (spans) and removed, an array of
+    (start, end) offsets in code points of the original text; these replace columns of docs so named.
 
     The smallest doc_id that has a unit keeps it, in its first place, but for words that are also in a unit, overlapping
-    it, that goes: each word removed is kept in an earlier place of its unit, or goes there in favour of one earlier yet. Null doc_ids are one document, larger than all
-    others, and rows with the same doc_id are one document. A null or empty text has no units and stays as it is.
-    Units have six words or more. An empty table gives none. The units are found anew for each use: they would take more
-    disk than time.
+    it, that goes: each word removed is kept in an earlier place of its unit, or goes there in favour of one earlier
+    yet. Null doc_ids are one document, larger than all others, and rows with the same doc_id are one document. A null
+    or empty text has no units and stays as it is. An empty table gives none. The units are found anew for each use:
+    they would take more disk than time.
     """
-    docs = docs.drop("n_units", "n_removed", "removed")
+    docs = docs.drop("n_removed", "removed")
     units = unit_hashes(docs)
-    shared = units.groupBy(_KEY).agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner != last")
-    lost = units.join(shared.select("h1", "h2", "owner"), _KEY).where("id != owner")
-    lost = lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    owners = units.groupBy(_KEY).agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.max("again").alias("again"))
+    shared = materialize(owners.where("owner != last OR again").select(*_KEY, "owner"))
+    met = Sieve(shared, "h1").part(units, F.col("h1")).join(shared, _KEY).where("id != owner OR again")
+    drop = F.collect_set(F.when(F.col("id") != F.col("owner"), F.struct("h1", "h2")))
+    lost = materialize(met.groupBy("id").agg(drop.alias("drops")))
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType(
-        [*docs.schema, T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)]
-    )
+    schema = T.StructType([*docs.schema, T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)])
     at = docs.columns.index("text")
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
-    both = docs.join(lost, key == lost["id"], "left").select(*(docs[c] for c in docs.columns), lost["drops"].alias("__drops"))
+    key, sieve = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), Sieve(lost)
+    whole = sieve.part(docs, key, False).select(*docs.columns, F.lit(0).cast("bigint").alias("n_removed"), F.array().cast(spans).alias("removed"))
+    some = sieve.part(docs, key)
+    both = some.join(lost, key == lost["id"], "left").select(*(some[c] for c in docs.columns), lost["drops"].alias("__drops"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter()
         for b in parts(batches):
-            kept, n_units, removed = [], [], []
+            kept, removed = [], []
             raw = b.column(at).cast(pa.binary()).to_pylist()
             for t, gone in zip(raw, b.column(b.num_columns - 1).to_pylist(), strict=True):
-                units = cutter.units(t or b"")
-                left, found = _cut(t or b"", units, {(x["h1"], x["h2"]) for x in gone or ()})
-                n_units.append(len(units))
+                left, found = _cut(t or b"", cutter, {(x["h1"], x["h2"]) for x in gone or ()})
                 kept.append(t if not found else left)
                 removed.append(_points(t or b"", found))
             columns = [b.column(k) for k in range(b.num_columns - 1)]
             columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
-            more = [pa.array(n_units, pa.int64()), pa.array(map(len, removed), pa.int64())]
-            more.append(pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays([*columns, *more], names=schema.names)
+            columns += [pa.array(map(len, removed), pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return whole.unionAll(both.mapInArrow(run, schema))
