@@ -5,23 +5,28 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local runs a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="isospan-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(spark: SparkSession, path: str, name: str | None) -> None:
     try:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
     except Exception:  # the session may have ended by then; the folder is scratch space
@@ -30,16 +35,31 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def release() -> None:
-    """Delete the tables that materialize() wrote."""
+    """Delete the tables that materialize() and bucketed() wrote. Whoever has used up all results of a session that goes
+    on may call it; at the end of the process it is called anyway."""
     while _written:
         _remove(*_written.pop())
 
 
+def _new_path(spark: SparkSession, name: str | None = None) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{name or f'isospan-{uuid.uuid4().hex}'}"
+    _written.append((spark, path, name))
+    return path
+
+
 def materialize(df: DataFrame, *by: str) -> DataFrame:
     """Write df to the shared folder, parted by some columns if named, and read it again: cuts its lineage, survives
     lost executors, and lets the planner see its true size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/isospan-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = _new_path(spark)
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, buckets: int, keys: Sequence[str], *by: str) -> DataFrame:
+    """As materialize(), in so many buckets by the keys, sorted: joins and groups on the keys need no shuffle of it. df
+    is best dealt by the keys to as many partitions already, or each of its tasks writes to all buckets."""
+    spark, name = df.sparkSession, f"isospan_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", _new_path(spark, name))
+    (writer.partitionBy(*by) if by else writer).saveAsTable(name)
+    return spark.table(name)
