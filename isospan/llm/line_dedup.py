@@ -4,6 +4,10 @@ Documents come in batches in the order of their ids. A batch's line hashes are m
 written so far; what is new becomes a sorted run of its own. Runs are levelled: once a level holds FANOUT of them,
 they are compacted into one run of the next level, so a batch reads few runs. A run holds, for each hash, the
 smallest document that has the line; every other document loses it.
+
+Line hashes and runs are bucketed tables with the same number of buckets, each sorted, so hashes are shuffled once, when
+they are written: batches are grouped, runs joined and compacted bucket by bucket. Of the texts, only those of documents
+that lose lines go through a shuffle.
 """
 
 from __future__ import annotations
@@ -16,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, doc_view, hash128, materialize, parts, texts
+from ..tables import bucketed
+from .common import NULL_ID, Sieve, doc_view, hash128, materialize, parts, texts
 
-BATCHES = 4
+#: Batches, at least; and documents of a batch, at most.
+BATCHES, BATCH_DOCS = 4, 50_000_000
 FANOUT = 2
 #: Code points from which a line counts.
 LEAST_LENGTH = 10
@@ -36,23 +42,21 @@ def line_key(line: bytes) -> bytes:
 
 
 class Runs:
-    """Sorted runs of line hashes and their owners, by level."""
+    """Sorted runs of line hashes and their owners, by level. The hashes of different runs differ."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout = fanout
+    def __init__(self, buckets: int, fanout: int = FANOUT):
+        self.buckets, self.fanout = buckets, fanout
         self.levels: list[list[DataFrame]] = []
 
     def all(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    def read(self) -> DataFrame:
-        return reduce(DataFrame.unionAll, self.all())
-
     def add(self, batch: DataFrame) -> None:
-        """batch: h1, h2, id, each document's distinct hashes; its ids are larger than those of batches before."""
+        """batch: h1, h2, id, each document's distinct hashes, bucketed as the runs are; its ids are larger than those
+        of batches before."""
         new = batch.groupBy(_KEY).agg(F.min("id").alias("owner"))
-        if self.levels:
-            new = new.join(self.read().hint("merge"), _KEY, "left_anti")
+        for run in self.all():
+            new = new.join(run.hint("merge"), _KEY, "left_anti")
         run, level = self._write(new), 0
         while True:
             if level == len(self.levels):
@@ -60,13 +64,17 @@ class Runs:
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            run = self._write(reduce(DataFrame.unionAll, self.levels[level]).repartition(*_KEY))
+            run = self._write(reduce(self._merged, self.levels[level]))
             self.levels[level] = []
             level += 1
 
     @staticmethod
-    def _write(rows: DataFrame) -> DataFrame:
-        return materialize(rows.sortWithinPartitions(_KEY))
+    def _merged(one: DataFrame, other: DataFrame) -> DataFrame:
+        both = one.join(other.withColumnRenamed("owner", "also").hint("merge"), _KEY, "full")
+        return both.select(*_KEY, F.coalesce("owner", "also").alias("owner"))
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        return bucketed(rows, self.buckets, _KEY)
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -87,14 +95,21 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 def drops(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """id and ``drops``, the hashes (h1, h2) of the lines that the document loses; documents that lose none are out."""
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), [k / batches for k in range(1, batches)], 1000)).first()[0]
-    batch = reduce(lambda a, c: a + (F.col("id") > c).cast("int"), sorted(set(cuts or [])), F.lit(0))
-    hashes = materialize(line_hashes(docs).withColumn("batch", batch), "batch")
-    runs = Runs()
-    for k in range(len(set(cuts or [])) + 1):
+    spark, id_ = docs.sparkSession, F.col("doc_id").cast("bigint")
+    batches = max(batches, -(-docs.count() // BATCH_DOCS))
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(docs.agg(F.percentile_approx(id_, shares, 100 * batches)).first()[0] or [])) if shares else []
+    batch = F.lit(0)
+    if cuts:  # how many cuts are smaller than the id
+        batch = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("id")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashes = line_hashes(docs).withColumn("batch", batch).repartition(buckets, *_KEY)
+    hashes = bucketed(hashes, buckets, _KEY, "batch")
+    runs = Runs(buckets)
+    for k in range(len(cuts) + 1):
         runs.add(hashes.where(F.col("batch") == k))
-    lost = hashes.drop("batch").join(runs.read(), _KEY).where("id != owner")
-    return lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    lost = [hashes.join(run.hint("merge"), _KEY).where("id != owner").select("id", *_KEY) for run in runs.all()]
+    return reduce(DataFrame.unionAll, lost).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, counts: bool = True) -> DataFrame:
@@ -110,8 +125,13 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, counts: bool = True) ->
     schema = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in more)])
     at = docs.columns.index("text")
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
-    lost = drops(docs, batches)
-    both = docs.join(lost, key == lost["id"], "left").select(*(docs[c] for c in docs.columns), lost["drops"].alias("__drops"))
+    lost = materialize(drops(docs, batches))
+    sieve = Sieve(lost)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    found = [n_lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped")] if counts else []
+    whole, some = sieve.part(docs, key, False).select(*docs.columns, *found), sieve.part(docs, key)
+    both = some.join(lost, key == lost["id"], "left").select(*(some[c] for c in docs.columns), lost["drops"].alias("__drops"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -133,4 +153,4 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, counts: bool = True) ->
             found = [pa.array(x, pa.int64()) for x in (n_lines, n_dropped)] if counts else []
             yield pa.RecordBatch.from_arrays([*columns, *found], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return whole.unionAll(both.mapInArrow(run, schema))

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from isospan.llm import decontaminate, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, queries, substring_dedup, token_counts
+from isospan.llm import decontaminate, line_dedup, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, queries, substring_dedup, token_counts
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -311,6 +311,41 @@ def test_passages_go_whole_but_for_their_edges(spark):
     assert rows[120] == texts[120] and not rows[121].split()
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(300), 0, k, k // 250) for k in range(1000)]
+    hashes = spark.createDataFrame(rows, "h1 bigint, h2 bigint, id bigint, batch int").distinct().repartition(8, "h1", "h2")
+    hashes = line_dedup.bucketed(hashes, 8, ["h1", "h2"], "batch")
+    runs, plans = line_dedup.Runs(8), []
+    write = runs._write
+    runs._write = lambda rows: (plans.append(exchanges(rows)), write(rows))[1]
+    for k in range(3):
+        runs.add(hashes.where(F.col("batch") == k))
+    assert len(plans) == 4 and not any(plans)
+    assert len(runs.all()) == 2 and [len(x) for x in runs.levels] == [1, 1]
+    for run in runs.all():
+        assert not exchanges(hashes.join(run.hint("merge"), ["h1", "h2"]))
+    owner = {}
+    for h, _, k, batch in sorted(rows, key=lambda r: r[2]):
+        if batch < 3:
+            owner.setdefault(h, k)
+    got = [r for run in runs.all() for r in run.collect()]
+    assert {r.h1: r.owner for r in got} == owner and len(got) == len(owner)
+
+
+def test_a_later_batch_reads_the_runs(spark):
+    docs = frame(spark, [f"a line that many have\nand line {k % 7} of its own kind" for k in range(60)])
+    want = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, 1).collect()}
+    for batches in (4, 9):
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, batches).collect()} == want
+    assert [bool(want[k]) for k in range(60)] == [k < 7 for k in range(60)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracles(spark, sf, name):
     db = duckdb.connect()
