@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,53 +74,70 @@ class Cutter:
             self.powers = np.cumprod(np.concatenate([np.ones((4, 1), np.uint64), steps], 1), axis=1, dtype=np.uint64)
         return self.powers
 
-    def units(self, text: bytes) -> tuple[np.ndarray, ...]:
-        """Of each unit: two hashes of its words, A-Z in lower case, and of whether it is a line; start and end in
-        bytes; whether it is a line. Lines come before segments, both in order of start."""
-        words = text.lower().split()
-        if len(words) < LEAST_WORDS:
-            none = np.empty(0, np.int64)
-            return none.view(np.uint64), none.view(np.uint64), none, none, none.astype(bool)
+    def units(self, batch: list[bytes]) -> Units:
+        words = [t.lower().split() for t in batch]
         if len(self.words) > 500_000:
             self.words.clear()
-        ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        hashes, classes = self.words.hashes[ids], self.words.classes[ids]
-        raw = np.frombuffer(text, np.uint8)
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        doc, past = np.repeat(np.arange(len(words)), counts), np.cumsum(counts)
+        raw = np.frombuffer(b"\n".join([*batch, b""]), np.uint8)
+        origin = np.cumsum([0, *(len(t) + 1 for t in batch[:-1])])
         edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
         first, last = edge[::2], edge[1::2]
         ends = np.flatnonzero(raw == ord("\n"))
-        begin, ends = np.append(0, ends + 1), np.append(ends, len(raw))
+        begin = np.append(0, ends[:-1] + 1)
         a, b = np.searchsorted(first, begin), np.searchsorted(first, ends)
         long = b - a >= LEAST_WORDS
-        c, d = self.segments(classes)
+        c, d = self.segments(self.words.classes[ids], doc, past)
         line = np.arange(long.sum() + len(c)) < long.sum()
         starts, stops = np.concatenate([begin[long], first[c]]), np.concatenate([ends[long], last[d - 1]])
         a, b = np.concatenate([a[long], c]), np.concatenate([b[long], d])
-        powers, out = self._powers(len(words)), []
+        hashes, powers, out = self.words.hashes[ids], self._powers(len(ids)), []
         for k, mixed in enumerate((hashes, (hashes ^ (hashes >> np.uint64(31))) * _FACTORS[0])):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers[k, : len(words)], dtype=np.uint64)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers[k, : len(ids)], dtype=np.uint64)])
             h = ((sums[b] - sums[a]) * powers[k + 2, a] + (b - a).astype(np.uint64)) * _FACTORS[1 - k]
             out.append((h ^ (h >> np.uint64(29))) + line)
-        return *out, starts, stops, line
+        own = doc[a]
+        return Units(own, *out, starts - origin[own], stops - origin[own], line)
 
     @staticmethod
-    def segments(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words and ends of the segments. The ends of the text are cuts too, and a last segment ends there."""
-        inner = np.flatnonzero((classes[:-1] + classes[1:]) % CUT == 0) + 1
-        cuts = np.concatenate([[0], inner, [len(classes)]])
-        to = np.searchsorted(cuts, cuts + LEAST_WORDS)
-        a = np.flatnonzero(to < len(cuts))
-        b = to[a]
-        # a has all cuts up to the last that is LEAST_WORDS from the end, but that one's segment may end before.
-        if b[-1] < len(cuts) - 1:
-            a, b = np.append(a, a[-1]), np.append(b, len(cuts) - 1)
-        return cuts[a], cuts[b]
+    def segments(classes: np.ndarray, doc: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words and ends of the segments of texts end to end: doc is the number of each word's text, past where
+        the texts end. The ends of a text are cuts too, and a last segment ends there."""
+        inner = np.flatnonzero(((classes[:-1] + classes[1:]) % CUT == 0) & (doc[:-1] == doc[1:])) + 1
+        cuts = np.unique(np.concatenate([[0], inner, past]))
+        a = cuts[:-1][cuts[:-1] + LEAST_WORDS <= past[doc[cuts[:-1]]]]
+        b = cuts[np.searchsorted(cuts, a + LEAST_WORDS)]
+        # a has all cuts of a text up to the last that is LEAST_WORDS from its end, but that one's segment may end before.
+        of = doc[a]
+        last = np.flatnonzero(np.append(of[1:] != of[:-1], np.ones(min(1, len(of)), bool)))
+        last = last[b[last] < past[of[last]]]
+        return np.concatenate([a, a[last]]), np.concatenate([b, past[of[last]]])
+
+
+@dataclass
+class Units:
+    """Of each unit of some texts: the number of its text; two hashes of its words, A-Z in lower case, and of whether it
+    is a line; start and end in bytes; whether it is a line. Equal units of a text are in order of start."""
+
+    doc: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    line: np.ndarray
 
+    @staticmethod
+    def keys(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """One hash of a unit and its text."""
+        return (h1 ^ h2 * _FACTORS[0]) + doc.astype(np.uint64) * _FACTORS[1]
 
-def _repeated(h1: np.ndarray, h2: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """The units that begin at or behind the end of an earlier equal one. Equal ones are in order of start."""
-    _, first, of = np.unique(np.stack([h1, h2]), axis=1, return_index=True, return_inverse=True)
-    return starts >= stops[first[of.ravel()]]
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first of equal units of a text, and which of all begin at or behind its end."""
+        _, first, of = np.unique(self.keys(self.doc, self.h1, self.h2), return_index=True, return_inverse=True)
+        again = self.start >= self.stop[first[of]]
+        return first, again
 
 
 def unit_hashes(docs: DataFrame) -> DataFrame:
@@ -128,18 +147,12 @@ def unit_hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter()
         for b in parts(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                h1, h2, starts, stops, _ = cutter.units(t)
-                if len(h1):
-                    both, first, of = np.unique(np.stack([h1, h2]), axis=1, return_index=True, return_inverse=True)
-                    again = np.bincount(of.ravel(), starts >= stops[first[of.ravel()]], both.shape[1]) > 0
-                    for column, values in zip(out, (both[0], both[1], np.full(both.shape[1], NULL_ID if doc is None else doc), again), strict=True):
-                        column.append(values)
-            columns = [np.concatenate(x or [np.empty(0, np.int64)]) for x in out]
-            kinds = (np.int64, np.int64, np.int64, bool)
-            arrays = [pa.array(x.view(k) if x.dtype == np.uint64 else x.astype(k)) for x, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["h1", "h2", "id", "again"])
+            found = cutter.units(texts(b))
+            first, again = found.distinct()
+            repeats = np.isin(found.keys(found.doc, found.h1, found.h2)[first], found.keys(found.doc, found.h1, found.h2)[again])
+            ids = np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], np.int64)
+            columns = [found.h1[first].view(np.int64), found.h2[first].view(np.int64), ids[found.doc[first]], repeats]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h1", "h2", "id", "again"])
 
     return doc_view(docs).mapInArrow(run, "h1 bigint, h2 bigint, id bigint, again boolean")
 
@@ -154,20 +167,27 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(text: bytes, cutter: Cutter, lost: set[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without its lost units and those it repeats, and the removed spans in bytes. A line goes with its end.
-    What overlaps the first place of the same unit is no repetition."""
-    h1, h2, starts, stops, line = cutter.units(text)
-    if not len(h1):
-        return text, []
-    pairs = zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist(), strict=True)
-    gone = np.fromiter((x in lost for x in pairs), bool, len(h1)) | _repeated(h1, h2, starts, stops)
-    spans = _merged(list(zip(starts[gone].tolist(), np.minimum(stops + line, len(text))[gone].tolist(), strict=True)))
+def _removed(batch: list[bytes], cutter: Cutter, drops: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """The spans in bytes that each text loses: its units in drops (h1, h2), and those it repeats. A line goes with its
+    end. What overlaps the first place of the same unit is no repetition."""
+    found = cutter.units(batch)
+    _, gone = found.distinct()
+    sizes = np.diff(drops.offsets.to_numpy()) if len(drops) else np.empty(0, np.int64)
+    lost = [drops.flatten().field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(2)]
+    gone |= np.isin(found.keys(found.doc, found.h1, found.h2), found.keys(np.repeat(np.arange(len(batch)), sizes), *lost))
+    spans: list[list[tuple[int, int]]] = [[] for _ in batch]
+    stops = found.stop + found.line
+    for k, a, b in zip(found.doc[gone].tolist(), found.start[gone].tolist(), stops[gone].tolist(), strict=True):
+        spans[k].append((a, min(b, len(batch[k]))))
+    return list(map(_merged, spans))
+
+
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
         at = b
-    return b"".join([*kept, text[at:]]), spans
+    return b"".join([*kept, text[at:]])
 
 
 def _points(text: bytes, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -203,17 +223,16 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     key, sieve = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), Sieve(lost)
     whole = sieve.part(docs, key, False).select(*docs.columns, F.lit(0).cast("bigint").alias("n_removed"), F.array().cast(spans).alias("removed"))
     some = sieve.part(docs, key)
-    both = some.join(lost, key == lost["id"], "left").select(*(some[c] for c in docs.columns), lost["drops"].alias("__drops"))
+    both = some.join(lost, key == lost["id"], "left").select(*(some[c] for c in docs.columns), F.coalesce(lost["drops"], F.array().cast(lost.schema["drops"].dataType)).alias("__drops"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter()
         for b in parts(batches):
-            kept, removed = [], []
             raw = b.column(at).cast(pa.binary()).to_pylist()
-            for t, gone in zip(raw, b.column(b.num_columns - 1).to_pylist(), strict=True):
-                left, found = _cut(t or b"", cutter, {(x["h1"], x["h2"]) for x in gone or ()})
-                kept.append(t if not found else left)
-                removed.append(_points(t or b"", found))
+            plain = [t or b"" for t in raw]
+            spans = _removed(plain, cutter, b.column(b.num_columns - 1))
+            kept = [_without(t, x) if x else t for t, x in zip(raw, spans, strict=True)]
+            removed = list(map(_points, plain, spans))
             columns = [b.column(k) for k in range(b.num_columns - 1)]
             columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
             columns += [pa.array(map(len, removed), pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
