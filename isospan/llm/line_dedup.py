@@ -5,9 +5,9 @@ written so far; what is new becomes a sorted run of its own. Runs are levelled:
 they are compacted into one run of the next level, so a batch reads few runs. A run holds, for each hash, the
 smallest document that has the line; every other document loses it.
 
-Line hashes and runs are bucketed tables with the same number of buckets, each sorted, so hashes are shuffled once, when
-they are written: batches are grouped, runs joined and compacted bucket by bucket. Of the texts, only those of documents
-that lose lines go through a shuffle.
+Runs are sorted tables in as many buckets as a shuffle has parts: a batch is grouped into these, before and after the
+shuffle, and runs are joined and compacted bucket by bucket without one. Lines that very many documents have don't meet
+in one task: their owners are sent to all tasks. Of the texts, only those of documents that lose lines are shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import NULL_ID, Sieve, doc_view, hash128, materialize, parts, texts
 #: Batches, at least; and documents of a batch, at most.
 BATCHES, BATCH_DOCS = 4, 50_000_000
 FANOUT = 2
+#: Documents from which a line is a hot one, at least; and hot ones, at most.
+HOT, MOST_HOT = 1_000, 100_000
 #: Code points from which a line counts.
 LEAST_LENGTH = 10
 SPACE = b" \t\n\x0b\x0c\r"
@@ -52,8 +54,7 @@ class Runs:
         return [r for level in self.levels for r in level]
 
     def add(self, batch: DataFrame) -> None:
-        """batch: h1, h2, id, each document's distinct hashes, bucketed as the runs are; its ids are larger than those
-        of batches before."""
+        """batch: h1, h2, id, each document's distinct hashes; its ids are larger than those of batches before."""
         new = batch.groupBy(_KEY).agg(F.min("id").alias("owner"))
         for run in self.all():
             new = new.join(run.hint("merge"), _KEY, "left_anti")
@@ -102,14 +103,19 @@ def drops(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     batch = F.lit(0)
     if cuts:  # how many cuts are smaller than the id
         batch = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("id")))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashes = line_hashes(docs).withColumn("batch", batch).repartition(buckets, *_KEY)
-    hashes = bucketed(hashes, buckets, _KEY, "batch")
-    runs = Runs(buckets)
+    runs = Runs(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hashes = materialize(line_hashes(docs).withColumn("batch", batch), "batch")
     for k in range(len(cuts) + 1):
         runs.add(hashes.where(F.col("batch") == k))
-    lost = [hashes.join(run.hint("merge"), _KEY).where("id != owner").select("id", *_KEY) for run in runs.all()]
-    return reduce(DataFrame.unionAll, lost).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    many = F.greatest(F.lit(HOT), F.lit(hashes.count() // MOST_HOT))
+    hot = materialize(hashes.groupBy(_KEY).count().where(F.col("count") > many).select(_KEY))
+    hot, lost = F.broadcast(hot), []
+    for run in runs.all():
+        owned = materialize(run.join(hot, _KEY, "left_semi"))
+        lost.append(hashes.join(F.broadcast(owned), _KEY))
+        lost.append(hashes.join(hot, _KEY, "left_anti").join(run.hint("merge"), _KEY))
+    lost = reduce(DataFrame.unionAll, (x.where("id != owner").select("id", *_KEY) for x in lost))
+    return lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, counts: bool = True) -> DataFrame:
