@@ -3,11 +3,13 @@
 Temperature mixing raises each source's share of the tokens to a power between 0 and 1. The exponent is found by
 bisection, to meet a target entropy, a limit on how often the smallest source repeats, or both. The normalised
 weights become token budgets, and a budget is met by going through permutations of the source's blocks of documents:
-whole ones first, then a part of one that stops at the budget.
+whole ones first, then a part of one that stops at the budget. With a token budget for the whole mixture, sources are
+cut down or repeated to their share of it; without one, the mixture is the smallest in which no document is left out.
 
-What grows with the corpus stays in Spark: sums by source, each bisection pass one aggregation of them, running sums
-of the blocks of a source and of the documents of a block. A source's documents are dealt to blocks by hash, about as
-many blocks as a block has documents, so a source that holds a third of all rows has no larger task than that.
+What grows with the corpus stays in Spark: sums by source and cell, of which a source has CELLS at most, each bisection
+pass one aggregation of them, running sums of the blocks of a source and of the documents of a block. A source's cells
+are dealt to about as many blocks as a block has documents, so a source that holds a third of all rows has no larger
+task than that. Texts are read twice: for the sums, and for the mixture, into which each goes through one shuffle.
 """
 
 from __future__ import annotations
@@ -27,15 +29,19 @@ STEPS, PASSES = 5, 4
 DECIMALS = 5
 #: A block has so many documents at least.
 LEAST_BLOCK = 64
+#: Parts of a source by hash, of which its blocks are made.
+CELLS = 1 << 16
 
 
 @dataclass(frozen=True)
 class Target:
     """entropy: as a part of the largest, that of equal weights. repeats: how often the source that repeats most may
-    do so. seed: of the permutations. mix_blocks: parts of the mixture, each with every source in its weight."""
+    do so. tokens: of the mixture in all, or None. seed: of the permutations. mix_blocks: parts of the mixture, each with
+    every source in its weight."""
 
     entropy: float | None = 0.9
     repeats: float | None = 3.0
+    tokens: int | None = None
     seed: int = 17
     mix_blocks: int = 64
 
@@ -91,13 +97,20 @@ def find_exponent(sources: DataFrame, target: Target) -> float:
     return round(found, DECIMALS)
 
 
-def weigh(docs: DataFrame, target: Target) -> DataFrame:
-    """docs: __source, __tokens. For each source __docs, __all (its tokens), __blocks, __weight, __repeats (how often
-    it is gone through, 1 at least) and __budget in tokens.
+def drawn(target: Target, *what: Column | str) -> Column:
+    """A random number of 60 bits, the same for the same values and seed."""
+    text = F.concat_ws(":", F.lit(str(target.seed)), *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in what))
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("bigint")
 
-    The budgets are the smallest in the ratio of the weights under which no document is left out.
+
+def weigh(cells: DataFrame, target: Target) -> DataFrame:
+    """cells: __source, __cell, __size (tokens), __docs. For each source __all (its tokens), __blocks, __weight and
+    __budget in tokens.
+
+    The budgets are those of the target's tokens, or else the smallest in the ratio of the weights under which no
+    document is left out.
     """
-    totals = docs.groupBy("__source").agg(F.count("*").alias("__docs"), F.sum("__tokens").alias("__all"))
+    totals = cells.groupBy("__source").agg(F.sum("__docs").alias("__docs"), F.sum("__size").alias("__all"))
     totals = materialize(totals)
     everything = totals.agg(F.sum("__all")).first()[0]
     sources = totals.withColumn("p", F.col("__all") / F.lit(everything or 1))
@@ -105,16 +118,13 @@ def weigh(docs: DataFrame, target: Target) -> DataFrame:
     raised = F.col("p") ** F.lit(a)
     z, least = sources.agg(F.sum(raised), F.min(raised / F.col("p"))).first()
     block = F.greatest(F.lit(LEAST_BLOCK), F.sqrt("__docs"))
-    return materialize(
-        sources.select(
-            "__source",
-            "__docs",
-            "__all",
-            F.ceil(F.col("__docs") / block).alias("__blocks"),
-            F.round(raised / F.lit(z or 1.0), 12).alias("__weight"),
-            F.greatest(F.lit(1.0), F.round(raised / F.col("p") / F.lit(least or 1.0), 9)).alias("__repeats"),
-        ).withColumn("__budget", F.round(F.col("__all") * F.col("__repeats")).cast("bigint"))
-    )
+    weight = F.round(raised / F.lit(z or 1.0), 12)
+    if target.tokens is None:
+        budget = F.col("__all") * F.greatest(F.lit(1.0), F.round(raised / F.col("p") / F.lit(least or 1.0), 9))
+    else:
+        budget = weight * F.lit(target.tokens)
+    blocks = F.least(F.lit(CELLS), F.ceil(F.col("__docs") / block)).cast("bigint")
+    return materialize(sources.select("__source", "__all", blocks.alias("__blocks"), weight.alias("__weight"), F.round(budget).cast("bigint").alias("__budget")))
 
 
 def mix_sources(docs: DataFrame, target: Target = Target()) -> DataFrame:
@@ -122,8 +132,8 @@ def mix_sources(docs: DataFrame, target: Target = Target()) -> DataFrame:
     the source), copy (from 0), mix_block and slot, which replace columns of docs so named.
 
     To read the mixture, go through mix_block and within it through slot; every mix_block has each source in its
-    weight. Each document is in it once at least; of the last, partial pass through a source there are the documents
-    that start within the budget, so it is overrun by less than one document.
+    weight. Without a token budget each document is in it once at least. Of the last, partial pass through a source
+    there are the documents that start within its budget, so it is overrun by less than one document.
 
     A null source is a source of its own. A null or empty text counts as one token. Null doc_ids are told apart by
     text. Rows equal in doc_id, source and tokens may change places with each other. An empty table gives none.
@@ -133,25 +143,29 @@ def mix_sources(docs: DataFrame, target: Target = Target()) -> DataFrame:
         {
             "__source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
             "__tokens": n_tokens("text"),
-            "__id": F.xxhash64(F.lit(target.seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))),
+            "__id": F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))),
         }
-    )
-    sources = weigh(own, target)
-    dealt = own.join(sources.drop("__docs"), "__source").withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("__blocks")))
-    passes = F.sequence(F.lit(0), F.ceil("__repeats").cast("int") - 1)
+    ).withColumn("__cell", drawn(target, F.lit("cell"), "__id") % CELLS)
+    cells = materialize(own.groupBy("__source", "__cell").agg(F.sum("__tokens").alias("__size"), F.count("*").alias("__docs")))
+    sources = weigh(cells, target)
+    block = F.floor(F.col("__cell") * F.col("__blocks") / CELLS).cast("bigint")
+    passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("__budget") / F.col("__all")).cast("int") - 1))
+    sources = sources.where("__budget > 0")
     # Where each block starts in each pass through its source.
-    blocks = materialize(dealt.groupBy("__source", "__block").agg(F.sum("__tokens").alias("__size"), F.max("__repeats").alias("__repeats")))
-    in_pass = Window.partitionBy("__source", "copy").orderBy(F.xxhash64(F.lit(target.seed), "copy", "__block"), "__block")
-    starts = blocks.withColumn("copy", F.explode(passes)).select(
+    blocks = cells.join(sources, "__source").withColumn("__block", block)
+    blocks = materialize(blocks.groupBy("__source", "__block").agg(F.sum("__size").alias("__size"), F.max("__budget").alias("__budget"), F.max("__all").alias("__all")))
+    in_pass = Window.partitionBy("__source", "copy").orderBy(drawn(target, F.lit("block"), "copy", "__block"), "__block")
+    starts = blocks.withColumn("copy", passes).select(
         "__source",
         "copy",
         "__block",
         (F.sum("__size").over(in_pass.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).alias("__start"),
     )
     in_block = Window.partitionBy("__source", "copy", "__block").orderBy("slot", "doc_id", "__tokens")
+    dealt = own.join(sources, "__source").withColumn("__block", block).repartition("__source", "__block")
     placed = (
-        dealt.withColumn("copy", F.explode(passes))
-        .withColumn("slot", F.xxhash64("__id", "copy"))
+        dealt.withColumn("copy", passes)
+        .withColumn("slot", drawn(target, F.lit("slot"), "copy", "__id"))
         .withColumn("__within", F.sum("__tokens").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__tokens"))
         .join(starts, ["__source", "copy", "__block"])
         .withColumn("__at", F.col("copy") * F.col("__all") + F.col("__start") + F.col("__within"))

@@ -121,7 +121,91 @@ SELECT d.doc_id, coalesce(l.n, 0) AS n_removed, coalesce(l.removed, '') AS remov
 FROM docs d LEFT JOIN left_over l ON l.doc_id = d.doc_id
 """
 
+#: The default target of mixing: entropy of 0.9, 3 repeats, seed 17, 64 parts, no token budget.
+_MIXING = rf"""
+WITH RECURSIVE docs AS (
+  SELECT *, coalesce('=' || source, '') AS src, greatest(len({_WORDS}), 1) AS tokens, CAST(doc_id AS VARCHAR) AS id,
+         CAST('0x' || left(md5('17:cell:' || doc_id), 15) AS BIGINT) % 65536 AS cell
+  FROM documents),
+totals AS (SELECT src, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS whole FROM docs GROUP BY src),
+shares AS (SELECT *, whole / sum(whole) OVER () AS p FROM totals),
+every AS (SELECT list(p ORDER BY src) AS ps FROM shares),
+entropies(step, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN e < 0.9 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN e < 0.9 THEN (lo + hi) / 2 ELSE hi END FROM (
+    SELECT *, (ln(list_sum(w)) - list_sum(list_transform(w, lambda x: x * ln(x))) / list_sum(w)) / ln(len(w)) AS e
+    FROM (SELECT step, lo, hi, list_transform(ps, lambda p: pow(p, (lo + hi) / 2)) AS w FROM entropies, every WHERE step < 20))),
+repeats(step, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN r <= 3 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN r <= 3 THEN (lo + hi) / 2 ELSE hi END FROM (
+    SELECT step, lo, hi, pow(list_max(ps) / list_min(ps), 1 - (lo + hi) / 2) AS r FROM repeats, every WHERE step < 20)),
+found AS (
+  SELECT CASE WHEN len(ps) > 1 AND -list_sum(list_transform(ps, lambda p: p * ln(p))) / ln(len(ps)) < 0.9 THEN (SELECT lo FROM entropies WHERE step = 20) ELSE 1.0 END AS a, ps FROM every),
+exponent AS (
+  SELECT round(CASE WHEN pow(list_max(ps) / list_min(ps), 1 - a) > 3 THEN (SELECT hi FROM repeats WHERE step = 20) ELSE a END, 5) AS a FROM found),
+raised AS (SELECT s.*, pow(p, a) AS w FROM shares s, exponent),
+weighed AS (
+  SELECT src, whole, round(w / sum(w) OVER (), 12) AS weight, least(65536, CAST(ceil(docs / greatest(64, sqrt(docs))) AS BIGINT)) AS n_blocks,
+         CAST(round(whole * greatest(1.0::DOUBLE, round(w / p / min(w / p) OVER (), 9))) AS BIGINT) AS budget FROM raised),
+dealt AS (SELECT d.*, whole, weight, budget, CAST(floor(cell * n_blocks / 65536) AS BIGINT) AS block FROM docs d JOIN weighed USING (src)),
+passes AS (SELECT src, unnest(range(CAST(ceil(budget / whole) AS BIGINT))) AS copy FROM weighed),
+blocks AS (SELECT src, block, sum(tokens) AS size FROM dealt GROUP BY ALL),
+starts AS (
+  SELECT src, block, copy, sum(size) OVER (PARTITION BY src, copy ORDER BY CAST('0x' || left(md5('17:block:' || copy || ':' || block), 15) AS BIGINT), block) - size AS start
+  FROM blocks JOIN passes USING (src)),
+slots AS (SELECT d.*, copy, CAST('0x' || left(md5('17:slot:' || copy || ':' || id), 15) AS BIGINT) AS slot FROM dealt d JOIN passes USING (src)),
+placed AS (
+  SELECT s.*, CAST(copy * whole + start + sum(tokens) OVER (PARTITION BY src, copy, block ORDER BY slot, doc_id, tokens ROWS UNBOUNDED PRECEDING) - tokens AS BIGINT) AS place
+  FROM slots s JOIN starts USING (src, block, copy))
+SELECT {{columns}}, CAST(tokens AS BIGINT) AS n_tokens, weight, CAST(copy AS BIGINT) AS copy, CAST(floor(place / budget * 64) AS BIGINT) AS mix_block, slot
+FROM placed WHERE place < budget
+"""
+
+#: Words by lower case and without signs at their ends: the normal form of the letters in the tables.
+_NORMAL = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\s+'), lambda w: regexp_replace(replace(lower(w), 'ß', 'ss'), '^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$', '', 'g')), lambda w: w <> '')"
+_OVERLAPS = rf"""
+WITH items AS (SELECT item_id, len(ws) AS n, least(16, len(ws)) AS wide, ws FROM (SELECT item_id, {_NORMAL} AS ws FROM benchmark) WHERE len(ws) >= 8),
+item_words AS (SELECT item_id, n, wide, unnest(ws) AS w, unnest(range(n)) AS k FROM items),
+doc_words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM (SELECT doc_id, {_NORMAL} AS ws FROM documents)),
+diagonals AS (
+  SELECT doc_id, item_id, d.k - i.k AS shift, any_value(n) AS n, any_value(wide) AS wide, list(i.k) AS same
+  FROM doc_words d JOIN item_words i USING (w) GROUP BY ALL HAVING count(*) >= ceil(any_value(wide) * 4 / 5)),
+windows AS (
+  SELECT * FROM (SELECT *, unnest(range(n - wide + 1)) AS s FROM diagonals)
+  WHERE 5 * len(list_filter(same, lambda k: k >= s AND k < s + wide)) >= 4 * wide),
+runs AS (
+  SELECT doc_id, item_id, shift, any_value(same) AS same, min(s) AS a, max(s + wide) AS b FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id, shift ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT *, CAST(s - lag(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY s) > wide AS INT) AS fresh FROM windows))
+  GROUP BY doc_id, item_id, shift, run),
+held AS (SELECT doc_id, item_id, max(len(list_filter(same, lambda k: k >= a AND k < b))) AS equal FROM runs GROUP BY ALL)
+SELECT d.doc_id, count(o.item_id) > 0 AS contaminated, count(o.item_id) AS n_items,
+       coalesce(list(o.item_id ORDER BY o.item_id) FILTER (o.item_id IS NOT NULL), []) AS item_ids, CAST(coalesce(max(equal), 0) AS BIGINT) AS most_equal
+FROM documents d LEFT JOIN held o USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def _over(sql: str, table: str) -> str:
+    """The query over another table than documents."""
+    return sql.replace("FROM documents", f"FROM {table}")
+
+
+#: The pipeline's stages one after the other, each over the rows that the one before left.
+PIPELINE = f"""
+WITH kept AS MATERIALIZED (SELECT d.* FROM documents d JOIN ({_QUALITY}) q ON q.doc_id = d.doc_id WHERE q.kept),
+lined AS MATERIALIZED (
+  SELECT k.doc_id, CASE WHEN k.text IS NOT NULL THEN l.kept_text END AS text, lang, source, CAST(length(CASE WHEN k.text IS NOT NULL THEN l.kept_text END) AS BIGINT) AS n_chars
+  FROM kept k JOIN ({_over(_LINE_DEDUP, "kept").replace("sha256(", "(").replace("kept_sha256", "kept_text")}) l ON l.doc_id = k.doc_id),
+single AS MATERIALIZED (SELECT l.* FROM lined l JOIN ({_over(_NGRAM_JOIN, "lined")}) n ON n.doc_id = l.doc_id WHERE n.class_id = l.doc_id),
+clean AS MATERIALIZED (SELECT s.* FROM single s JOIN ({_over(_OVERLAPS, "single")}) o ON o.doc_id = s.doc_id WHERE NOT o.contaminated)
+SELECT * FROM ({_over(_MIXING, "clean").format(columns="doc_id, text, lang, source, n_chars")})
+"""
+
 ORACLE: dict[str, str] = {
+    "op1_mixing": _MIXING.format(columns="doc_id, source"),
+    "op10_decontamination": _OVERLAPS,
     "op6_substring_dedup": _PASSAGES,
     "op2_ngram_join": _NGRAM_JOIN,
     "op7_line_dedup": _LINE_DEDUP,

@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import hashlib
 import itertools
 import math
 import random
@@ -350,7 +351,8 @@ def test_a_later_batch_reads_the_runs(spark, monkeypatch):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracles(spark, sf, name):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, sf), db.sql(queries.ORACLE[name])
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
@@ -514,6 +516,45 @@ def test_mixing(spark):
     assert sorted((r.doc_id, r.copy, r.mix_block, r.slot) for r in again) == sorted((r.doc_id, r.copy, r.mix_block, r.slot) for r in got)
 
 
+def test_mixing_to_a_budget(spark):
+    """Against a plain walk through the same draws: sources are cut down or repeated to their share of the tokens."""
+    texts, _ = invented(300)
+    rows = [(k, t, "en", "big" if k % 3 else f"s{k % 4}", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    draw = lambda *what: int(hashlib.md5(":".join(map(str, (17, *what))).encode()).hexdigest()[:15], 16)
+    size = {k: len(t.split()) for k, t, *_ in rows}
+    whole = collections.Counter()
+    for k, _, _, s, _ in rows:
+        whole[s] += size[k]
+    total = sum(whole.values())
+    for tokens in (total // 3, 3 * total):
+        target = mixing.Target(entropy=0.95, repeats=None, tokens=tokens)
+        got = collections.defaultdict(list)
+        for r in mixing.mix_sources(docs, target).collect():
+            got[r.source].append((r.copy, r.doc_id, r.slot, r.weight))
+        low, high = 0.0, 1.0
+        measure = lambda a: -sum(w * math.log(w) for w in weights(a).values()) / math.log(len(whole))
+        weights = lambda a: {s: (n / total) ** a / sum((x / total) ** a for x in whole.values()) for s, n in whole.items()}
+        for _ in range(20):
+            low, high = ((low + high) / 2, high) if measure((low + high) / 2) >= 0.95 else (low, (low + high) / 2)
+        a = round(low, 5)
+        assert abs(measure(a) - 0.95) < 1e-3
+        for s, n in whole.items():
+            budget, want = round(weights(a)[s] * tokens), []
+            own = [k for k, _, _, x, _ in rows if x == s]
+            blocks = -(-len(own) // max(64, math.sqrt(len(own)))) if len(own) > 64 else 1
+            block = {k: int(draw("cell", k) % 65536 * int(blocks) / 65536) for k in own}
+            for copy in range(-(-budget // n)):
+                at = copy * n
+                for b in sorted(set(block.values()), key=lambda b: (draw("block", copy, b), b)):
+                    for k in sorted((k for k in own if block[k] == b), key=lambda k: draw("slot", copy, k)):
+                        if at < budget:
+                            want.append((copy, k))
+                        at += size[k]
+            assert sorted(x[:2] for x in got[s]) == sorted(want)
+            assert all(abs(x[3] - weights(a)[s]) < 1e-9 and x[2] == draw("slot", *x[:2]) for x in got[s])
+
+
 def test_pipeline(spark, sf):
     docs = queries.table(spark, sf, "documents")
     rows, step = {r.doc_id: r for r in docs.collect()}, docs
