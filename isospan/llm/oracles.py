@@ -178,7 +178,7 @@ windows AS (
 runs AS (
   SELECT doc_id, item_id, shift, any_value(same) AS same, min(s) AS a, max(s + wide) AS b FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id, shift ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM (
-      SELECT *, CAST(s - lag(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY s) > wide AS INT) AS fresh FROM windows))
+      SELECT *, CAST(coalesce(s - lag(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY s), 0) > wide AS INT) AS fresh FROM windows))
   GROUP BY doc_id, item_id, shift, run),
 held AS (SELECT doc_id, item_id, max(len(list_filter(same, lambda k: k >= a AND k < b))) AS equal FROM runs GROUP BY ALL)
 SELECT d.doc_id, count(o.item_id) > 0 AS contaminated, count(o.item_id) AS n_items,
