@@ -187,6 +187,43 @@ FROM documents d LEFT JOIN held o USING (doc_id) GROUP BY d.doc_id
 """
 
 
+#: Base kinds of personal data: pattern, whether match m is valid, score, words for and against it. The tables hold no
+#: spans of other kinds.
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0.9, "e-?mails?|mails?|contact|write|courriel|correo", "example|sample|noreply"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0", 0.7, "ip|address|host|server|adresse", "version|release|build|section"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "len(ds) BETWEEN 16 AND 19 AND list_sum(list_transform(ds, lambda d, i: CASE WHEN (len(ds) - i) % 2 = 0 THEN d ELSE d * 2 // 10 + d * 2 % 10 END)) % 10 = 0", 0.8, "cards?|visa|credit|karte|carte|tarjeta", "order|isbn|tracking|serial"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(ds) BETWEEN 8 AND 15", 0.7, "phones?|call|tel|mobile|telefon|telephone", "order|invoice|part"),
+)
+
+
+def _near(words: str) -> str:
+    word = f"(?:{words})"
+    whole = f"(?i)(?:^|[^A-Za-z]){word}(?:[^A-Za-z]|$)"
+    return (
+        f"(regexp_matches(CASE WHEN length(after) > 40 THEN left(after, 41) ELSE after END, CASE WHEN length(after) > 40 THEN '(?i)(?:^|[^A-Za-z]){word}[^A-Za-z]' ELSE '{whole}' END) "
+        f"OR regexp_matches(CASE WHEN length(before) > 40 THEN right(before, 41) ELSE before END, CASE WHEN length(before) > 40 THEN '(?i)[^A-Za-z]{word}(?:[^A-Za-z]|$)' ELSE '{whole}' END))"
+    )
+
+
+_PII = (
+    "WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS place, '{kind}' AS kind, start, start + length(m) AS stop, round({prior}::DOUBLE + CASE WHEN {_near(words)} THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN {_near(against)} THEN 0.2::DOUBLE ELSE 0 END, 2) AS score FROM ("
+        f"SELECT *, list_transform(regexp_extract_all(m, '[0-9]'), lambda d: CAST(d AS INT)) AS ds, CAST(sum(length(before) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS BIGINT) AS start FROM ("
+        f"SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS before, unnest(gs[2:]) AS after, unnest(range(len(ms))) AS i FROM ("
+        f"SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM docs))) WHERE {valid}"
+        for n, (kind, pattern, valid, prior, words, against) in enumerate(_KINDS)
+    )
+    + "), told AS (SELECT doc_id, "
+    + ", ".join(f"count(*) FILTER (kind = '{k[0]}') AS n_{k[0]}" for k in _KINDS)
+    + ", string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY place, start) AS scores FROM found GROUP BY doc_id) "
+    + "SELECT d.doc_id, "
+    + ", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in _KINDS)
+    + ", sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM docs d LEFT JOIN told t ON t.doc_id = d.doc_id"
+)
+
+
 def _over(sql: str, table: str) -> str:
     """The query over another table than documents."""
     return sql.replace("FROM documents", f"FROM {table}")
@@ -205,6 +242,7 @@ SELECT * FROM ({_over(_MIXING, "clean").format(columns="doc_id, text, lang, sour
 
 ORACLE: dict[str, str] = {
     "op1_mixing": _MIXING.format(columns="doc_id, source"),
+    "op9_pii": _PII,
     "op10_decontamination": _OVERLAPS,
     "op6_substring_dedup": _PASSAGES,
     "op2_ngram_join": _NGRAM_JOIN,

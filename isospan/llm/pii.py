@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import doc_view
 
-#: Code points on either side of a span in which context words count; a neighbouring match of the kind ends them.
+#: Code points on either side of a span in which whole context words count; a neighbouring match of the kind ends them.
 CONTEXT = 40
+#: What words that speak for a kind add to a score (more to kinds beyond the base), and what words against it take off.
+FOR, FOR_OTHERS, AGAINST = 0.1, 0.3, 0.2
 #: Score from which a span beyond the base kinds is reported.
 LEAST_SCORE = 0.5
 _CHUNK = 1024
@@ -26,7 +28,8 @@ _CHUNK = 1024
 
 @dataclass(frozen=True)
 class Kind:
-    """valid: SQL over the matched string m. prior: the score of a valid match without context words."""
+    """valid: SQL over the matched string m. prior: the score of a valid match without context words. words speak for it,
+    against those for something else."""
 
     name: str
     guard: str
@@ -34,6 +37,7 @@ class Kind:
     valid: str
     prior: float
     words: str
+    against: str
     base: bool = True
 
 
@@ -63,7 +67,8 @@ KINDS = (
         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         "true",
         0.9,
-        "mail|contact|write|courriel|correo",
+        "e-?mails?|mails?|contact|write|courriel|correo",
+        "example|sample|noreply",
     ),
     Kind(
         "ip",
@@ -72,6 +77,7 @@ KINDS = (
         "forall(split(m, '[.]'), p -> length(ltrim('0', p)) < 3 OR (length(ltrim('0', p)) = 3 AND ltrim('0', p) <= '255'))",
         0.7,
         "ip|address|host|server|adresse",
+        "version|release|build|section",
     ),
     Kind(
         "card",
@@ -79,7 +85,8 @@ KINDS = (
         r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
         luhn(_DIGITS),
         0.8,
-        "card|visa|credit|karte|carte|tarjeta",
+        "cards?|visa|credit|karte|carte|tarjeta",
+        "order|isbn|tracking|serial",
     ),
     Kind(
         "phone",
@@ -87,7 +94,8 @@ KINDS = (
         r"\+[0-9][\x20().0-9-]+[0-9]",
         f"length({_DIGITS}) BETWEEN 8 AND 15",
         0.7,
-        "phone|call|tel|mobile|telefon",
+        "phones?|call|tel|mobile|telefon|telephone",
+        "order|invoice|part",
     ),
     Kind(
         "iban",
@@ -95,7 +103,8 @@ KINDS = (
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
         f"length({_CODE}) BETWEEN 15 AND 34 AND {mod97(_CODE)}",
         0.7,
-        "iban|account|bank|konto|compte|cuenta",
+        "iban|accounts?|bank|konto|compte|cuenta",
+        "sample|serial|order",
         base=False,
     ),
     Kind(
@@ -105,6 +114,7 @@ KINDS = (
         "true",
         0.3,
         "ssn|social|security|tax",
+        "part|model|serial|order",
         base=False,
     ),
 )
@@ -127,6 +137,16 @@ def _running(steps: Column) -> Column:
     )
 
 
+def _near(n: str, words: str) -> str:
+    """SQL: a whole word of these stands within CONTEXT of match i of a kind. Of a longer gap one code point more is
+    seen, which tells whether the outermost word is whole."""
+    word, start, end = f"(?:{words})", "(?:^|[^A-Za-z])", "(?:[^A-Za-z]|$)"
+    sides = (("left", f"get({n}_g, i + 1)", f"{start}{word}[^A-Za-z]"), ("right", f"get({n}_g, i)", f"[^A-Za-z]{word}{end}"))
+    return " OR ".join(
+        f"IF(length({gap}) > {CONTEXT}, {cut}({gap}, {CONTEXT + 1}) RLIKE '(?i){far}', {gap} RLIKE '(?i){start}{word}{end}')" for cut, gap, far in sides
+    )
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id and, in ``found``, an array of (kind, start, end, score): spans by kind in the order of KINDS, then by
     start; offsets in code points, the end exclusive.
@@ -160,17 +180,14 @@ def find_spans(docs: DataFrame) -> DataFrame:
     )
     found = []
     for k in KINDS:
-        n, words = k.name, f"(?i)(?<![a-z])(?:{k.words})"
-        near = (
-            f"right(get({n}_g, i), {CONTEXT}) RLIKE '{words}' OR left(get({n}_g, i + 1), {CONTEXT}) RLIKE '{words}'"
-        )
+        n, gain = k.name, FOR if k.base else FOR_OTHERS
+        score = f"round({k.prior}D + IF({_near(n, k.words)}, {gain}D, 0D) - IF({_near(n, k.against)}, {AGAINST}D, 0D), 2)"
         found.append(
             F.when(
                 F.size(f"{n}_m") > 0,
                 F.expr(
                     f"filter(transform({n}_m, (m, i) -> CASE WHEN {k.valid} THEN named_struct('kind', '{n}', "
-                    f"'start', get({n}_s, i), 'end', get({n}_s, i) + length(m), "
-                    f"'score', round({k.prior}D + IF({near}, 0.1D + {0.2 if not k.base else 0}D, 0D), 2)) END), "
+                    f"'start', get({n}_s, i), 'end', get({n}_s, i) + length(m), 'score', {score}) END), "
                     f"x -> x IS NOT NULL" + ("" if k.base else f" AND x.score >= {LEAST_SCORE}D") + ")"
                 ),
             ).otherwise(F.expr("array()").cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>"))

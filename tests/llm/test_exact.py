@@ -387,6 +387,37 @@ def base_spans(text):
     return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in kinds for m in re.finditer(p, text) if ok(m[0])]
 
 
+def account(rng, country, size):
+    """An account code whose check digits hold, and the same with one digit more in the check."""
+    body = "".join(rng.choice("0123456789") for _ in range(size))
+    number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    check = 98 - number % 97
+    return f"{country}{check:02d}{body}", f"{country}{check % 97 + 1:02d}{body}"
+
+
+def check_context(spark):
+    """Whole words alone count, within 40 code points; words against a kind lower its score."""
+    rng = random.Random(8)
+    texts, want = [], []
+    for text, spans in (
+        ("syntax 123-45-6789", ""), ("taxi 123-45-6789", ""), ("tax 123-45-6789", "ssn:4:15"), ("123-45-6789 Tax", "ssn:0:11"), ("serial tax 123-45-6789", ""),
+        ("tax" + " " * 37 + "123-45-6789", "ssn:40:51"), ("tax" + " " * 38 + "123-45-6789", ""), ("syntax" + "." * 37 + "123-45-6789", ""), ("." + "tax" + "." * 37 + "123-45-6789", "ssn:41:52"),
+        ("123-45-6789" + "." * 37 + "tax", "ssn:0:11"), ("123-45-6789" + "." * 37 + "taxi", ""), ("123-45-6789" + "." * 37 + "tax.", "ssn:0:11"), ("123-45-6789" + "." * 38 + "tax", ""),
+    ):
+        texts.append(text)
+        want.append(spans)
+    for k in range(60):
+        good, bad = account(rng, *rng.choice([("DE", 18), ("NO", 11), ("FR", 23), ("MT", 27)]))
+        if k % 2:
+            good, bad = (" ".join(x[j : j + 4] for j in range(0, len(x), 4)) for x in (good, bad))
+        texts += [f"to {good}.", f"to {bad}."]
+        want += [f"iban:3:{3 + len(good)}", ""]
+    found = {r.doc_id: [x for x in r.spans.split(",") if x[:3] in ("iba", "ssn")] for r in pii.digest(pii.find_spans(frame(spark, texts))).collect()}
+    assert [",".join(found[k]) for k in range(len(texts))] == want
+    scored = {r.doc_id: r.scores for r in pii.digest(pii.find_spans(frame(spark, ["1.2.3.4", "host 1.2.3.4", "version 1.2.3.4", "host version 1.2.3.4"]))).collect()}
+    assert scored == {0: "0.7", 1: "0.8", 2: "0.5", 3: "0.6"}
+
+
 def test_pii(spark):
     rng = random.Random(5)
     some = ["4539 1488 0343 6467", "4539148803436467", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "a.b@c.d.e", "@x.y", "x@y", "a@b.c@d.e", "+49 (170) 123-4567", "+1", "é", "\U0001f600", ".", "-", " ", "12", "0", "001.002.003.004", "+", "--"]
@@ -397,6 +428,7 @@ def test_pii(spark):
     for k, t in enumerate(texts):
         assert [s for s in got[k].spans.split(",") if s.split(":")[0] in base] == base_spans(t), t
     assert [got[len(texts) - n].spans for n in (4, 3, 2)] == ["iban:0:27", "ssn:4:15", ""]
+    check_context(spark)
     redacted = pii.redact(frame(spark, ["to me@x.org, 4539 1488 0343 6467!"])).first().text
     assert redacted == "to [email], [card]!"
 
