@@ -120,33 +120,51 @@ KINDS = (
 )
 
 
-def _running(steps: Column) -> Column:
-    """Running sums of an array, in chunks, so that a text with very many matches doesn't cost their square."""
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with value by that name, found once. What a lambda reads from outside it would be found anew for each
+    element, so that a text with many matches would cost their square."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    def sums(a: Column) -> Column:
-        first = F.array(F.lit(0).cast("bigint"))
-        return F.slice(F.aggregate(a, first, lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))), 2, F.size(a))
 
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")),
-        lambda k: sums(F.slice(steps, k * _CHUNK + 1, _CHUNK)),
-    )
-    before = sums(F.transform(chunks, lambda c: F.element_at(c, -1)))
-    return F.flatten(
-        F.transform(chunks, lambda c, k: F.transform(c, lambda x: x + F.get(before, k) - F.element_at(c, -1)))
-    )
+def _sums(array: str) -> str:
+    """SQL: running sums of an array that isn't long."""
+    return f"slice(aggregate({array}, array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x))), 2, size({array}))"
+
 
+def _running(steps: str) -> str:
+    """SQL: running sums of an array, in chunks, which are short, as are their sums."""
+    chunk = f"slice(steps, int(k * {_CHUNK} + 1), {_CHUNK})"
+    chunks = f"transform(sequence(0L, (size(steps) - 1) div {_CHUNK}), k -> {_let('part', chunk, _sums('part'))})"
+    ends = _let("ends", "transform(chunks, c -> element_at(c, -1))", _sums("ends"))
+    shifted = "flatten(transform(chunks, (c, k) -> transform(c, x -> x + get(totals, k) - element_at(c, -1))))"
+    return _let("steps", steps, _let("chunks", chunks, _let("totals", ends, shifted)))
 
-def _near(n: str, words: str) -> str:
+
+def _near(words: str) -> str:
     """SQL: a whole word of these stands within CONTEXT of match i of a kind. Of a longer gap one code point more is
     seen, which tells whether the outermost word is whole."""
     word, start, end = f"(?:{words})", "(?:^|[^A-Za-z])", "(?:[^A-Za-z]|$)"
-    sides = (("left", f"get({n}_g, i + 1)", f"{start}{word}[^A-Za-z]"), ("right", f"get({n}_g, i)", f"[^A-Za-z]{word}{end}"))
+    sides = (("left", "get(gaps, i + 1)", f"{start}{word}[^A-Za-z]"), ("right", "get(gaps, i)", f"[^A-Za-z]{word}{end}"))
     return " OR ".join(
         f"IF(length({gap}) > {CONTEXT}, {cut}({gap}, {CONTEXT + 1}) RLIKE '(?i){far}', {gap} RLIKE '(?i){start}{word}{end}')" for cut, gap, far in sides
     )
 
 
+def _spans(k: Kind) -> str:
+    """SQL: the spans of a kind in the text."""
+    gain = FOR if k.base else FOR_OTHERS
+    score = f"round({k.prior}D + IF({_near(k.words)}, {gain}D, 0D) - IF({_near(k.against)}, {AGAINST}D, 0D), 2)"
+    span = f"named_struct('kind', '{k.name}', 'start', get(starts, i), 'end', get(starts, i) + length(m), 'score', {score})"
+    least = "" if k.base else f" AND x.score >= {LEAST_SCORE}D"
+    kept = f"filter(transform(matches, (m, i) -> CASE WHEN {k.valid} THEN {span} END), x -> x IS NOT NULL{least})"
+    # A match starts behind all gaps up to it and all matches before it.
+    steps = "slice(zip_with(gaps, concat(array(''), matches), (g, m) -> bigint(length(g) + length(m))), 1, size(matches))"
+    kept = _let("gaps", f"split(text, r'{k.pattern}', -1)", _let("starts", _running(steps), kept))
+    none = "cast(array() AS array<struct<kind:string,start:bigint,end:bigint,score:double>>)"
+    some = _let("matches", f"regexp_extract_all(text, r'({k.pattern})', 1)", f"IF(size(matches) = 0, {none}, {kept})")
+    return f"IF({k.guard}, {some}, {none})"
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id and, in ``found``, an array of (kind, start, end, score): spans by kind in the order of KINDS, then by
     start; offsets in code points, the end exclusive.
@@ -155,44 +173,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     null doc_id stays null; repeated rows give repeated rows; an empty table gives none. Further columns are left out.
     """
     out = doc_view(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    hits = {}
-    for k in KINDS:
-        hits[f"{k.name}_m"] = F.when(
-            F.expr(k.guard), F.regexp_extract_all("text", F.lit(f"({k.pattern})"), F.lit(1))
-        ).otherwise(F.array().cast("array<string>"))
-    out = out.withColumns(hits)
-    out = out.withColumns(
-        {f"{k.name}_g": F.when(F.size(f"{k.name}_m") > 0, F.split("text", k.pattern, -1)) for k in KINDS}
-    ).drop("text")
-    out = out.withColumns(
-        {
-            f"{k.name}_s": F.when(
-                F.size(f"{k.name}_m") > 0,
-                _running(
-                    F.expr(
-                        f"transform({k.name}_m, (m, i) -> bigint(length(get({k.name}_g, i)))"
-                        f" + IF(i = 0, 0, length(get({k.name}_m, i - 1))))"
-                    )
-                ),
-            )
-            for k in KINDS
-        }
-    )
-    found = []
-    for k in KINDS:
-        n, gain = k.name, FOR if k.base else FOR_OTHERS
-        score = f"round({k.prior}D + IF({_near(n, k.words)}, {gain}D, 0D) - IF({_near(n, k.against)}, {AGAINST}D, 0D), 2)"
-        found.append(
-            F.when(
-                F.size(f"{n}_m") > 0,
-                F.expr(
-                    f"filter(transform({n}_m, (m, i) -> CASE WHEN {k.valid} THEN named_struct('kind', '{n}', "
-                    f"'start', get({n}_s, i), 'end', get({n}_s, i) + length(m), 'score', {score}) END), "
-                    f"x -> x IS NOT NULL" + ("" if k.base else f" AND x.score >= {LEAST_SCORE}D") + ")"
-                ),
-            ).otherwise(F.expr("array()").cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>"))
-        )
-    return out.select("doc_id", F.concat(*found).alias("found"))
+    return out.select("doc_id", F.concat(*(F.expr(_spans(k)) for k in KINDS)).alias("found"))
 
 
 def _written(spans: Column) -> Column:
