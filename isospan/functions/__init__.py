@@ -125,3 +125,18 @@ def with_access(name: Column, direct: Column) -> Column:
 def without_access(label: Column) -> Column:
     """What stands behind the first "] " of a label, or all of it."""
     return F.regexp_replace(label, r"^.*?\] ", "")
+
+
+def thousands(number: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(number, 0)
+
+
+def percent_text(share: Column) -> Column:
+    """A number of percent with one decimal and the sign."""
+    return F.format_string("%.1f%%", F.round(share, 1))
+
+
+def whole_minutes(minutes: Column) -> Column:
+    """Minutes without decimals, halves to the even number."""
+    return F.bround(minutes, 0).cast("bigint").cast("string")

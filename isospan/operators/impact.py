@@ -107,6 +107,16 @@ def facility_access(arrivals: DataFrame, queries: DataFrame, placed: DataFrame,
     )
 
 
+def of_types(facilities: DataFrame, types: Sequence[str] | None) -> DataFrame:
+    """The rows of facilities, or of what comes of them, that are of these types; all if None are given."""
+    return facilities if types is None else facilities.where(F.col("type").isin(list(types)))
+
+
+def accessible_facilities(access: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """The accessible rows of facility_access(), those reached first at the top; equal ones by query and facility."""
+    return of_types(access, types).where("accessible").orderBy("total_min", "qid", "fac_ord")
+
+
 def facility_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Access before and after, by facility: qid, fac_ord, name, type, status, before_min, after_min."""
     a = before.select("qid", "fac_ord", "name", "type", F.col("accessible").alias("was"), F.col("total_min").alias("before_min"))

@@ -8,14 +8,18 @@ edges and queries, so do scenarios.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import MODE_BUS, MODE_WALK, PROFILE_HOURS, tenth_minutes
-from ..tables import materialize
+from ..tables import bucketed, materialize
 
 #: Rounds after which the pieces of the state are put together.
 COMPACT = 8
+#: Rows of a frontier that are sent to all tasks, so that edges stay where they are; beyond, it is shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
 def _apart(edges: DataFrame, queries: DataFrame) -> list[str]:
@@ -36,11 +40,16 @@ def earliest_arrivals(bus: DataFrame, walk: DataFrame, queries: DataFrame) -> Da
     if lo is None:
         return state.drop("deadline")
     rides = bus.where((F.col("departure_sec") >= lo) & (F.col("arrival_sec") <= hi))
-    rides = materialize(rides.select(*apart, F.col("from_stop").alias("stop_id"), "to_stop", "departure_sec", F.col("arrival_sec").alias("arrives")))
-    walks = materialize(walk.select(*apart, F.col("from_stop").alias("stop_id"), "to_stop", "walk_time"))
+    rides = rides.select(*apart, F.col("from_stop").alias("stop_id"), "to_stop", "departure_sec", F.col("arrival_sec").alias("arrives"))
+    walks = walk.select(*apart, F.col("from_stop").alias("stop_id"), "to_stop", "walk_time")
+    # Bucketed by the stop that they leave from, edges are shuffled once and not in each round.
+    parts = int(bus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rides, walks = (bucketed(e.repartition(parts, "stop_id"), parts, ["stop_id"]) for e in (rides, walks))
     key, frontier, rounds = ["qid", *apart, "stop_id", "deadline"], state, 0
-    while not frontier.isEmpty():
+    while n := frontier.count():
         here = ["stop_id", *apart]
+        if n <= BROADCAST_ROWS:
+            frontier = F.broadcast(frontier)
         ridden = frontier.join(rides, here).where("departure_sec >= arrival_sec AND arrives <= deadline")
         walked = frontier.join(walks, here).withColumn("arrives", F.col("arrival_sec") + F.col("walk_time")).where("arrives <= deadline")
         to = ["qid", *apart, F.col("to_stop").alias("stop_id"), "deadline", F.col("arrives").alias("arrival_sec"), F.lit(False).alias("old")]
@@ -109,9 +118,13 @@ def paths(preds: DataFrame, queries: DataFrame, names: DataFrame) -> DataFrame:
     start = queries.select("qid", *apart, F.col("start_stop").alias("stop_id"))
     rest = [c for c in grown.columns if c not in start.columns]
     empty = start.select(*key, *(F.lit(None).cast(grown.schema[c].dataType).alias(c) for c in rest)).withColumn("steps", F.array().cast(grown.schema["steps"].dataType))
-    grown = materialize(grown.unionAll(empty))
-    while not grown.where("since IS NOT NULL").isEmpty():
-        before = grown.select("qid", *apart, F.col("stop_id").alias("since"), F.col("since").alias("since0"), F.col("steps").alias("steps0"))
-        longer = grown.join(before, ["qid", *apart, "since"], "left")
+    # Paths that reach back to the start are done and set aside; the others are put behind the path to where they begin.
+    grown, done = materialize(grown.unionAll(empty)), []
+    while True:
+        done.append(grown.where("since IS NULL"))
+        open_ = grown.where("since IS NOT NULL")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionAll, done).drop("since")
+        before = reduce(DataFrame.unionAll, [*done, open_]).select("qid", *apart, F.col("stop_id").alias("since"), F.col("since").alias("since0"), F.col("steps").alias("steps0"))
+        longer = open_.join(before, ["qid", *apart, "since"], "left")
         grown = materialize(longer.select(*key, F.col("since0").alias("since"), F.concat(F.coalesce("steps0", F.array().cast(grown.schema["steps"].dataType)), "steps").alias("steps")))
-    return grown.drop("since")

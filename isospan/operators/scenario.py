@@ -93,8 +93,17 @@ def thin_all(net: Network, ratio: float) -> Network:
     by_route = Window.partitionBy("route_id")
     trips = trips.withColumns({"n": F.count("*").over(by_route), "k": F.row_number().over(by_route.orderBy("first", "appears")) - 1}).where("n > 1")
     less = F.greatest(F.lit(1), (F.col("n") * F.lit(float(ratio))).cast("int"))
-    gone = F.transform(F.sequence(F.lit(0), less - 1), lambda i: (i * (F.col("n") / less)).cast("int"))
-    return replace(net, bus=_without(net.bus, trips.where(F.array_contains(gone, F.col("k")))))
+    # Place k goes if it is the whole part of i * n / less for some i below less; only i next to k * less / n can be it.
+    i = F.floor(F.col("k") * less / F.col("n"))
+    goes = F.lit(False)
+    for step in (-1, 0, 1, 2):
+        near = i + step
+        goes = goes | ((near >= 0) & (near < less) & ((near * (F.col("n") / less)).cast("bigint") == F.col("k")))
+    return replace(net, bus=_without(net.bus, trips.where(goes)))
+
+
+#: Parts in which all pairs of a zone's stops are made.
+ZONE_PARTS = 64
 
 
 def demand_edges(stops: DataFrame, centre, metres: float = 2000, seconds: int = 900) -> DataFrame:
@@ -102,8 +111,10 @@ def demand_edges(stops: DataFrame, centre, metres: float = 2000, seconds: int =
     the centre is unknown or has no position."""
     middle = stops.where(F.col("stop_id") == F.lit(centre)).select(F.col("stop_lat").alias("lat0"), F.col("stop_lon").alias("lon0"))
     inside = stops.crossJoin(F.broadcast(middle)).where(haversine(F.col("lat0"), F.col("lon0"), F.col("stop_lat"), F.col("stop_lon")) <= float(metres))
-    zone = inside.select(F.lit(0).alias("zone"), "stop_id")
-    both = zone.withColumnRenamed("stop_id", "from_stop").join(zone.withColumnRenamed("stop_id", "to_stop"), "zone").where("from_stop <> to_stop")
+    # Each stop is in one part as a start and in all as an end, so no task has all pairs.
+    starts = inside.select(F.col("stop_id").alias("from_stop"), F.pmod(F.xxhash64("stop_id"), F.lit(ZONE_PARTS)).cast("int").alias("part"))
+    ends = inside.select(F.col("stop_id").alias("to_stop"), F.explode(F.sequence(F.lit(0), F.lit(ZONE_PARTS - 1))).alias("part"))
+    both = starts.join(ends, "part").where("from_stop <> to_stop")
     return both.select("from_stop", "to_stop", F.lit(seconds).cast("bigint").alias("walk_time"), F.lit(0.0).alias("distance"), F.lit("demand").alias("edge_type"))
 
 

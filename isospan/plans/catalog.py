@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import format_time, parse_time
+from ..functions import format_time, parse_time, percent_text, thousands, whole_minutes, with_access, without_access
 from ..operators import impact, network, reach, report, scenario
 from ..operators.scenario import Network
+from ..sources import read_facilities, read_gtfs, read_network, read_population, write_gtfs, write_network
 from ..sources.feed import Feed
 from ..sources.star import star_facilities, star_feed, star_population
-from ..tables import materialize
+from ..tables import materialize, scratch
 
 # The default query and scenarios.
 ORIGIN, T0, BUDGET = 0, 8 * 3600, 30 * 60
@@ -24,6 +25,7 @@ ZONE_M, ZONE_SEC = 2000.0, 900
 LINE, LINE_MIN, LINE_KMH = (0, 3, 6, 9), 30, 25
 NAME = "Stop 0"
 POINT = (42.29, 140.94, 1500.0)
+SLOW_M_PER_MIN, TYPES = 50.0, ("ECONOMY", "PROMO", "STANDARD")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -415,3 +417,98 @@ def shape_polylines(c):
     return lines.select(
         "shape_id", "route_id", "colour", "highlighted", F.size("points").cast("bigint").alias("n_points"), F.array_join(F.transform("points", point), ",").alias("line")
     )
+
+
+def _stop_changes(c: Case) -> tuple[DataFrame, DataFrame]:
+    before, after = before_after(c, _without_stops(c))
+    return before, impact.compare(before, after, removed=STOPS)
+
+
+@query
+def stop_removal_changes(c):
+    return _stop_changes(c)[1]
+
+
+@query
+def stop_removal_layer(c):
+    return report.stop_layer(_stop_changes(c)[1], c.feed.stops, c.queries).drop("stop_lat", "stop_lon")
+
+
+@query
+def stop_removal_population(c):
+    before, changed = _stop_changes(c)
+    return impact.affected_population(star_population(c.spark, c.sf_dir), c.feed.stops, changed.where("status = 'lost'"), before)
+
+
+@query
+def accessible_facilities(c):
+    found = impact.facility_access(arrivals(c), c.queries, _placed(c), c.feed.stops)
+    return impact.accessible_facilities(found, TYPES).select("qid", "fac_ord", "name", "type", "total_min")
+
+
+@query
+def facility_access_slow(c):
+    placed = materialize(impact.facility_stops(star_facilities(c.spark, c.sf_dir), c.feed.stops, walk_m_per_min=SLOW_M_PER_MIN))
+    found = impact.facility_access(arrivals(c), c.queries, placed, c.feed.stops)
+    return found.select("qid", "fac_ord", "walk_min", "total_min", "accessible")
+
+
+@query
+def scenario_labels(c):
+    routes = report.routes_by_access(c.feed, c.net.bus, c.net.walk, NAME)
+    label = with_access(F.col("route_name"), F.col("direct"))
+    return routes.select("route_id", label.alias("label"), without_access(label).alias("plain"), report.scenario_label("route removal", F.col("route_name"), F.lit("weekdays")).alias("scenario"))
+
+
+@query
+def summary_text(c):
+    people = report.area_summary(star_population(c.spark, c.sf_dir))
+    return people.select(thousands(F.col("total")).alias("total"), thousands(F.col("elderly")).alias("elderly"), percent_text(F.col("elderly_percent")).alias("share"))
+
+
+@query
+def minutes_text(c):
+    banded = report.bands(arrivals(c), c.queries)
+    return banded.select("qid", "stop_id", whole_minutes(F.col("travel_min")).alias("minutes"))
+
+
+@query
+def gtfs_bus_edges(c):
+    """The feed written as GTFS text, read again, and its network."""
+    folder = scratch(c.spark)
+    write_gtfs(c.feed, folder)
+    feed = read_gtfs(c.spark, folder)
+    edges = network.build_bus_edges(feed)
+    number = {k: F.col(k).cast("bigint") for k in ("from_stop", "to_stop", "trip_id")}
+    return edges.withColumns(number).select("from_stop", "to_stop", "departure_sec", "arrival_sec", "travel_time", "trip_id", "route_id")
+
+
+@query
+def gtfs_shapes(c):
+    folder = scratch(c.spark)
+    write_gtfs(c.feed, folder)
+    shapes = read_gtfs(c.spark, folder).shapes
+    return shapes.select(F.col("shape_id").cast("bigint").alias("shape_id"), "shape_pt_sequence", "shape_pt_lat", "shape_pt_lon")
+
+
+@query
+def network_files(c):
+    """The walks of a network written and read again."""
+    folder = scratch(c.spark)
+    write_network(c.net.bus, c.net.walk, folder, csv=True)
+    return read_network(c.spark, folder)[1]
+
+
+@query
+def population_csv(c):
+    folder = scratch(c.spark)
+    meshes = star_population(c.spark, c.sf_dir)
+    meshes.select(F.col("meshcode").alias("Meshcode"), F.col("pop_t").alias("PopT"), F.col("pop_65over").alias("Pop65over")).write.csv(folder, header=True)
+    return read_population(c.spark, folder).select("meshcode", "pop_t", "pop_65over", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+@query
+def facilities_csv(c):
+    folder = scratch(c.spark)
+    star_facilities(c.spark, c.sf_dir).select("name", "type", "latitude", "longitude").write.csv(folder, header=True)
+    return read_facilities(c.spark, folder).drop("fac_ord")

@@ -6,7 +6,7 @@ import re
 
 from ..functions import BBOX, EARTH_RADIUS_M, HIGHWAY_WORDS, MARKERS, MODE_BUS, MODE_WALK, OTHER_MARKER, UNKNOWN_ROUTE
 from ..sources.star import TABLES
-from .catalog import BUDGET, KEEP_EVERY, LINE, LINE_KMH, LINE_MIN, NAME, ORIGIN, POINT, RATIO, ROUTE, ROUTES, STOPS, T0, THIN_ROUTE, WALK_M, ZONE_M, ZONE_SEC
+from .catalog import BUDGET, KEEP_EVERY, LINE, LINE_KMH, LINE_MIN, NAME, ORIGIN, POINT, RATIO, ROUTE, ROUTES, SLOW_M_PER_MIN, STOPS, T0, THIN_ROUTE, TYPES, WALK_M, ZONE_M, ZONE_SEC
 
 _R = f"CAST({EARTH_RADIUS_M} AS DOUBLE)"
 
@@ -132,6 +132,9 @@ _LATER = {
     "compared": "SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.stop_id, b.stop_id) AS stop_id, a.arrival_sec AS before_sec, b.arrival_sec AS after_sec, b.arrival_sec - a.arrival_sec AS delta_sec, "
     "CASE WHEN b.arrival_sec IS NULL THEN 'lost' WHEN a.arrival_sec IS NULL THEN 'new' WHEN b.arrival_sec - a.arrival_sec >= 60 THEN 'degraded' ELSE 'unaffected' END AS status "
     "FROM old a FULL JOIN new b ON a.qid = b.qid AND a.stop_id = b.stop_id",
+    "stopped": "SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.stop_id, b.stop_id) AS stop_id, a.arrival_sec AS before_sec, b.arrival_sec AS after_sec, b.arrival_sec - a.arrival_sec AS delta_sec, "
+    f"CASE WHEN coalesce(a.stop_id, b.stop_id) IN {_set(STOPS)} THEN 'removed' WHEN b.arrival_sec IS NULL THEN 'lost' WHEN a.arrival_sec IS NULL THEN 'new' WHEN b.arrival_sec - a.arrival_sec >= 60 THEN 'degraded' ELSE 'unaffected' END AS status "
+    "FROM old a FULL JOIN stopless b ON a.qid = b.qid AND a.stop_id = b.stop_id",
     "tight": _tight("old", "bus"),
     "tight_new": _tight("new", "bus_many"),
     **_chase("tight", "old", "p"),
@@ -170,9 +173,24 @@ _MIN = "(arrival_sec - t0) / 60.0::DOUBLE"
 _CLOCK = "lpad(CAST({0} // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 3600 // 60 AS VARCHAR), 2, '0')"
 _SUMS = "CAST(round_even(coalesce(sum(pop_t), 0), 0) AS BIGINT) AS total, CAST(round_even(coalesce(sum(pop_65over), 0), 0) AS BIGINT) AS elderly"
 _NEAR = "SELECT DISTINCT m.mesh_ord FROM meshes m, stops s WHERE s.stop_id IN ({0}) AND " + _hav("m.lat", "m.lon", "s.stop_lat", "s.stop_lon") + " <= 300"
+_GONE = "SELECT stop_id FROM stopped WHERE status = 'lost'"
 _LOST = "SELECT stop_id FROM compared WHERE status = 'lost'"
 _MARKER = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(type, {w!r})' for w in words)} THEN '{m}'" for words, m in MARKERS) + f" ELSE '{OTHER_MARKER}' END"
 
+_ACCESS = (
+    f"SELECT a.route_id, a.route_name, EXISTS (SELECT 1 FROM bus e WHERE e.route_id IS NOT DISTINCT FROM a.route_id AND e.from_stop IN (SELECT stop_id FROM stops WHERE stop_name = '{NAME}' "
+        f"UNION SELECT w.to_stop FROM walk w JOIN stops s ON s.stop_id = w.from_stop WHERE s.stop_name = '{NAME}')) AS direct FROM area a"
+)
+
+
+def _affected(lost: str) -> str:
+    return (
+        f"SELECT CAST(0 AS BIGINT) AS qid, CAST(round_even(coalesce(sum(pop_t) FILTER (NOT c), 0), 0) AS BIGINT) AS affected_total, CAST(round_even(coalesce(sum(pop_65over) FILTER (NOT c), 0), 0) AS BIGINT) AS affected_elderly, "
+        "count(*) FILTER (NOT c) AS uncovered_meshes, count(*) AS lost_meshes, count(*) FILTER (c) AS covered_by_others FROM ("
+        f"SELECT *, mesh_ord IN ({_NEAR.format(f'SELECT stop_id FROM old WHERE stop_id NOT IN ({lost})')}) AS c FROM meshes WHERE mesh_ord IN ({_NEAR.format(lost)}))"
+    )
+
+
 ORACLE = {
     name: _with(text)
     for name, text in {
@@ -190,8 +208,7 @@ ORACLE = {
         "stop_names": "SELECT DISTINCT stop_name FROM inside",
         "stop_ids_by_name": f"SELECT stop_id FROM stops WHERE stop_name = '{NAME}'",
         "default_origin": f"SELECT coalesce(max(CASE WHEN stop_name = '{NAME}' THEN stop_name END), min(stop_name)) AS stop_name FROM inside",
-        "routes_direct_vs_transfer": f"SELECT a.route_id, a.route_name, EXISTS (SELECT 1 FROM bus e WHERE e.route_id IS NOT DISTINCT FROM a.route_id AND e.from_stop IN (SELECT stop_id FROM stops WHERE stop_name = '{NAME}' "
-        f"UNION SELECT w.to_stop FROM walk w JOIN stops s ON s.stop_id = w.from_stop WHERE s.stop_name = '{NAME}')) AS direct FROM area a",
+        "routes_direct_vs_transfer": _ACCESS,
         "isochrone": _ARRIVED.format("old"),
         "isochrone_bands": f"SELECT o.qid, stop_id, arrival_sec, {_MIN} AS travel_min, CASE WHEN {_MIN} <= 15 THEN 'green' WHEN {_MIN} <= 30 THEN 'orange' WHEN {_MIN} <= 45 THEN 'red' ELSE 'darkred' END AS band FROM old o JOIN asked a ON a.qid = o.qid",
         "hourly_profile": "SELECT qid AS hour, stop_id, arrival_sec FROM profile",
@@ -219,9 +236,21 @@ ORACLE = {
         "population_in_radius": f"SELECT {_SUMS}, count(*) AS mesh_count FROM meshes WHERE {_hav(_num(POINT[0]), _num(POINT[1]), 'lat', 'lon')} <= {POINT[2]}",
         "area_summary": f"SELECT {_SUMS}, count(*) AS meshes, CASE WHEN sum(pop_t) > 0 THEN round(sum(pop_65over) / sum(pop_t) * 100, 1) END AS elderly_percent FROM meshes",
         "population_near_stops": f"SELECT CAST(0 AS BIGINT) AS qid, {_SUMS}, count(*) AS mesh_count FROM meshes WHERE mesh_ord IN ({_NEAR.format('SELECT stop_id FROM old')}) HAVING count(*) > 0",
-        "impact_population": f"SELECT CAST(0 AS BIGINT) AS qid, CAST(round_even(coalesce(sum(pop_t) FILTER (NOT c), 0), 0) AS BIGINT) AS affected_total, CAST(round_even(coalesce(sum(pop_65over) FILTER (NOT c), 0), 0) AS BIGINT) AS affected_elderly, "
-        "count(*) FILTER (NOT c) AS uncovered_meshes, count(*) AS lost_meshes, count(*) FILTER (c) AS covered_by_others FROM ("
-        f"SELECT *, mesh_ord IN ({_NEAR.format(f'SELECT stop_id FROM old WHERE stop_id NOT IN ({_LOST})')}) AS c FROM meshes WHERE mesh_ord IN ({_NEAR.format(_LOST)}))",
+        "impact_population": _affected(_LOST),
+        "stop_removal_population": _affected(_GONE),
+        "stop_removal_changes": "SELECT * FROM stopped",
+        "stop_removal_layer": "SELECT c.qid, c.stop_id, s.stop_name, c.status, (before_sec - t0) / 60.0::DOUBLE AS before_min, (after_sec - t0) / 60.0::DOUBLE AS after_min FROM stopped c JOIN stops s ON s.stop_id = c.stop_id JOIN asked q ON q.qid = c.qid",
+        "accessible_facilities": f"SELECT qid, fac_ord, name, type, ((was - t0 + walk_sec) * 10 + 30) // 60 / 10.0::DOUBLE AS total_min FROM access WHERE was IS NOT NULL AND type IN {_set(TYPES)}",
+        "facility_access_slow": f"SELECT qid, fac_ord, (slow * 10 + 30) // 60 / 10.0::DOUBLE AS walk_min, ((was - t0 + slow) * 10 + 30) // 60 / 10.0::DOUBLE AS total_min, was IS NOT NULL AS accessible FROM (SELECT a.*, CAST(round_even(d / {_num(SLOW_M_PER_MIN)} * 60, 0) AS BIGINT) AS slow "
+        f"FROM access a JOIN (SELECT f.fac_ord AS fo, s.stop_id AS si, {_hav('latitude', 'longitude', 'stop_lat', 'stop_lon')} AS d FROM facilities f, stops s) x ON x.fo = a.fac_ord AND x.si = a.nearest_stop)",
+        "scenario_labels": f"SELECT route_id, CASE WHEN direct THEN '[direct] ' ELSE '[transfer] ' END || route_name AS label, route_name AS plain, 'route removal: ' || route_name || ' (weekdays)' AS scenario FROM ({_ACCESS})",
+        "summary_text": f"SELECT format('{{:,}}', total) AS total, format('{{:,}}', elderly) AS elderly, format('{{:.1f}}%', p) AS share FROM (SELECT {_SUMS}, round(sum(pop_65over) / sum(pop_t) * 100, 1) AS p FROM meshes)",
+        "minutes_text": f"SELECT o.qid, stop_id, CAST(CAST(round_even({_MIN}, 0) AS BIGINT) AS VARCHAR) AS minutes FROM old o JOIN asked a ON a.qid = o.qid",
+        "gtfs_bus_edges": _PLAIN.format("bus"),
+        "gtfs_shapes": "SELECT shape_id, shape_pt_sequence, shape_pt_lat, shape_pt_lon FROM shapes",
+        "network_files": "SELECT * FROM walk",
+        "population_csv": "SELECT meshcode, pop_t, pop_65over, round(lat, 7) AS lat, round(lon, 7) AS lon FROM meshes",
+        "facilities_csv": "SELECT name, type, latitude, longitude FROM facilities",
         "facility_types": "SELECT DISTINCT type FROM facilities",
         "facility_nearest_stop": "SELECT fac_ord, nearest_stop, distance_m, walk_sec FROM placed",
         "facility_access": "SELECT qid, fac_ord, name, type, nearest_stop, stop_name, distance_m, (walk_sec * 10 + 30) // 60 / 10.0::DOUBLE AS walk_min, ((was - t0 + walk_sec) * 10 + 30) // 60 / 10.0::DOUBLE AS total_min, was IS NOT NULL AS accessible FROM access",

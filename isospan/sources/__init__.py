@@ -1,6 +1,6 @@
 """Readers and writers of feeds, networks, population meshes and facilities."""
 
-from .feed import Feed, read_gtfs, read_gtfs_zip
+from .feed import Feed, read_gtfs, read_gtfs_zip, write_gtfs
 from .files import (
     MissingColumns,
     optional,
@@ -25,5 +25,6 @@ __all__ = [
     "require",
     "star_feed",
     "star_table",
+    "write_gtfs",
     "write_network",
 ]

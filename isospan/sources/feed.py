@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import posixpath
 import shutil
+import tempfile
 import uuid
 import zipfile
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_time
@@ -86,19 +87,38 @@ def read_gtfs(spark: SparkSession, folder: str) -> Feed:
     )
 
 
+def _clock_text(seconds: str) -> Column:
+    s = F.col(seconds)
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), (s % 60).cast("bigint"))
+
+
+def write_gtfs(feed: Feed, folder: str) -> None:
+    """The feed's tables as GTFS text files in a folder, each in as many parts as Spark makes, with a header."""
+    times = feed.stop_times.select("trip_id", "stop_id", "stop_sequence", _clock_text("arrival_sec").alias("arrival_time"), _clock_text("departure_sec").alias("departure_time"))
+    tables = {"stops": feed.stops.orderBy("stop_ord").drop("stop_ord"), "routes": feed.routes, "trips": feed.trips, "calendar": feed.calendar, "stop_times": times}
+    tables |= {"calendar_dates": feed.calendar_dates, "shapes": feed.shapes}
+    for name, table in tables.items():
+        if table is not None:
+            table.write.csv(posixpath.join(folder, f"{name}.txt"), header=True, encoding="UTF-8")
+
+
 def read_gtfs_zip(spark: SparkSession, archive: str) -> Feed:
     """The feed in an archive on the driver: unpacked into the shared folder, from the first folder in it that has
     stops.txt and stop_times.txt, else its root."""
-    to = Path(shared_dir(spark).removeprefix("file:")) / f"feed-{uuid.uuid4().hex}"
-    with zipfile.ZipFile(archive) as z:
+    to = f"{shared_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    with zipfile.ZipFile(archive) as z, tempfile.TemporaryDirectory() as own:
         folders: dict[str, set[str]] = {}
         files = [n for n in z.namelist() if n.endswith(".txt")]
         for n in files:
             folders.setdefault(posixpath.dirname(n), set()).add(posixpath.basename(n))
         root = next((d for d, names in sorted(folders.items()) if {"stops.txt", "stop_times.txt"} <= names), "")
-        to.mkdir(parents=True)
         for n in files:
             if posixpath.dirname(n) == root:
-                with z.open(n) as source, (to / posixpath.basename(n)).open("wb") as target:
+                # A file at a time is on the driver's disk, until it is in the folder that executors read.
+                plain = Path(own) / posixpath.basename(n)
+                with z.open(n) as source, plain.open("wb") as target:
                     shutil.copyfileobj(source, target)
-    return read_gtfs(spark, f"file://{to}")
+                goal = hadoop.Path(f"{to}/{plain.name}")
+                goal.getFileSystem(conf).copyFromLocalFile(True, True, hadoop.Path(f"file://{plain}"), goal)
+    return read_gtfs(spark, to)

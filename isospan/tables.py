@@ -47,6 +47,11 @@ def _new_path(spark: SparkSession, name: str | None = None) -> str:
     return path
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, to be deleted with the others."""
+    return _new_path(spark)
+
+
 def materialize(df: DataFrame, *by: str) -> DataFrame:
     """Write df to the shared folder, parted by some columns if named, and read it again: cuts its lineage, survives
     lost executors, and lets the planner see its true size."""
