@@ -34,9 +34,11 @@ TREES = 36
 DEEPEST, FLOOR = 10, 6
 TARGET_RECALL = 0.9999
 #: Documents and shingles of one block; a task sees two blocks. A document with more shingles is a block by itself.
-BLOCK, SHINGLES = 256, 1 << 20
+BLOCK, SHINGLES = 256, 1 << 18
 #: Cells of the incidence matrix that verification has in memory at once.
-CELLS = 1 << 24
+CELLS = 1 << 21
+#: Words whose hashes a task remembers.
+WORDS_KEPT = 100_000
 #: Links are told apart by similarity, in percent from this on.
 PERCENT = 100 * SIMILAR[0] // SIMILAR[1]
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +56,7 @@ class Shingler:
         words = text.lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.words) > 500_000:
+        if len(self.words) > WORDS_KEPT:
             self.words.clear()
         known = self.words
         for w in set(words):
