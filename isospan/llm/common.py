@@ -48,14 +48,15 @@ class Sieve:
         return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
     def part(self, rows: DataFrame, key: Column, among: bool = True) -> DataFrame:
-        """The rows that may have a key among the ids, or those that have none for certain."""
-        shared, placed = self.shared, rows.withColumn("__place", self.place(key))
+        """The rows that may have a key among the ids, or those that have none for certain. Nothing of a row but the
+        place of its key goes to Python."""
+        shared = self.shared
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(Sieve.holds(shared.value, b.column(b.num_columns - 1)) == among))
+        @F.arrow_udf("boolean")
+        def fits(place: pa.Array) -> pa.Array:
+            return pa.array(Sieve.holds(shared.value, place) == among)
 
-        return placed.mapInArrow(run, placed.schema).drop("__place")
+        return rows.where(fits(self.place(key)))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
