@@ -366,16 +366,18 @@ def similar_classes(docs: DataFrame, **how) -> DataFrame:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns as they are, that stand for their class: its smallest doc_id. Of repeated rows of
-    that doc_id, the first by text stays. See similar_classes() for all else."""
+    that doc_id, the first by text stays. Only texts that may go are shuffled. See similar_classes() for all else."""
     classes = similar_classes(docs, **how)
     id_ = F.coalesce("doc_id", F.lit(NULL_ID))
-    kept = classes.groupBy(id_.alias("__id")).agg(F.count("*").alias("__rows"), F.min(F.coalesce("class_id", F.lit(NULL_ID))).alias("__class"))
-    kept = materialize(kept.where("__id = __class").select("__id", "__rows"))
+    ids = classes.groupBy(id_.alias("__id")).agg(F.count("*").alias("__rows"), F.min(F.coalesce("class_id", F.lit(NULL_ID))).alias("__class"))
+    odd = materialize(ids.where("__id <> __class OR __rows > 1").select("__id", (F.col("__id") == F.col("__class")).alias("__stays")))
     own = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)))
-    once = own.join(kept.where("__rows = 1"), own["__key"] == kept["__id"], "left_semi").select(docs.columns)
-    again = kept.where("__rows > 1")
+    sieve = Sieve(odd, "__id")
+    whole, some = sieve.part(own, F.col("__key"), False), sieve.part(own, F.col("__key"))
+    once = whole.unionAll(some.join(odd, some["__key"] == odd["__id"], "left_anti")).select(docs.columns)
+    again = odd.where("__stays")
     if again.isEmpty():
         return once
     first = Window.partitionBy("__key").orderBy("text")
-    some = own.join(again, own["__key"] == again["__id"], "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    some = some.join(again, some["__key"] == again["__id"], "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
     return once.unionAll(some.select(docs.columns))
