@@ -34,8 +34,10 @@ LEAST_ITEM = 8
 #: Masks for items of WINDOW tokens or more, and for shorter ones.
 SEEDS = ("1110010111", "11110111", "1110000010111", "1111111", "11101111")
 SHORT_SEEDS = ("110111", "11010011", "11111")
-#: Bits of the Bloom filter, which has two places for each seed.
-BLOOM_BITS = 1 << 28
+#: Bits of the Bloom filter, at most; and for each seed, which has so many places.
+BLOOM_BITS, BITS_EACH, PLACES = 1 << 28, 128, 4
+#: Written forms of words whose hashes a task remembers.
+WORDS_KEPT = 100_000
 #: Contaminated rows that are sent to all tasks; beyond, rows that may be among them are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: More than any mask spans, between two documents.
@@ -65,7 +67,7 @@ class Hashes(dict):
     def __missing__(self, word: str) -> int:
         plain = normal(word)
         n = xxhash.xxh3_64_intdigest(plain.encode()) | 1 if plain else 0
-        if len(self) > 500_000:
+        if len(self) > WORDS_KEPT:
             self.clear()
         self[word] = n
         return n
@@ -95,27 +97,30 @@ def spaced(ids: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
-def _places(h: Column) -> list[Column]:
-    return [F.pmod(h, F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(BLOOM_BITS))]
+def _places(h: Column, bits: int) -> list[Column]:
+    low, step = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    return [F.pmod(low + k * step, F.lit(bits)) for k in range(PLACES)]
 
 
 def bloom(seeds: DataFrame) -> Broadcast:
-    """A Bloom filter of the seeds' hashes."""
-    bits = seeds.select(F.explode(F.array(*_places(F.col("h")))).alias("at"))
-    words = bits.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
+    """A Bloom filter of the seeds' hashes. seeds: a written table."""
+    bits = 1 << min(BLOOM_BITS.bit_length() - 1, max(10, (BITS_EACH * seeds.count()).bit_length()))
+    places = seeds.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("at"))
+    words = places.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    filled = np.zeros(BLOOM_BITS >> 6, np.int64)
+    filled = np.zeros(bits >> 6, np.int64)
     filled[found["word"].to_numpy()] = found["bits"].to_numpy()
     return seeds.sparkSession.sparkContext.broadcast(filled)
 
 
 def _passes(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Where the hashes that pass the filter are."""
-    low = np.uint64(BLOOM_BITS - 1)
-    at = (h & low).astype(np.int64)
-    first = np.flatnonzero(filled[at >> 6] >> (at & 63) & 1)
-    at = (h[first] >> np.uint64(32) & low).astype(np.int64)
-    return first[np.flatnonzero(filled[at >> 6] >> (at & 63) & 1)]
+    low, step = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
+    last, found = np.uint64(64 * len(filled) - 1), np.arange(len(h))
+    for k in range(PLACES):
+        at = (low[found] + np.uint64(k) * step[found] & last).astype(np.int64)
+        found = found[filled[at >> 6] >> (at & 63) & 1 == 1]
+    return found
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
