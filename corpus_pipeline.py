@@ -10,14 +10,26 @@ from isospan.llm.common import materialize
 from isospan.llm.oracles import PIPELINE
 from isospan.llm.queries import table
 
+#: What is sent to Python at once. The session's own settings of 10,000 rows and 64 MB let a few tasks hold hundreds of
+#: MB of texts outside the heap, more the longer the texts are.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold for what the session runs from here on; a DataFrame is bound by them when it is computed, not when made."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current quality policy keeps."""
+    bound_batches(spark)
     return quality_rules.keep(docs, quality_rules.POLICIES[quality_rules.CURRENT])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; n_chars, if there is such a column, is that of what is left."""
+    bound_batches(spark)
     left = line_dedup.dedup_lines(docs, counts=False)
     if "n_chars" not in docs.columns:
         return left
@@ -26,16 +38,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of copies and near copies."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with a benchmark item."""
+    bound_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the weight of its source asks, with its place in the mixture."""
+    bound_batches(spark)
     return mixing.mix_sources(docs)
 
 
