@@ -240,7 +240,57 @@ clean AS MATERIALIZED (SELECT s.* FROM single s JOIN ({_over(_OVERLAPS, "single"
 SELECT * FROM ({_over(_MIXING, "clean").format(columns="doc_id, text, lang, source, n_chars")})
 """
 
+#: Every term in every group, counted or not.
+_AUDIT = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+t AS MATERIALIZED (SELECT lang, source, id, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, CAST(count(*) AS BIGINT) AS lang_c FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(lang_c) AS n FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL),
+grid AS (SELECT lang, source, term, coalesce(c, 0) AS c, lang_c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+summed AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n FROM grid),
+p AS MATERIALIZED (
+  SELECT lang, source, term, c, CAST(1 + (1000000000::HUGEINT * (c + 2)) // CAST(s.n + 2 * v AS HUGEINT) AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (lang_c + 2)) // CAST(l.n + 2 * v AS HUGEINT) AS BIGINT) AS q
+  FROM summed s JOIN langs l USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+#: CRC-32 of the bytes of a text of code points under 256, byte by byte from a table made by its rule.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+  lambda a, b: xor(a >> 8, list_extract(crc_table, xor(a & 255, b) + 1))), 4294967295::BIGINT)"""
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+
+#: Words meet where each is less one letter, or one of them, by place instead of by anagram.
+_SPELLING = rf"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+counted AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+crc AS (SELECT {_CRC_TABLE} AS crc_table),
+hashed AS MATERIALIZED (SELECT run, n, {_CRC.format("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM counted, crc),
+spoilt AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS MATERIALIZED (SELECT word, n, k, left(word, k) || substr(word, k + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS k FROM words)),
+met AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS first, max(near_n) AS most FROM met GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN first END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+way AS (SELECT word, word AS root FROM formed UNION ALL SELECT way.word, f.form FROM way JOIN formed f ON f.word = way.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT y.word, y.root FROM way y JOIN formed e ON e.word = y.root WHERE e.form IS NULL) w ON w.word = f.word
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_source_audit": _AUDIT,
+    "op13_spelling": _SPELLING,
     "op1_mixing": _MIXING.format(columns="doc_id, source"),
     "op9_pii": _PII,
     "op10_decontamination": _OVERLAPS,
