@@ -10,9 +10,13 @@ that is run again replaces its own sequences whole and nothing is shuffled.
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -21,15 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import doc_view, parts, texts
+from .token_counts import byte_letters
 
-#: Distinct chunks between white space whose ids a worker remembers; it forgets them all beyond.
-REMEMBERED = 400_000
+#: Distinct chunks between white space whose ids a worker remembers, twice: beyond, those that it hasn't met since it last
+#: was full are forgotten.
+REMEMBERED = 500_000
 #: Bytes of one text that are tokenized at once.
 SLICE = 1 << 20
 #: Pieces that wait at most before some are packed, and pieces in a batch of results.
 WINDOW, BATCH = 4096, 1024
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 SPACES = b" \t\n\r\x0b\x0c"
+#: Words of Latin-1 letters, after A-Z went to lower case.
+WORD = re.compile("[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
@@ -44,14 +52,18 @@ def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
 
 class Ids:
     """Token ids as little-endian 32-bit numbers, of texts cut at ASCII white space: no token of the vocabulary and no
-    step of its normalisation, which ends in lower case, reaches across."""
+    step of its normalisation, which ends in composed lower case, reaches across."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores out
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _chunks(self, text: bytes) -> list[bytes]:
         """In lower case, so that fewer differ; unless that makes a special token of something else."""
@@ -59,19 +71,29 @@ class Ids:
         return (text if any(lower.count(s) != text.count(s) for s in self.special) else lower).split()
 
     def _learn(self, chunks: set[bytes]) -> None:
-        """A full stop or comma behind a letter or digit is a token of its own, so what precedes it is known more often."""
+        """A full stop or comma behind a letter or digit is a token of its own, so what precedes it is known more often.
+        A word of Latin-1 letters is one piece whose normal form is its lower case: the model alone is asked for it."""
         ends = {c for c in chunks if c[-1:] in b".," and c[-2:-1].isalnum()}
-        plain = list((chunks - ends | {c[:-1] for c in ends} | {b".", b","}).difference(self.known))
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
-            coded = self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(c.ids, "<u4").tobytes() for c in coded), strict=True))
-        self.known.update((c, self.known[c[:-1]] + self.known[c[-1:]]) for c in ends)
+        new = chunks.difference(ends).union({c[:-1] for c in ends}, (b".", b",")).difference(self.known)
+        known, other = self.known, []
+        for c in new:
+            if (ids := self.before.get(c)) is not None:
+                known[c] = ids
+            elif WORD(s := c.decode("utf-8", "replace")):
+                word = s if c.isascii() else s.lower().encode().decode("latin-1").translate(self.letters)
+                known[c] = array("I", [t.id for t in self.merge(word)]).tobytes()
+            else:
+                other.append((c, s))
+        for at in range(0, len(other), 2000):
+            part = other[at : at + 2000]
+            coded = self.library.encode_batch_fast([s for _, s in part], add_special_tokens=False)
+            known.update((c, array("I", e.ids).tobytes()) for (c, _), e in zip(part, coded, strict=True))
+        known.update((c, known[c[:-1]] + known[c[-1:]]) for c in ends)
 
     def __call__(self, batch: list[bytes]) -> list[bytes]:
         chunks = [self._chunks(t) for t in batch]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         if new := set(chain.from_iterable(chunks)).difference(self.known):
             self._learn(new)
         get = self.known.__getitem__
@@ -86,6 +108,12 @@ class Document:
     placed: list[tuple] = field(default_factory=list)  #: start, ids, sequence, offset
 
 
+@cache
+def ids_of(path: str) -> Ids:
+    """One for each vocabulary and worker, so that tasks that follow one another know what the ones before learnt."""
+    return Ids(path)
+
+
 def fill(counts: np.ndarray, room: int) -> dict[int, int]:
     """How many of each length to take so that their sum comes closest to the room from below; counts: by length."""
     mask, reach, steps = (1 << room + 1) - 1, 1, []
@@ -206,7 +234,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = Ids(vocabulary), Packer(capacity, window, TaskContext.get().partitionId() << 33)
+        coder, packer = ids_of(vocabulary), Packer(capacity, window, TaskContext.get().partitionId() << 33)
         for b in parts(batches, 200):
             ids, raw = b.column(0).to_pylist(), texts(b)
             small = [len(t) <= SLICE for t in raw]
