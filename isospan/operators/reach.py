@@ -1,25 +1,28 @@
 """Earliest arrivals over a timetable, and the paths that lead there, for many queries at once.
 
 A query is (qid, start_stop, t0, budget). Waiting is free and a later start never arrives earlier, so arrivals are
-the least fixpoint of relaxation: in each round the stops that improved board what leaves after they were reached
-and walk on. The cost is that of the rounds, not of the queries, so queries go together; with a scenario column in
-edges and queries, so do scenarios.
+the least fixpoint of relaxation. A round boards: of each trip that can be caught where stops improved, the first call is
+found and all later ones are reached from there, and from what is reached one walks on. So there are as many rounds as
+vehicles are boarded, and walks beyond the first hop, on any best way. The cost is that of the rounds, not of the queries,
+so queries go together; with a scenario column so do scenarios, which are laid over a network that is stored once.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import MODE_BUS, MODE_WALK, PROFILE_HOURS, tenth_minutes
-from ..tables import bucketed, materialize
+from ..tables import materialize, measured
+from .timetable import Overlay, Timetable, lay_out
 
 #: Rounds after which the pieces of the state are put together.
 COMPACT = 8
-#: Rows of a frontier that are sent to all tasks, so that edges stay where they are; beyond, it is shuffled to them.
-BROADCAST_ROWS = 500_000
+#: Bytes of a frontier that are sent to all tasks, so that edges stay where they are; beyond, it is shuffled to them.
+BROADCAST_BYTES = 16 << 20
 
 
 def _apart(edges: DataFrame, queries: DataFrame) -> list[str]:
@@ -33,34 +36,113 @@ def earliest_arrivals(bus: DataFrame, walk: DataFrame, queries: DataFrame) -> Da
     deadline. A start unknown to the network reaches itself; of queries with the same qid each start counts.
     """
     apart = _apart(bus, queries)
-    state = materialize(
-        queries.select("qid", *apart, F.col("start_stop").alias("stop_id"), F.col("t0").cast("bigint").alias("arrival_sec"), (F.col("t0") + F.col("budget")).cast("bigint").alias("deadline"))
-    )
-    lo, hi = state.agg(F.min("arrival_sec"), F.max("deadline")).first()
-    if lo is None:
-        return state.drop("deadline")
-    rides = bus.where((F.col("departure_sec") >= lo) & (F.col("arrival_sec") <= hi))
-    rides = rides.select(*apart, F.col("from_stop").alias("stop_id"), "to_stop", "departure_sec", F.col("arrival_sec").alias("arrives"))
-    walks = walk.select(*apart, F.col("from_stop").alias("stop_id"), "to_stop", "walk_time")
-    # Bucketed by the stop that they leave from, edges are shuffled once and not in each round.
-    parts = int(bus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rides, walks = (bucketed(e.repartition(parts, "stop_id"), parts, ["stop_id"]) for e in (rides, walks))
-    key, frontier, rounds = ["qid", *apart, "stop_id", "deadline"], state, 0
-    while n := frontier.count():
-        here = ["stop_id", *apart]
-        if n <= BROADCAST_ROWS:
-            frontier = F.broadcast(frontier)
-        ridden = frontier.join(rides, here).where("departure_sec >= arrival_sec AND arrives <= deadline")
-        walked = frontier.join(walks, here).withColumn("arrives", F.col("arrival_sec") + F.col("walk_time")).where("arrives <= deadline")
-        to = ["qid", *apart, F.col("to_stop").alias("stop_id"), "deadline", F.col("arrives").alias("arrival_sec"), F.lit(False).alias("old")]
-        met = ridden.select(*to).unionAll(walked.select(*to)).unionAll(state.select(*key, "arrival_sec", F.lit(True).alias("old")))
-        best = met.groupBy(key).agg(F.min("arrival_sec").alias("best"), F.min(F.when(F.col("old"), F.col("arrival_sec"))).alias("had"))
-        better = best.where("had IS NULL OR best < had").select("qid", *apart, "stop_id", F.col("best").alias("arrival_sec"), "deadline")
-        frontier, rounds = materialize(better), rounds + 1
-        state = state.unionAll(frontier)
-        if rounds % COMPACT == 0:
-            state = materialize(state.groupBy(key).agg(F.min("arrival_sec").alias("arrival_sec")).select(state.columns))
-    return materialize(state.groupBy("qid", *apart, "stop_id").agg(F.min("arrival_sec").alias("arrival_sec")))
+    hours = queries.agg(F.min("t0"), F.max(F.col("t0") + F.col("budget"))).first()
+    used = bus if hours[0] is None else bus.where(f"departure_sec >= {hours[0]} AND arrival_sec <= {hours[1]}")
+    return search(lay_out(used, walk, apart), queries)
+
+
+def search(table: Timetable, queries: DataFrame, overlay: Overlay | None = None) -> DataFrame:
+    """As earliest_arrivals(), over a network that is laid out already, and scenarios laid over it."""
+    return Search(table, queries, overlay).run()
+
+
+@dataclass
+class Search:
+    """One fixpoint. After run(), rounds has what each round found: rows that got better."""
+
+    table: Timetable
+    queries: DataFrame
+    overlay: Overlay | None = None
+    rounds: list[int] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.overlay = self.overlay or Overlay()
+        self.apart = ["scenario"] if "scenario" in self.queries.columns else []
+        self.key = ["qid", *self.apart, "stop_id", "deadline"]
+        self.row = [*self.key, "arrival_sec"]
+
+    def starts(self) -> DataFrame:
+        end = (F.col("t0") + F.col("budget")).cast("bigint").alias("deadline")
+        return self.queries.select("qid", *self.apart, F.col("start_stop").alias("stop_id"), end, F.col("t0").cast("bigint").alias("arrival_sec"))
+
+    def _without(self, rows: DataFrame, gone: DataFrame | None, *keys: str) -> DataFrame:
+        """Rows that aren't gone, in their scenario or in all."""
+        return rows if gone is None else rows.join(gone, [*keys, *(c for c in self.apart if c in gone.columns)], "left_anti")
+
+    def _tables(self) -> list[tuple[Timetable, bool]]:
+        """What there is to ride and walk on, and whether the overlay takes some of it away."""
+        more = self.overlay.extra
+        return [(self.table, True)] + ([(more, False)] if more else [])
+
+    def ridden(self, frontier: DataFrame, small: bool = False) -> DataFrame:
+        """What trips reach from their first call that the frontier can catch. small: it may be sent to all rides, and
+        then nothing is shuffled up to here."""
+        found = []
+        for t, base in self._tables():
+            catch = (F.broadcast(frontier) if small else frontier).join(t.trips if small else t.rides, ["stop_id", *t.apart])
+            hits = catch.where("departure_sec >= arrival_sec AND arrives <= deadline").select("qid", *self.apart, "deadline", "trip_id", "chain", "place")
+            trip = ["trip_id", "chain", *t.apart]
+            first = hits.groupBy(*dict.fromkeys([*trip, "qid", "deadline", *self.apart])).agg(F.min("place").alias("from_place"))
+            if base:
+                first = self._without(first, self.overlay.gone, "trip_id")
+            legs = t.trips.select(*trip, "place", "to_stop", "arrives")
+            on = (first.hint("merge") if small else first).join(legs, trip).where("place >= from_place AND arrives <= deadline")
+            found.append(on.select("qid", *self.apart, F.col("to_stop").alias("stop_id"), "deadline", F.col("arrives").alias("arrival_sec")))
+        return reduce(DataFrame.unionAll, found)
+
+    def walked(self, rows: DataFrame) -> DataFrame:
+        """The rows, and what is one hop on foot from them."""
+        found = []
+        for t, base in self._tables():
+            on = rows.join(t.walks, ["stop_id", *t.apart], "left")
+            if base and self.overlay.gone_walks is not None:
+                gone = self.overlay.gone_walks.withColumn("gone", F.lit(True))
+                on = on.join(gone, ["stop_id", "to_stop", *(c for c in self.apart if c in gone.columns)], "left").withColumn("to_stop", F.when(F.col("gone").isNull(), F.col("to_stop")))
+            stay, go = F.struct("stop_id", "arrival_sec"), F.struct(F.col("to_stop").alias("stop_id"), (F.col("arrival_sec") + F.col("walk_time")).alias("arrival_sec"))
+            both = on.select("qid", *self.apart, "deadline", F.explode(F.array(stay, go)).alias("x")).select(*self.key[:-2], "x.stop_id", "deadline", "x.arrival_sec")
+            found.append(both.where("stop_id IS NOT NULL AND arrival_sec <= deadline"))
+        return reduce(DataFrame.unionAll, found)
+
+    def _best(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(self.key).agg(F.min("arrival_sec").alias("arrival_sec"))
+
+    def better(self, met: DataFrame, state: DataFrame) -> DataFrame:
+        """The best of what was met, where the state has nothing as good."""
+        tagged = met.select(*self.row, F.lit(False).alias("old")).unionAll(state.select(*self.row, F.lit(True).alias("old")))
+        best = tagged.groupBy(self.key).agg(F.min("arrival_sec").alias("best"), F.min(F.when(F.col("old"), F.col("arrival_sec"))).alias("had"))
+        return best.where("had IS NULL OR best < had").select(*self.key, F.col("best").alias("arrival_sec"))
+
+    def run(self) -> DataFrame:
+        """qid, (scenario,) stop_id, arrival_sec of all that is reached from the starts."""
+        first = self.starts()
+        if not self._limit():
+            return first.select("qid", *self.apart, "stop_id", "arrival_sec")
+        state = self.fixpoint(self._best(self.walked(first)).select(self.row))
+        return state.groupBy("qid", *self.apart, "stop_id").agg(F.min("arrival_sec").alias("arrival_sec"))
+
+    def _limit(self) -> bool:
+        """Leave out of the table what no query can use; False if there are no queries."""
+        first, last = self.queries.agg(F.min("t0"), F.max(F.col("t0") + F.col("budget"))).first()
+        if first is not None:
+            self.table = self.table.during(first, last)
+        return first is not None
+
+    def fixpoint(self, seeds: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        """All that gets better from the seeds on, in written pieces; of some keys only, if they are given."""
+        frontier, n, size = measured(seeds, "stop_id")
+        state = frontier
+        while n:
+            self.rounds.append(n)
+            small = size <= BROADCAST_BYTES
+            rode = self.ridden(frontier, small).unionAll(frontier)
+            met = self.walked(rode if small else self._best(rode).select(self.row))
+            if only is not None:
+                met = met.join(only, self.key, "left_semi")
+            frontier, n, size = measured(self.better(met, state), "stop_id")
+            state = state.unionAll(frontier)
+            if len(self.rounds) % COMPACT == 0:
+                state = materialize(self._best(state).select(self.row))
+        return state
 
 
 def hourly_queries(queries: DataFrame, hours: range = PROFILE_HOURS) -> DataFrame:
@@ -103,8 +185,6 @@ def paths(preds: DataFrame, queries: DataFrame, names: DataFrame) -> DataFrame:
     Paths grow by doubling: a stop's steps so far are put behind those of the stop where they begin, so that the
     rounds are the logarithm of the longest path's length.
     """
-    apart = ["scenario"] if "scenario" in preds.columns else []
-    key = ["qid", *apart, "stop_id"]
     step = F.struct(
         F.col("pred_stop").alias("from_stop"),
         F.col("stop_id").alias("to_stop"),
@@ -114,7 +194,21 @@ def paths(preds: DataFrame, queries: DataFrame, names: DataFrame) -> DataFrame:
         "arrival_sec",
         tenth_minutes(F.col("arrival_sec") - F.col("departure_sec")).alias("duration_min"),
     )
-    grown = preds.join(names, "trip_id", "left").select(*key, F.col("pred_stop").alias("since"), F.array(step).alias("steps"))
+    return _grown(preds.join(names, "trip_id", "left"), step, queries)
+
+
+def trips_used(preds: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, (scenario,) stop_id, trip_id: the trips on the path to each stop reached, each once."""
+    ridden = F.array_distinct(F.filter("steps", lambda t: t.isNotNull()))
+    found = _grown(preds, F.col("trip_id"), queries).withColumn("trip_id", F.explode(ridden))
+    return found.drop("steps")
+
+
+def _grown(preds: DataFrame, step: Column, queries: DataFrame) -> DataFrame:
+    """qid, (scenario,) stop_id, steps: the steps that lead from the start to each stop."""
+    apart = ["scenario"] if "scenario" in preds.columns else []
+    key = ["qid", *apart, "stop_id"]
+    grown = preds.select(*key, F.col("pred_stop").alias("since"), F.array(step).alias("steps"))
     start = queries.select("qid", *apart, F.col("start_stop").alias("stop_id"))
     rest = [c for c in grown.columns if c not in start.columns]
     empty = start.select(*key, *(F.lit(None).cast(grown.schema[c].dataType).alias(c) for c in rest)).withColumn("steps", F.array().cast(grown.schema["steps"].dataType))

@@ -2,21 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import attrgetter
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DWELL_SEC, SERVICE_SPAN, WALK_EDGE_M, haversine, ride_seconds
 from .network import stop_pairs
+from .reach import earliest_arrivals, search
+from .timetable import Overlay, Timetable, lay_out
 
 
 @dataclass(frozen=True)
 class Network:
+    """Edges and stops. kept: the layout for searches of the network that this one was made of, if that was laid out, and
+    what has changed since: trips gone (trip_id), rides and walks that are new (as edges), walks gone (from_stop, to_stop).
+    """
+
     bus: DataFrame
     walk: DataFrame
     stops: DataFrame
+    kept: Timetable | None = None
+    gone: DataFrame | None = None
+    new_bus: DataFrame | None = None
+    new_walk: DataFrame | None = None
+    gone_walk: DataFrame | None = None
+
+    def with_layout(self, folder: str | None = None) -> Network:
+        """Laid out for searches, in a folder or as scratch; a network without a layout is laid out for each search."""
+        return Network(self.bus, self.walk, self.stops, lay_out(self.bus, self.walk, folder=folder))
+
+
+def _both(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+def overlay(changed: Mapping[Any, Network], kind: str = "int") -> Overlay:
+    """What sets the networks apart from the one they were all made of, by scenario: the keys, of an SQL type."""
+    mark = lambda df, k: df.withColumn("scenario", F.lit(k).cast(kind))
+    each = lambda get: [mark(df, k) for k, net in changed.items() if (df := get(net)) is not None]
+    all_ = lambda dfs: reduce(DataFrame.unionByName, dfs) if dfs else None
+    gone, bus, walk, gone_walk = (all_(each(attrgetter(k))) for k in ("gone", "new_bus", "new_walk", "gone_walk"))
+    if gone_walk is not None:
+        gone_walk = gone_walk.select("scenario", F.col("from_stop").alias("stop_id"), "to_stop")
+    extra = None
+    if bus is not None or walk is not None:
+        net = next(iter(changed.values()))
+        none = lambda df: mark(df.limit(0), None)
+        extra = lay_out(none(net.bus) if bus is None else bus, none(net.walk) if walk is None else walk, ["scenario"])
+    return Overlay(gone, extra, gone_walk)
+
+
+def arrivals(net: Network, queries: DataFrame) -> DataFrame:
+    """Earliest arrivals in a network, over the layout that it or the one that it was made of has."""
+    if net.kept is None:
+        return earliest_arrivals(net.bus, net.walk, queries)
+    if net.gone is net.new_bus is net.new_walk is net.gone_walk is None:
+        return search(net.kept, queries)
+    return search(net.kept, queries.withColumn("scenario", F.lit(1)), overlay({1: net})).drop("scenario")
 
 
 def _values(like: DataFrame, column: str, values: Sequence) -> DataFrame:
@@ -26,14 +73,25 @@ def _values(like: DataFrame, column: str, values: Sequence) -> DataFrame:
 def remove_routes(net: Network, route_ids: Sequence | str | None) -> Network:
     """Without the rides of the routes; rides of no known route stay. Nothing is removed by an empty list or None."""
     ids = [] if route_ids in (None, "") else [route_ids] if isinstance(route_ids, str) else list(route_ids)
-    return replace(net, bus=net.bus.join(_values(net.bus, "route_id", ids), "route_id", "left_anti").select(net.bus.columns)) if ids else net
+    if not ids:
+        return net
+    routes = _values(net.bus, "route_id", ids)
+    left = net.bus.join(routes, "route_id", "left_anti").select(net.bus.columns)
+    # Rides that were added since have no place in the layout, so they go where they are.
+    added = None if net.new_bus is None else net.new_bus.join(routes, "route_id", "left_anti").select(net.new_bus.columns)
+    return replace(net, bus=left, gone=_both(net.gone, trips_of(net, routes)), new_bus=added)
+
+
+def trips_of(net: Network, routes: DataFrame) -> DataFrame:
+    """trip_id, and further columns of routes, of the trips of each route (route_id)."""
+    return net.bus.select("trip_id", "route_id").join(routes, "route_id").drop("route_id").distinct()
 
 
 def remove_stops(net: Network, stop_ids: Sequence, walk_metres: float = WALK_EDGE_M) -> Network:
     """Buses pass through the stops, and those who walked by way of them walk between their neighbours, up to twice
     the distance.
 
-    Every trip is written anew from its calls: a call's departure becomes its arrival, hops that took no time come
+    The result has no layout: every trip is written anew from its calls: a call's departure becomes its arrival, hops that took no time come
     back if the calls around them are apart in time, and hops from a stop to itself go; also with no stop removed.
     """
     gone = _values(net.stops, "stop_id", stop_ids)
@@ -59,7 +117,7 @@ def remove_stops(net: Network, stop_ids: Sequence, walk_metres: float = WALK_EDG
     stay = net.walk.join(at("from_stop"), "from_stop", "left_anti").join(at("to_stop"), "to_stop", "left_anti")
     ends = [net.walk.join(at(a), a, "left_semi").join(at(b), b, "left_anti").select(F.col(b).alias("stop_id")) for a, b in (("from_stop", "to_stop"), ("to_stop", "from_stop"))]
     neighbours = net.stops.join(ends[0].unionAll(ends[1]).distinct(), "stop_id", "left_semi")
-    return replace(net, bus=bus, walk=stay.select(net.walk.columns).unionByName(stop_pairs(neighbours, 2 * walk_metres)))
+    return Network(bus, stay.select(net.walk.columns).unionByName(stop_pairs(neighbours, 2 * walk_metres)), net.stops)
 
 
 def _first_departures(bus: DataFrame, *by: str) -> DataFrame:
@@ -68,22 +126,24 @@ def _first_departures(bus: DataFrame, *by: str) -> DataFrame:
     return trips
 
 
-def _without(bus: DataFrame, trips: DataFrame) -> DataFrame:
-    return bus.join(trips.select("trip_id"), "trip_id", "left_anti").select(bus.columns)
+def _without(net: Network, trips: DataFrame) -> Network:
+    ids = trips.select("trip_id")
+    less = lambda bus: None if bus is None else bus.join(ids, "trip_id", "left_anti").select(bus.columns)
+    return replace(net, bus=less(net.bus), new_bus=less(net.new_bus), gone=_both(net.gone, ids))
 
 
 def halve_route(net: Network, route_id: str) -> Network:
     """Every other trip of a route goes, in order of appearance; the first stays."""
     trips = _first_departures(net.bus.where(F.col("route_id") == route_id), "route_id")
     n = F.row_number().over(Window.partitionBy("route_id").orderBy("appears"))
-    return replace(net, bus=_without(net.bus, trips.withColumn("n", n).where("n % 2 = 0")))
+    return _without(net, trips.withColumn("n", n).where("n % 2 = 0"))
 
 
 def keep_every(net: Network, route_id: str, every: int) -> Network:
     """One in so many (2 at least) trips of a route stays, in order of first departure."""
     trips = _first_departures(net.bus.where(F.col("route_id") == route_id), "route_id")
     n = F.row_number().over(Window.partitionBy("route_id").orderBy("first", "appears"))
-    return replace(net, bus=_without(net.bus, trips.withColumn("n", n).where(f"(n - 1) % {max(2, int(every))} <> 0")))
+    return _without(net, trips.withColumn("n", n).where(f"(n - 1) % {max(2, int(every))} <> 0"))
 
 
 def thin_all(net: Network, ratio: float) -> Network:
@@ -99,7 +159,7 @@ def thin_all(net: Network, ratio: float) -> Network:
     for step in (-1, 0, 1, 2):
         near = i + step
         goes = goes | ((near >= 0) & (near < less) & ((near * (F.col("n") / less)).cast("bigint") == F.col("k")))
-    return replace(net, bus=_without(net.bus, trips.where(goes)))
+    return _without(net, trips.where(goes))
 
 
 #: Parts in which all pairs of a zone's stops are made.
@@ -119,7 +179,8 @@ def demand_edges(stops: DataFrame, centre, metres: float = 2000, seconds: int =
 
 
 def demand_zone(net: Network, centre, metres: float = 2000, seconds: int = 900) -> Network:
-    return replace(net, walk=net.walk.unionByName(demand_edges(net.stops, centre, metres, seconds)))
+    zone = demand_edges(net.stops, centre, metres, seconds)
+    return replace(net, walk=net.walk.unionByName(zone), new_walk=_both(net.new_walk, zone))
 
 
 def _new_trip(like: DataFrame, run: Column, back: int) -> Column:
@@ -169,4 +230,7 @@ def line_edges(net: Network, line: Sequence, interval_min: int = 30, km_per_h: f
 def replace_routes(net: Network, route_ids: Sequence | str | None, line: Sequence, interval_min: int = 30, km_per_h: float = 25) -> Network:
     """Without the routes, with a new line; fewer than two stops add none."""
     left = remove_routes(net, route_ids)
-    return replace(left, bus=left.bus.unionByName(line_edges(net, line, interval_min, km_per_h))) if len(line) > 1 else left
+    if len(line) < 2:
+        return left
+    rides = line_edges(net, line, interval_min, km_per_h)
+    return replace(left, bus=left.bus.unionByName(rides), new_bus=_both(left.new_bus, rides))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import format_time, parse_time, percent_text, thousands, whole_minutes, with_access, without_access
-from ..operators import impact, network, reach, report, scenario
+from ..operators import impact, network, reach, repair, report, scenario
 from ..operators.scenario import Network
+from ..operators.timetable import Overlay
 from ..sources import read_facilities, read_gtfs, read_network, read_population, write_gtfs, write_network
 from ..sources.feed import Feed
 from ..sources.star import star_facilities, star_feed, star_population
@@ -22,6 +23,7 @@ ROUTE, ROUTES = "R1", ("R1", "R2", "R3", "R4", "R5", "R6")
 STOPS, WALK_M = (1, 2, 5, 7), 300.0
 THIN_ROUTE, KEEP_EVERY, RATIO = "R3", 3, 0.3
 ZONE_M, ZONE_SEC = 2000.0, 900
+ORIGINS, HOURS, MINUTES = (0, 3, 7), (6, 8, 12, 18, 21), (15, 30)
 LINE, LINE_MIN, LINE_KMH = (0, 3, 6, 9), 30, 25
 NAME = "Stop 0"
 POINT = (42.29, 140.94, 1500.0)
@@ -48,7 +50,7 @@ def case(spark: SparkSession, sf_dir: str) -> Case:
     """The network is built once for each session and folder, and written, as prebuilt edges are."""
     feed, key = star_feed(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        _built[key] = Network(materialize(network.build_bus_edges(feed)), materialize(network.build_walk_edges(feed)), feed.stops)
+        _built[key] = Network(materialize(network.build_bus_edges(feed)), materialize(network.build_walk_edges(feed)), feed.stops).with_layout()
     return Case(spark, sf_dir, feed, _built[key], one_query(spark))
 
 
@@ -57,13 +59,15 @@ def one_query(spark: SparkSession, budget: int = BUDGET) -> DataFrame:
 
 
 def arrivals(c: Case, net: Network | None = None) -> DataFrame:
-    net = net or c.net
-    return reach.earliest_arrivals(net.bus, net.walk, c.queries)
+    return scenario.arrivals(net or c.net, c.queries)
 
 
 def before_after(c: Case, after: Network) -> tuple[DataFrame, DataFrame]:
     """Arrivals in the base network and in a scenario, from one fixpoint over both."""
     mark = lambda df, k: df.withColumn("scenario", F.lit(k))
+    if after.kept is not None:
+        both = reach.search(c.net.kept, mark(c.queries, 0).unionAll(mark(c.queries, 1)), scenario.overlay({1: after}))
+        return tuple(both.where(F.col("scenario") == k).drop("scenario") for k in (0, 1))
     bus = mark(c.net.bus, 0).unionByName(mark(after.bus, 1))
     walk = mark(c.net.walk, 0).unionByName(mark(after.walk, 1))
     both = reach.earliest_arrivals(bus, walk, mark(c.queries, 0).unionAll(mark(c.queries, 1)))
@@ -175,7 +179,7 @@ def isochrone_bands(c):
 
 
 def _profile(c: Case) -> DataFrame:
-    return reach.earliest_arrivals(c.net.bus, c.net.walk, reach.hourly_queries(c.queries))
+    return scenario.arrivals(c.net, reach.hourly_queries(c.queries))
 
 
 @query
@@ -288,6 +292,47 @@ def route_replacement(c):
     return arrivals(c, scenario.replace_routes(c.net, ROUTES, LINE, LINE_MIN, LINE_KMH))
 
 
+def _routes(c: Case) -> DataFrame:
+    return c.net.bus.where("route_id IS NOT NULL").select("route_id", F.col("route_id").alias("scenario")).distinct()
+
+
+def _swept(c: Case) -> tuple[DataFrame, DataFrame]:
+    """Arrivals, and what each single route that goes changes in them."""
+    before = materialize(arrivals(c))
+    used = materialize(reach.trips_used(_preds(c, reached=before), c.queries))
+    return before, repair.repair(c.net.kept, c.queries, before, used, materialize(scenario.trips_of(c.net, _routes(c))))
+
+
+@query
+def route_sweep(c):
+    """Every route taken away alone: the stops that are then reached later or no more."""
+    found = _swept(c)[1].where("after_sec IS NULL OR after_sec > before_sec")
+    return found.select(F.col("scenario").alias("route_id"), "qid", "stop_id", "before_sec", "after_sec")
+
+
+@query
+def route_sweep_counts(c):
+    counts = repair.sweep_counts(*_swept(c), _routes(c))
+    return counts.withColumnRenamed("scenario", "route_id")
+
+
+@query
+def route_pairs(c):
+    """Routes taken away two at a time, in one search over the network that is stored once."""
+    pairs = [(a, b) for k, a in enumerate(ROUTES) for b in ROUTES[k + 1 :]]
+    routes = c.spark.createDataFrame([(r, f"{a}+{b}") for a, b in pairs for r in (a, b)], "route_id string, scenario string")
+    gone = materialize(scenario.trips_of(c.net, routes))
+    found = reach.search(c.net.kept, c.queries.join(routes.select("scenario").distinct(), how="cross"), Overlay(gone))
+    return found.select("scenario", "qid", "stop_id", "arrival_sec")
+
+
+@query
+def origins_hours(c):
+    """Several origins, hours and budgets in one search; qid is origin * 10000 + hour * 100 + minutes of the budget."""
+    asked = c.spark.createDataFrame([(s * 10000 + h * 100 + m, s, h * 3600, m * 60) for s in ORIGINS for h in HOURS for m in MINUTES], "qid bigint, start_stop bigint, t0 bigint, budget bigint")
+    return scenario.arrivals(c.net, asked)
+
+
 @query
 def compare_results(c):
     return changes(c)

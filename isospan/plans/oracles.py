@@ -6,7 +6,7 @@ import re
 
 from ..functions import BBOX, EARTH_RADIUS_M, HIGHWAY_WORDS, MARKERS, MODE_BUS, MODE_WALK, OTHER_MARKER, UNKNOWN_ROUTE
 from ..sources.star import TABLES
-from .catalog import BUDGET, KEEP_EVERY, LINE, LINE_KMH, LINE_MIN, NAME, ORIGIN, POINT, RATIO, ROUTE, ROUTES, SLOW_M_PER_MIN, STOPS, T0, THIN_ROUTE, TYPES, WALK_M, ZONE_M, ZONE_SEC
+from .catalog import BUDGET, HOURS, KEEP_EVERY, LINE, LINE_KMH, LINE_MIN, MINUTES, NAME, ORIGIN, ORIGINS, POINT, RATIO, ROUTE, ROUTES, SLOW_M_PER_MIN, STOPS, T0, THIN_ROUTE, TYPES, WALK_M, ZONE_M, ZONE_SEC
 
 _R = f"CAST({EARTH_RADIUS_M} AS DOUBLE)"
 
@@ -34,6 +34,8 @@ def _pairs(stops: str, metres: float) -> str:
     )
 
 
+#: Numbers of the routes that are taken away in pairs, in order.
+_PAIRED = [int(r[1:]) for r in ROUTES]
 _RIDES = "trip_id, route_id, seq, from_stop, to_stop, departure_sec, arrival_sec, arrival_sec - departure_sec AS travel_time, part"
 _KEEP = "SELECT trip_id, route_id, seq, from_stop, to_stop, departure_sec, arrival_sec, travel_time, part FROM bus"
 
@@ -49,6 +51,11 @@ CTES = {name: re.sub(r"[{}]", "", text) for name, text in TABLES.items()} | {
     "HAVING NOT (" + " OR ".join(f"contains(route_name, '{w}')" for w in HIGHWAY_WORDS) + ")",
     "asked": f"SELECT CAST(0 AS BIGINT) AS qid, CAST({ORIGIN} AS BIGINT) AS start_stop, CAST({T0} AS BIGINT) AS t0, CAST({BUDGET} AS BIGINT) AS budget",
     "hours": f"SELECT CAST(h AS BIGINT) AS qid, CAST({ORIGIN} AS BIGINT) AS start_stop, CAST(h * 3600 AS BIGINT) AS t0, CAST({BUDGET} AS BIGINT) AS budget FROM range(5, 23) x(h)",
+    "asked_many": "SELECT CAST(s * 10000 + h * 100 + m AS BIGINT) AS qid, CAST(s AS BIGINT) AS start_stop, CAST(h * 3600 AS BIGINT) AS t0, CAST(m * 60 AS BIGINT) AS budget FROM "
+    + ", ".join(f"(SELECT unnest({list(v)}) AS {k}) {k}" for k, v in (("s", ORIGINS), ("h", HOURS), ("m", MINUTES))),
+    "asked_single": f"SELECT DISTINCT CAST(substr(route_id, 2) AS BIGINT) AS qid, CAST({ORIGIN} AS BIGINT) AS start_stop, CAST({T0} AS BIGINT) AS t0, CAST({BUDGET} AS BIGINT) AS budget FROM bus WHERE route_id IS NOT NULL",
+    "asked_pairs": f"SELECT CAST(a * 100 + b AS BIGINT) AS qid, CAST({ORIGIN} AS BIGINT) AS start_stop, CAST({T0} AS BIGINT) AS t0, CAST({BUDGET} AS BIGINT) AS budget FROM "
+    f"(SELECT unnest({_PAIRED}) AS a) x, (SELECT unnest({_PAIRED}) AS b) y WHERE a < b",
     "bus_one": f"{_KEEP} WHERE route_id IS DISTINCT FROM '{ROUTE}'",
     "bus_many": f"{_KEEP} WHERE route_id IS NULL OR route_id NOT IN {_set(ROUTES)}",
     "hops": "SELECT *, row_number() OVER w AS k, lag(to_stop) OVER w AS before FROM bus WINDOW w AS (PARTITION BY trip_id ORDER BY departure_sec, seq)",
@@ -87,12 +94,12 @@ CTES = {name: re.sub(r"[{}]", "", text) for name, text in TABLES.items()} | {
 }
 
 
-def _reach(name: str, bus: str, walk: str, asked: str = "asked") -> tuple[str, str]:
-    """The earliest arrivals as a recursion with one row for each query and stop."""
+def _reach(name: str, bus: str, walk: str, asked: str = "asked", unless: str = "false") -> tuple[str, str]:
+    """The earliest arrivals as a recursion with one row for each query and stop. unless: rides that a query leaves out."""
     return (
         f"{name}(qid, stop_id, arrival_sec, deadline) USING KEY (qid, stop_id)",
         f"SELECT qid, start_stop, t0, t0 + budget FROM {asked} UNION SELECT n.qid, n.s, min(n.a), min(n.deadline) FROM ("
-        f"SELECT r.qid, e.to_stop AS s, e.arrival_sec AS a, r.deadline FROM {name} r JOIN {bus} e ON e.from_stop = r.stop_id AND e.departure_sec >= r.arrival_sec AND e.arrival_sec <= r.deadline "
+        f"SELECT r.qid, e.to_stop AS s, e.arrival_sec AS a, r.deadline FROM {name} r JOIN {bus} e ON e.from_stop = r.stop_id AND e.departure_sec >= r.arrival_sec AND e.arrival_sec <= r.deadline AND NOT ({unless}) "
         f"UNION ALL SELECT r.qid, w.to_stop, r.arrival_sec + w.walk_time, r.deadline FROM {name} r JOIN {walk} w ON w.from_stop = r.stop_id AND r.arrival_sec + w.walk_time <= r.deadline) n "
         f"LEFT JOIN recurring.{name} cur ON cur.qid = n.qid AND cur.stop_id = n.s WHERE cur.arrival_sec IS NULL OR n.a < cur.arrival_sec GROUP BY n.qid, n.s",
     )
@@ -121,6 +128,9 @@ _SPLIT = {
     "one": _reach("one", "bus_one", "walk"),
     "new": _reach("new", "bus_many", "walk"),
     "profile": _reach("profile", "bus", "walk", "hours"),
+    "many": _reach("many", "bus", "walk", "asked_many"),
+    "single": _reach("single", "bus", "walk", "asked_single", "coalesce(e.route_id = 'R' || r.qid, false)"),
+    "paired": _reach("paired", "bus", "walk", "asked_pairs", "coalesce(e.route_id IN ('R' || r.qid // 100, 'R' || r.qid % 100), false)"),
     "stopless": _reach("stopless", "bus_stops", "walk_stops"),
     "half": _reach("half", "bus_half", "walk"),
     "every": _reach("every", "bus_every", "walk"),
@@ -135,6 +145,7 @@ _LATER = {
     "stopped": "SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.stop_id, b.stop_id) AS stop_id, a.arrival_sec AS before_sec, b.arrival_sec AS after_sec, b.arrival_sec - a.arrival_sec AS delta_sec, "
     f"CASE WHEN coalesce(a.stop_id, b.stop_id) IN {_set(STOPS)} THEN 'removed' WHEN b.arrival_sec IS NULL THEN 'lost' WHEN a.arrival_sec IS NULL THEN 'new' WHEN b.arrival_sec - a.arrival_sec >= 60 THEN 'degraded' ELSE 'unaffected' END AS status "
     "FROM old a FULL JOIN stopless b ON a.qid = b.qid AND a.stop_id = b.stop_id",
+    "sweep": "SELECT 'R' || k.qid AS route_id, o.qid, o.stop_id, o.arrival_sec AS before_sec, s.arrival_sec AS after_sec FROM old o CROSS JOIN asked_single k LEFT JOIN single s ON s.qid = k.qid AND s.stop_id = o.stop_id",
     "tight": _tight("old", "bus"),
     "tight_new": _tight("new", "bus_many"),
     **_chase("tight", "old", "p"),
@@ -194,6 +205,10 @@ def _affected(lost: str) -> str:
 ORACLE = {
     name: _with(text)
     for name, text in {
+        "route_sweep": "SELECT * FROM sweep WHERE after_sec IS NULL OR after_sec > before_sec",
+        "route_sweep_counts": "SELECT route_id, qid, count(after_sec) AS reached, count(*) - count(after_sec) AS lost, count(*) FILTER (after_sec - before_sec >= 60) AS degraded FROM sweep GROUP BY ALL",
+        "route_pairs": "SELECT 'R' || qid // 100 || '+R' || qid % 100 AS scenario, CAST(0 AS BIGINT) AS qid, stop_id, arrival_sec FROM paired",
+        "origins_hours": _ARRIVED.format("many"),
         "parse_times": f"SELECT trip_id, stop_sequence, {_CLOCK.format('arrival_sec')} || ':' || lpad(CAST(arrival_sec % 60 AS VARCHAR), 2, '0') AS time_text, arrival_sec AS seconds FROM stop_times",
         "format_times": f"SELECT trip_id, stop_sequence, {_CLOCK.format('arrival_sec')} AS hhmm FROM stop_times",
         "mesh_latlon": "SELECT mesh_ord, round(lat, 7) AS lat, round(lon, 7) AS lon FROM meshes",

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import operator
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str, str | None]] = []
+#: Session, folder and table name: what there is of these.
+_written: list[tuple[SparkSession, str | None, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,10 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def _remove(spark: SparkSession, path: str, name: str | None) -> None:
+def _remove(spark: SparkSession, path: str | None, name: str | None) -> None:
     try:
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if path is None:
+            return
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
     except Exception:  # the session may have ended by then; the folder is scratch space
@@ -61,10 +67,39 @@ def materialize(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, buckets: int, keys: Sequence[str], *by: str) -> DataFrame:
+def measured(df: DataFrame, *ids: str) -> tuple[DataFrame, int, int]:
+    """As materialize(), with the number of rows and about their bytes, which are counted as they are written. ids: the
+    columns whose values may be long."""
+    seen = Observation()
+    size = F.sum(reduce(operator.add, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ids], F.lit(16 * len(df.columns))))
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")))
+    return out, seen.get["n"], seen.get["bytes"]
+
+
+def bucketed(df: DataFrame, buckets: int, keys: Sequence[str], *by: str, path: str | None = None) -> DataFrame:
     """As materialize(), in so many buckets by the keys, sorted: joins and groups on the keys need no shuffle of it. df
-    is best dealt by the keys to as many partitions already, or each of its tasks writes to all buckets."""
+    is best dealt by the keys to as many partitions already, or each of its tasks writes to all buckets. Scratch, or kept
+    at a path from where read_bucketed() reads it."""
     spark, name = df.sparkSession, f"isospan_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", _new_path(spark, name))
+    where = path or _new_path(spark, name)
+    writer = df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", where)
     (writer.partitionBy(*by) if by else writer).saveAsTable(name)
+    if path:
+        _written.append((spark, None, name))
+        spark.createDataFrame([(buckets, list(by))], "buckets int, parted array<string>").coalesce(1).write.mode("overwrite").json(f"{path}.layout")
+    return spark.table(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """A table that bucketed() wrote to a path, by the same keys, with its buckets and partitions."""
+    layout, name = spark.read.schema("buckets int, parted array<string>").json(f"{path}.layout").first(), f"isospan_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    parted, by = (", ".join(f"`{c}`" for c in x) for x in (layout.parted, keys))
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet " + (f"PARTITIONED BY ({parted}) " if parted else "")
+        + f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {layout.buckets} BUCKETS LOCATION '{path}'"
+    )
+    if parted:
+        spark.catalog.recoverPartitions(name)
+    _written.append((spark, None, name))
     return spark.table(name)
