@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import FACILITY_M, POPULATION_M, WALK_M_PER_MIN, access_change, last_walk_seconds, tenth_minutes
-from .spatial import around_point, near_any, nearest
+from .spatial import around_point, nearest, nearest_of_all, pairs_within
 
 
 def compare(before: DataFrame, after: DataFrame, threshold_min: float = 1, removed: Sequence = ()) -> DataFrame:
@@ -39,29 +39,31 @@ def population_around(meshes: DataFrame, lat: float, lon: float, metres: float)
     return _people(around_point(meshes, lat, lon, metres))
 
 
-def _places(stops: DataFrame, ids: DataFrame) -> DataFrame:
-    """Positions of stops by their ids; other columns of ids stay, unknown stops go."""
+def catchments(meshes: DataFrame, stops: DataFrame, metres: float = POPULATION_M) -> DataFrame:
+    """stop_id, mesh_ord of the meshes near each stop. It depends on no query, so write it once for any number of them."""
     at = stops.select("stop_id", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
-    return ids.join(at, "stop_id").drop("stop_id")
+    return pairs_within(at, meshes.select("mesh_ord", "lat", "lon"), metres).select("stop_id", "mesh_ord")
 
 
-def population_near(meshes: DataFrame, stops: DataFrame, ids: DataFrame, metres: float = POPULATION_M) -> DataFrame:
-    """qid, total, elderly, mesh_count of the meshes near any of the stops; each mesh counts once. ids: qid, stop_id.
-    A qid without a mesh has no row."""
-    near = near_any(meshes, _places(stops, ids.select("qid", "stop_id")), metres, "mesh_ord")
-    return _people(near.join(meshes, "mesh_ord"), "qid")
+def population_near(meshes: DataFrame, catchment: DataFrame, ids: DataFrame) -> DataFrame:
+    """qid, total, elderly, mesh_count of the meshes near any of the stops; each mesh counts once. ids: qid, stop_id;
+    catchment: as catchments() gives it. A qid without a mesh has no row."""
+    return _people(_near(catchment, ids).join(meshes, "mesh_ord"), "qid")
 
 
-def affected_population(meshes: DataFrame, stops: DataFrame, lost: DataFrame, reachable: DataFrame, metres: float = POPULATION_M) -> DataFrame:
+def _near(catchment: DataFrame, ids: DataFrame) -> DataFrame:
+    return ids.select("qid", "stop_id").join(catchment, "stop_id").select("qid", "mesh_ord").distinct()
+
+
+def affected_population(meshes: DataFrame, catchment: DataFrame, lost: DataFrame, reachable: DataFrame) -> DataFrame:
     """One row for each qid of reachable: people in meshes near lost stops and near none of the other reachable ones
     (affected_total, affected_elderly, uncovered_meshes), lost_meshes (near lost ones) and covered_by_others.
 
     Stops removed by a scenario are reachable and not lost: pass them so, and they go on covering their meshes.
     """
-    near = lambda ids: near_any(meshes, _places(stops, ids.select("qid", "stop_id")), metres, "mesh_ord")
     rest = reachable.select("qid", "stop_id").join(lost.select("qid", "stop_id"), ["qid", "stop_id"], "left_anti")
-    covered = near(rest).withColumn("covered", F.lit(True))
-    met = near(lost).join(covered, ["qid", "mesh_ord"], "left").join(meshes.select("mesh_ord", "pop_t", "pop_65over"), "mesh_ord")
+    covered = _near(catchment, rest).withColumn("covered", F.lit(True))
+    met = _near(catchment, lost).join(covered, ["qid", "mesh_ord"], "left").join(meshes.select("mesh_ord", "pop_t", "pop_65over"), "mesh_ord")
     open_ = F.col("covered").isNull()
     whole = lambda c: F.bround(F.coalesce(F.sum(F.when(open_, F.col(c))), F.lit(0.0)), 0).cast("bigint")
     sums = met.groupBy("qid").agg(
@@ -85,11 +87,31 @@ def facility_stops(facilities: DataFrame, stops: DataFrame, max_metres: float =
     )
 
 
+def nearest_stops(facilities: DataFrame, stops: DataFrame) -> DataFrame:
+    """fac_ord, nearest_stop, distance_m of every facility with a position, however far its nearest stop is."""
+    points = facilities.select("fac_ord", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    centres = stops.select(F.col("stop_id").alias("nearest_stop"), "stop_ord", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    best = nearest_of_all(points, centres, "fac_ord", "stop_ord")
+    return best.select("fac_ord", "nearest_stop", F.bround("dist").cast("bigint").alias("distance_m"))
+
+
 def facility_access(arrivals: DataFrame, queries: DataFrame, placed: DataFrame, stops: DataFrame) -> DataFrame:
     """For each query and facility of facility_stops(): its stop's name, walk_min, total_min (null unless accessible)
     and accessible: its nearest stop is reached. The walk from there may end after the deadline."""
     every = placed.crossJoin(queries.select("qid", "t0"))
-    met = every.join(arrivals.select("qid", F.col("stop_id").alias("nearest_stop"), "arrival_sec"), ["qid", "nearest_stop"], "left")
+    return _access(every.join(_reached(arrivals), ["qid", "nearest_stop"], "left"), stops)
+
+
+def reached_facilities(arrivals: DataFrame, queries: DataFrame, placed: DataFrame, stops: DataFrame) -> DataFrame:
+    """The accessible rows of facility_access(), found from the stops reached, without the others."""
+    return _access(_reached(arrivals).join(placed, "nearest_stop").join(queries.select("qid", "t0"), "qid"), stops)
+
+
+def _reached(arrivals: DataFrame) -> DataFrame:
+    return arrivals.select("qid", F.col("stop_id").alias("nearest_stop"), "arrival_sec")
+
+
+def _access(met: DataFrame, stops: DataFrame) -> DataFrame:
     named = met.join(stops.select(F.col("stop_id").alias("nearest_stop"), "stop_name"), "nearest_stop", "left")
     return named.select(
         "qid",
@@ -113,7 +135,8 @@ def of_types(facilities: DataFrame, types: Sequence[str] | None) -> DataFrame:
 
 
 def accessible_facilities(access: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
-    """The accessible rows of facility_access(), those reached first at the top; equal ones by query and facility."""
+    """The accessible rows of facility_access() or reached_facilities(), those reached first at the top; equal ones by
+    query and facility."""
     return of_types(access, types).where("accessible").orderBy("total_min", "qid", "fac_ord")
 
 
@@ -126,8 +149,10 @@ def facility_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def change_by_type(changes: DataFrame) -> DataFrame:
-    """qid, type, facilities, before, after, diff."""
-    was, now = F.col("status").isin("unchanged", "lost"), F.col("status").isin("unchanged", "gained")
-    out = changes.groupBy("qid", "type").agg(F.count("*").alias("facilities"), F.count_if(was).alias("before"), F.count_if(now).alias("after"))
-    return out.withColumn("diff", F.col("after") - F.col("before"))
+def change_by_type(before: DataFrame, after: DataFrame, queries: DataFrame, placed: DataFrame) -> DataFrame:
+    """qid, type, facilities, before, after, diff, from the stops reached before and after: only counts by type are put
+    together with queries."""
+    count = lambda a, name: _reached(a).join(placed, "nearest_stop").groupBy("qid", "type").agg(F.count("*").alias(name))
+    types = placed.groupBy("type").agg(F.count("*").alias("facilities")).crossJoin(queries.select("qid"))
+    out = types.join(count(before, "before"), ["qid", "type"], "left").join(count(after, "after"), ["qid", "type"], "left").fillna(0)
+    return out.select("qid", "type", "facilities", "before", "after", (F.col("after") - F.col("before")).alias("diff"))

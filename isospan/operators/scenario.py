@@ -31,6 +31,8 @@ class Network:
     new_bus: DataFrame | None = None
     new_walk: DataFrame | None = None
     gone_walk: DataFrame | None = None
+    #: stop_id of vertices that aren't stops, by way of which some new walks lead.
+    hubs: DataFrame | None = None
 
     def with_layout(self, folder: str | None = None) -> Network:
         """Laid out for searches, in a folder or as scratch; a network without a layout is laid out for each search."""
@@ -57,13 +59,14 @@ def overlay(changed: Mapping[Any, Network], kind: str = "int") -> Overlay:
     return Overlay(gone, extra, gone_walk)
 
 
-def arrivals(net: Network, queries: DataFrame) -> DataFrame:
-    """Earliest arrivals in a network, over the layout that it or the one that it was made of has."""
+def arrivals(net: Network, queries: DataFrame, hubs: bool = False) -> DataFrame:
+    """Earliest arrivals in a network, over the layout that it or the one that it was made of has; at hubs too if asked."""
     if net.kept is None:
         return earliest_arrivals(net.bus, net.walk, queries)
     if net.gone is net.new_bus is net.new_walk is net.gone_walk is None:
         return search(net.kept, queries)
-    return search(net.kept, queries.withColumn("scenario", F.lit(1)), overlay({1: net})).drop("scenario")
+    found = search(net.kept, queries.withColumn("scenario", F.lit(1)), overlay({1: net})).drop("scenario")
+    return found if hubs or net.hubs is None else found.join(net.hubs, "stop_id", "left_anti").select(found.columns)
 
 
 def _values(like: DataFrame, column: str, values: Sequence) -> DataFrame:
@@ -169,8 +172,7 @@ ZONE_PARTS = 64
 def demand_edges(stops: DataFrame, centre, metres: float = 2000, seconds: int = 900) -> DataFrame:
     """Edges of a demand-responsive zone: between any two stops within reach of the centre, in the same time. None if
     the centre is unknown or has no position."""
-    middle = stops.where(F.col("stop_id") == F.lit(centre)).select(F.col("stop_lat").alias("lat0"), F.col("stop_lon").alias("lon0"))
-    inside = stops.crossJoin(F.broadcast(middle)).where(haversine(F.col("lat0"), F.col("lon0"), F.col("stop_lat"), F.col("stop_lon")) <= float(metres))
+    inside = _inside(stops, centre, metres)
     # Each stop is in one part as a start and in all as an end, so no task has all pairs.
     starts = inside.select(F.col("stop_id").alias("from_stop"), F.pmod(F.xxhash64("stop_id"), F.lit(ZONE_PARTS)).cast("int").alias("part"))
     ends = inside.select(F.col("stop_id").alias("to_stop"), F.explode(F.sequence(F.lit(0), F.lit(ZONE_PARTS - 1))).alias("part"))
@@ -179,8 +181,37 @@ def demand_edges(stops: DataFrame, centre, metres: float = 2000, seconds: int =
 
 
 def demand_zone(net: Network, centre, metres: float = 2000, seconds: int = 900) -> Network:
-    zone = demand_edges(net.stops, centre, metres, seconds)
-    return replace(net, walk=net.walk.unionByName(zone), new_walk=_both(net.new_walk, zone))
+    """With a zone. Its edges between all stops are only made if the walks are asked for as such; a network that is laid
+    out is searched by way of the zone's hub, with two edges for each stop. A second zone has a hub of its own."""
+    walk = net.walk.unionByName(demand_edges(net.stops, centre, metres, seconds))
+    below = net.stops if net.hubs is None else net.stops.select("stop_id").unionAll(net.hubs)
+    edges, hub = hub_edges(net.stops, centre, metres, seconds, below)
+    return replace(net, walk=walk, new_walk=_both(net.new_walk, edges), hubs=_both(net.hubs, hub))
+
+
+def hub_edges(stops: DataFrame, centre, metres: float = 2000, seconds: int = 900, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The zone of demand_edges() with a hub: from each of its stops to the hub in no time, from there to each in the
+    zone's. Also the hub's stop_id, which no stop (of `taken`) has."""
+    known = (stops if taken is None else taken).agg(F.min("stop_id").alias("low"), F.max("stop_id").alias("high"))
+    text = stops.schema["stop_id"].dataType.simpleString() == "string"
+    hub = known.select((F.concat(F.coalesce("high", F.lit("")), F.lit(" zone")) if text else F.coalesce("low", F.lit(0)) - 1).cast(stops.schema["stop_id"].dataType).alias("hub"))
+    inside = _inside(stops, centre, metres).select("stop_id").crossJoin(F.broadcast(hub))
+    edge = lambda a, b, s: inside.select(F.col(a).alias("from_stop"), F.col(b).alias("to_stop"), F.lit(s).cast("bigint").alias("walk_time"), F.lit(0.0).alias("distance"), F.lit("demand").alias("edge_type"))
+    return edge("stop_id", "hub", 0).unionAll(edge("hub", "stop_id", seconds)), hub.select(F.col("hub").alias("stop_id"))
+
+
+def without_hubs(preds: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Predecessors found by way of hubs as those of stops: what leads from a hub begins where what led there did."""
+    ids = F.broadcast(hubs.select(F.col("stop_id").alias("hub")))
+    key = ["qid", *(["scenario"] if "scenario" in preds.columns else [])]
+    to_hub = preds.join(ids, preds["stop_id"] == F.col("hub"), "left_semi").select(*key, F.col("stop_id").alias("pred_stop"), F.col("pred_stop").alias("origin"))
+    stops = preds.join(ids, preds["stop_id"] == F.col("hub"), "left_anti").join(to_hub, [*key, "pred_stop"], "left")
+    return stops.withColumn("pred_stop", F.coalesce("origin", "pred_stop")).select(preds.columns)
+
+
+def _inside(stops: DataFrame, centre, metres: float) -> DataFrame:
+    middle = stops.where(F.col("stop_id") == F.lit(centre)).select(F.col("stop_lat").alias("lat0"), F.col("stop_lon").alias("lon0"))
+    return stops.crossJoin(F.broadcast(middle)).where(haversine(F.col("lat0"), F.col("lon0"), F.col("stop_lat"), F.col("stop_lon")) <= float(metres))
 
 
 def _new_trip(like: DataFrame, run: Column, back: int) -> Column:

@@ -8,12 +8,16 @@ of a cell in degrees depends on its row, by the latitude farthest from the equat
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import EARTH_RADIUS_M, haversine
+from ..tables import materialize
 
+#: No two places are farther apart, in metres.
+HALF_WAY = math.pi * EARTH_RADIUS_M
 _METRES = math.radians(1) * EARTH_RADIUS_M
 
 
@@ -55,6 +59,19 @@ def nearest(points: DataFrame, centres: DataFrame, metres: float, key: str, orde
     return best.select(key, "b.*")
 
 
+def nearest_of_all(points: DataFrame, centres: DataFrame, key: str, order: str, metres: float = 500.0, growth: float = 4.0) -> DataFrame:
+    """As nearest(), with no limit on the distance: in rings that grow from the distance given, each for the points that
+    had no centre in the one before; what is found in a ring is nearer than all beyond it. Points and centres without a
+    position, and points if there is no centre, have no row; a key stands for one position."""
+    left, found = materialize(points.where("lat IS NOT NULL AND lon IS NOT NULL").select(key, "lat", "lon")), []
+    while True:
+        found.append(materialize(nearest(left, centres, metres, key, order)))
+        left = materialize(left.join(found[-1].select(key), key, "left_anti"))
+        if metres > HALF_WAY or left.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        metres *= growth
+
+
 def around_point(points: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
     """The points (lat, lon) within reach of one position."""
     dist = haversine(F.lit(float(lat)), F.lit(float(lon)), F.col("lat"), F.col("lon"))

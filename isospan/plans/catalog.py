@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import format_time, parse_time, percent_text, thousands, whole_
 from ..operators import impact, network, reach, repair, report, scenario
 from ..operators.scenario import Network
 from ..operators.timetable import Overlay
-from ..sources import read_facilities, read_gtfs, read_network, read_population, write_gtfs, write_network
+from ..sources import MissingColumns, read_facilities, read_gtfs, read_network, read_population, read_timetable, unzip, write_gtfs, write_network, zip_folders
 from ..sources.feed import Feed
 from ..sources.star import star_facilities, star_feed, star_population
 from ..tables import materialize, scratch
@@ -277,6 +278,16 @@ def demand_edges(c):
     return scenario.demand_edges(c.feed.stops, ORIGIN, ZONE_M, ZONE_SEC)
 
 
+@query
+def demand_predecessors(c):
+    """The last ride or walk to each stop with a zone, found by way of its hub."""
+    zoned = scenario.demand_zone(c.net, ORIGIN, ZONE_M, ZONE_SEC)
+    reached = materialize(scenario.arrivals(zoned, c.queries, hubs=True))
+    preds = reach.predecessors(zoned.bus, c.net.walk.unionByName(zoned.new_walk), reached, c.queries)
+    found = scenario.without_hubs(preds, zoned.hubs)
+    return found.select("qid", "stop_id", "pred_stop", "mode", "trip_id", "edge_type", "arrival_sec")
+
+
 @query
 def demand_transit(c):
     return arrivals(c, scenario.demand_zone(c.net, ORIGIN, ZONE_M, ZONE_SEC))
@@ -363,16 +374,33 @@ def area_summary(c):
     return report.area_summary(star_population(c.spark, c.sf_dir))
 
 
+_near: dict[tuple[str, str], DataFrame] = {}
+
+
+def _catchments(c: Case) -> DataFrame:
+    """Made once for each session and folder, as the network is."""
+    key = (c.spark.sparkContext.applicationId, c.sf_dir)
+    if key not in _near:
+        _near[key] = materialize(impact.catchments(star_population(c.spark, c.sf_dir), c.feed.stops))
+    return _near[key]
+
+
 @query
 def population_near_stops(c):
-    return impact.population_near(star_population(c.spark, c.sf_dir), c.feed.stops, arrivals(c))
+    return impact.population_near(star_population(c.spark, c.sf_dir), _catchments(c), arrivals(c))
+
+
+@query
+def population_by_hour(c):
+    """People near what each hour reaches, from one search and one set of catchments."""
+    return impact.population_near(star_population(c.spark, c.sf_dir), _catchments(c), _profile(c)).withColumnRenamed("qid", "hour")
 
 
 @query
 def impact_population(c):
     before, after = before_after(c, without_routes(c))
     lost = impact.compare(before, after).where("status = 'lost'")
-    return impact.affected_population(star_population(c.spark, c.sf_dir), c.feed.stops, lost, before)
+    return impact.affected_population(star_population(c.spark, c.sf_dir), _catchments(c), lost, before)
 
 
 @query
@@ -389,6 +417,12 @@ def facility_nearest_stop(c):
     return _placed(c).select("fac_ord", "nearest_stop", "distance_m", "walk_sec")
 
 
+@query
+def facility_nearest_any(c):
+    """However far: no facility is left out."""
+    return impact.nearest_stops(star_facilities(c.spark, c.sf_dir), c.feed.stops)
+
+
 @query
 def facility_access(c):
     found = impact.facility_access(arrivals(c), c.queries, _placed(c), c.feed.stops)
@@ -407,7 +441,7 @@ def facility_change(c):
 
 @query
 def facility_delta_by_type(c):
-    return impact.change_by_type(_facility_changes(c))
+    return impact.change_by_type(*before_after(c, without_routes(c)), c.queries, _placed(c))
 
 
 @query
@@ -482,12 +516,12 @@ def stop_removal_layer(c):
 @query
 def stop_removal_population(c):
     before, changed = _stop_changes(c)
-    return impact.affected_population(star_population(c.spark, c.sf_dir), c.feed.stops, changed.where("status = 'lost'"), before)
+    return impact.affected_population(star_population(c.spark, c.sf_dir), _catchments(c), changed.where("status = 'lost'"), before)
 
 
 @query
 def accessible_facilities(c):
-    found = impact.facility_access(arrivals(c), c.queries, _placed(c), c.feed.stops)
+    found = impact.reached_facilities(arrivals(c), c.queries, _placed(c), c.feed.stops)
     return impact.accessible_facilities(found, TYPES).select("qid", "fac_ord", "name", "type", "total_min")
 
 
@@ -544,6 +578,65 @@ def network_files(c):
     return read_network(c.spark, folder)[1]
 
 
+@query
+def network_bus_files(c):
+    """The rides of a network written and read again."""
+    folder = scratch(c.spark)
+    write_network(c.net.bus, c.net.walk, folder)
+    return _plain(read_network(c.spark, folder)[0])
+
+
+@query
+def kept_layout(c):
+    """Arrivals over a layout that was written with a network and opened again."""
+    folder = scratch(c.spark)
+    write_network(c.net.bus, c.net.walk, folder)
+    return reach.search(read_timetable(c.spark, folder), reach.hourly_queries(c.queries)).withColumnRenamed("qid", "hour")
+
+
+@query
+def gtfs_archives(c):
+    """Feeds in archives, unpacked by tasks: their bus edges, by feed."""
+    folder, plain = scratch(c.spark), scratch(c.spark)
+    write_gtfs(c.feed, plain)
+    zip_folders(c.spark, {"first": plain, "second": plain}, folder)
+    feeds = unzip(c.spark, f"{folder}/*.zip")
+    edges = [network.build_bus_edges(read_gtfs(c.spark, at)).withColumn("feed", F.lit(name)) for name, at in sorted(feeds.items())]
+    number = {k: F.col(k).cast("bigint") for k in ("from_stop", "to_stop", "trip_id")}
+    return edges[0].unionByName(edges[1]).withColumns(number).select("feed", "from_stop", "to_stop", "departure_sec", "arrival_sec", "trip_id", "route_id")
+
+
+@query
+def checked_files(c):
+    """What facility and population files lack, and their rows if nothing is missing."""
+    folder, found = scratch(c.spark), []
+    people = star_population(c.spark, c.sf_dir).select(F.col("meshcode").alias("Meshcode"), F.col("pop_t").alias("PopT"), F.col("pop_65over").alias("Pop65over"))
+    tables = {"facilities": (star_facilities(c.spark, c.sf_dir), read_facilities, ("type", "latitude")), "population": (people, read_population, ("PopT",))}
+    for name, (table, read, drop) in tables.items():
+        for kind, df in (("whole", table), ("less", table.drop(*drop))):
+            df.write.csv(f"{folder}/{name}_{kind}", header=True)
+            try:
+                found.append(read(c.spark, f"{folder}/{name}_{kind}").agg(F.lit(f"{name} {kind}").alias("file"), F.lit("").alias("missing"), F.count("*").alias("n")))
+            except MissingColumns as e:
+                found.append(c.spark.range(1).select(F.lit(f"{name} {kind}").alias("file"), F.lit(",".join(e.missing)).alias("missing"), F.lit(None).cast("bigint").alias("n")))
+    return reduce(DataFrame.unionAll, found)
+
+
+@query
+def optional_tables(c):
+    """Rows of each table of a feed that was written without shapes, and of one with them; null where there is none."""
+    found = []
+    for name, feed in (("with", c.feed), ("without", replace(c.feed, shapes=None))):
+        folder = scratch(c.spark)
+        write_gtfs(feed, folder)
+        back = read_gtfs(c.spark, folder)
+        for table in ("stops", "stop_times", "shapes", "calendar_dates"):
+            df = getattr(back, table)
+            n = c.spark.range(1).select(F.lit(None).cast("bigint").alias("n")) if df is None else df.agg(F.count("*").alias("n"))
+            found.append(n.select(F.lit(name).alias("feed"), F.lit(table).alias("name"), "n"))
+    return reduce(DataFrame.unionAll, found)
+
+
 @query
 def population_csv(c):
     folder = scratch(c.spark)

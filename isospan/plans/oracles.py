@@ -209,6 +209,17 @@ ORACLE = {
         "route_sweep_counts": "SELECT route_id, qid, count(after_sec) AS reached, count(*) - count(after_sec) AS lost, count(*) FILTER (after_sec - before_sec >= 60) AS degraded FROM sweep GROUP BY ALL",
         "route_pairs": "SELECT 'R' || qid // 100 || '+R' || qid % 100 AS scenario, CAST(0 AS BIGINT) AS qid, stop_id, arrival_sec FROM paired",
         "origins_hours": _ARRIVED.format("many"),
+        "population_by_hour": f"SELECT x.qid AS hour, {_SUMS}, count(*) AS mesh_count FROM (SELECT DISTINCT p.qid, m.mesh_ord FROM profile p JOIN stops s ON s.stop_id = p.stop_id, meshes m WHERE {_hav("m.lat", "m.lon", "s.stop_lat", "s.stop_lon")} <= 300) x JOIN meshes m ON m.mesh_ord = x.mesh_ord GROUP BY 1",
+        "facility_nearest_any": "SELECT fac_ord, stop_id AS nearest_stop, CAST(round_even(d, 0) AS BIGINT) AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY fac_ord ORDER BY d, stop_ord) AS n FROM "
+        f"(SELECT f.fac_ord, s.stop_id, s.stop_ord, {_hav('latitude', 'longitude', 'stop_lat', 'stop_lon')} AS d FROM facilities f, stops s)) WHERE n = 1",
+        "demand_predecessors": "SELECT qid, stop_id, pred_stop, mode, trip_id, edge_type, arrival_sec FROM (" + _tight("zoned", "bus").replace("JOIN walk w", "JOIN walk_demand w") + ")",
+        "network_bus_files": _PLAIN.format("bus"),
+        "kept_layout": "SELECT qid AS hour, stop_id, arrival_sec FROM profile",
+        "gtfs_archives": "SELECT feed, from_stop, to_stop, departure_sec, arrival_sec, trip_id, route_id FROM bus, (VALUES ('first'), ('second')) f(feed)",
+        "checked_files": "SELECT 'facilities whole' AS file, '' AS missing, count(*) AS n FROM facilities UNION ALL SELECT 'facilities less', 'latitude,type', NULL "
+        "UNION ALL SELECT 'population whole', '', count(*) FROM population UNION ALL SELECT 'population less', 'PopT', NULL",
+        "optional_tables": "SELECT feed, name, CASE WHEN feed = 'with' OR name <> 'shapes' THEN n END AS n FROM (VALUES ('with'), ('without')) f(feed), "
+        "(SELECT 'stops' AS name, count(*) AS n FROM stops UNION ALL SELECT 'stop_times', count(*) FROM stop_times UNION ALL SELECT 'shapes', count(*) FROM shapes UNION ALL SELECT 'calendar_dates', NULL)",
         "parse_times": f"SELECT trip_id, stop_sequence, {_CLOCK.format('arrival_sec')} || ':' || lpad(CAST(arrival_sec % 60 AS VARCHAR), 2, '0') AS time_text, arrival_sec AS seconds FROM stop_times",
         "format_times": f"SELECT trip_id, stop_sequence, {_CLOCK.format('arrival_sec')} AS hhmm FROM stop_times",
         "mesh_latlon": "SELECT mesh_ord, round(lat, 7) AS lat, round(lon, 7) AS lon FROM meshes",

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import posixpath
-import shutil
-import tempfile
-import uuid
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_time
-from ..tables import shared_dir
+from ..tables import scratch
 from .files import require
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -60,7 +60,8 @@ def _last(df: DataFrame, key: str) -> DataFrame:
 def read_gtfs(spark: SparkSession, folder: str) -> Feed:
     """The feed in a folder of GTFS text files; a byte-order mark is skipped. Of routes and trips with the same id the
     last counts. Rows of stop_times whose times can't be read have null seconds and no part in edges."""
-    at = lambda name: posixpath.join(folder, f"{name}.txt")
+    inner = "file=" if _exists(spark, posixpath.join(folder, "file=stops.txt")) else ""  # as unzip() leaves them
+    at = lambda name: posixpath.join(folder, f"{inner}{name}.txt")
     stops = _csv(spark, at("stops"))
     require(stops, ("stop_id", "stop_name", "stop_lat", "stop_lon"))
     stops = _typed(stops, {"stop_id": "string", "stop_name": "string", "stop_lat": "double", "stop_lon": "double"})
@@ -102,23 +103,56 @@ def write_gtfs(feed: Feed, folder: str) -> None:
             table.write.csv(posixpath.join(folder, f"{name}.txt"), header=True, encoding="UTF-8")
 
 
-def read_gtfs_zip(spark: SparkSession, archive: str) -> Feed:
-    """The feed in an archive on the driver: unpacked into the shared folder, from the first folder in it that has
-    stops.txt and stop_times.txt, else its root."""
-    to = f"{shared_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+def unzip(spark: SparkSession, archives: str) -> dict[str, str]:
+    """The folder of each archive of a path (which may have wildcards), by the archive's name without its ending: its
+    feed's text files, unpacked by tasks into the shared folder, to be read by read_gtfs(). The driver sees names alone.
+
+    The feed is in the first folder of the archive that has stops.txt and stop_times.txt, else in its root. A task holds
+    an archive and one of its files; archives of the same name are put together, so give them different ones.
+    """
+    to = scratch(spark)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
+                    folders: dict[str, dict[str, str]] = {}
+                    for n in z.namelist():
+                        if n.endswith(".txt"):
+                            folders.setdefault(posixpath.dirname(n), {})[posixpath.basename(n)] = n
+                    root = next((d for d, names in sorted(folders.items()) if {"stops.txt", "stop_times.txt"} <= names.keys()), "")
+                    for name, n in folders.get(root, {}).items():
+                        text = z.read(n).decode("utf-8-sig", "replace").removesuffix("\n")
+                        yield pa.RecordBatch.from_pylist([{"feed": posixpath.basename(path).removesuffix(".zip"), "file": name, "value": text}])
+
+    files = spark.read.format("binaryFile").load(archives).select("path", "content")
+    files.mapInArrow(unpack, "feed string, file string, value string").write.partitionBy("feed", "file").text(to)
+    # Spark puts files in folders named feed=.../file=...
+    folder = spark._jvm.org.apache.hadoop.fs.Path(to)
+    found = [f.getPath() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return {unquote(p.getName().removeprefix("feed=")): p.toString() for p in found if p.getName().startswith("feed=")}
+
+
+def zip_folders(spark: SparkSession, folders: dict[str, str], to: str) -> None:
+    """An archive NAME.zip of each folder that write_gtfs() wrote, in the folder `to`; for feeds that fit a driver, one
+    file of which is held at a time."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    with zipfile.ZipFile(archive) as z, tempfile.TemporaryDirectory() as own:
-        folders: dict[str, set[str]] = {}
-        files = [n for n in z.namelist() if n.endswith(".txt")]
-        for n in files:
-            folders.setdefault(posixpath.dirname(n), set()).add(posixpath.basename(n))
-        root = next((d for d, names in sorted(folders.items()) if {"stops.txt", "stop_times.txt"} <= names), "")
-        for n in files:
-            if posixpath.dirname(n) == root:
-                # A file at a time is on the driver's disk, until it is in the folder that executors read.
-                plain = Path(own) / posixpath.basename(n)
-                with z.open(n) as source, plain.open("wb") as target:
-                    shutil.copyfileobj(source, target)
-                goal = hadoop.Path(f"{to}/{plain.name}")
-                goal.getFileSystem(conf).copyFromLocalFile(True, True, hadoop.Path(f"file://{plain}"), goal)
-    return read_gtfs(spark, to)
+    for name, folder in folders.items():
+        held = io.BytesIO()
+        at = hadoop.Path(folder)
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in at.getFileSystem(conf).listStatus(at):
+                parts = sorted(((r.path, bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f.getPath().toString()).select("path", "content").toLocalIterator()))
+                heads = [p.split(b"\n", 1) for _, p in parts]
+                z.writestr(f"feed/{f.getPath().getName()}", b"\n".join([heads[0][0], b"".join(h[1] for h in heads if len(h) > 1)]) if heads else b"")
+        out = at.getFileSystem(conf).create(hadoop.Path(f"{to}/{name}.zip"))
+        out.write(bytearray(held.getvalue()))
+        out.close()
+
+
+def read_gtfs_zip(spark: SparkSession, archive: str) -> Feed:
+    """The feed in an archive, which tasks unpack; of many, call unzip() once and read_gtfs() for each."""
+    found = unzip(spark, archive)
+    if len(found) != 1:
+        raise ValueError(f"one archive with a feed is asked for, and there are {len(found)}: {archive}")
+    return read_gtfs(spark, *found.values())

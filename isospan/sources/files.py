@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mesh_centre
+from ..operators.timetable import Timetable, lay_out, open_timetable
 
 
 class MissingColumns(ValueError):
@@ -69,13 +70,20 @@ def read_facilities(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_network(bus: DataFrame, walk: DataFrame, folder: str, csv: bool = False) -> None:
-    """Both edge tables as Parquet, clustered by the stop that they leave from; as CSV too if asked for."""
+def write_network(bus: DataFrame, walk: DataFrame, folder: str, csv: bool = False) -> Timetable:
+    """Both edge tables as Parquet, and their layout for searches, which read_timetable() opens again; as CSV too if
+    asked for."""
     for name, edges in (("bus_edges", bus), ("walk_edges", walk)):
-        edges.repartition("from_stop").sortWithinPartitions("from_stop").write.mode("overwrite").parquet(f"{folder}/{name}")
+        edges.write.mode("overwrite").parquet(f"{folder}/{name}")
         if csv:  # which has no structs
             edges.drop("ord").write.mode("overwrite").csv(f"{folder}/{name}_csv", header=True)
+    return lay_out(*read_network(bus.sparkSession, folder), folder=f"{folder}/timetable")
 
 
 def read_network(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/bus_edges"), spark.read.parquet(f"{folder}/walk_edges")
+
+
+def read_timetable(spark: SparkSession, folder: str) -> Timetable:
+    """The layout that write_network() wrote: buckets and hours are known again, and no edge is moved or written."""
+    return open_timetable(spark, f"{folder}/timetable")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Session, folder and table name: what there is of these.
 _written: list[tuple[SparkSession, str | None, str | None]] = []
 
+#: What is kept beside a bucketed table at a path.
+LAYOUT = "buckets int, parted array<string>, columns string"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local runs a temporary one."""
@@ -86,17 +89,17 @@ def bucketed(df: DataFrame, buckets: int, keys: Sequence[str], *by: str, path: s
     (writer.partitionBy(*by) if by else writer).saveAsTable(name)
     if path:
         _written.append((spark, None, name))
-        spark.createDataFrame([(buckets, list(by))], "buckets int, parted array<string>").coalesce(1).write.mode("overwrite").json(f"{path}.layout")
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        spark.createDataFrame([(buckets, list(by), columns)], LAYOUT).coalesce(1).write.mode("overwrite").json(f"{path}.layout")
     return spark.table(name)
 
 
 def read_bucketed(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """A table that bucketed() wrote to a path, by the same keys, with its buckets and partitions."""
-    layout, name = spark.read.schema("buckets int, parted array<string>").json(f"{path}.layout").first(), f"isospan_{uuid.uuid4().hex}"
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    layout, name = spark.read.schema(LAYOUT).json(f"{path}.layout").first(), f"isospan_{uuid.uuid4().hex}"
     parted, by = (", ".join(f"`{c}`" for c in x) for x in (layout.parted, keys))
     spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet " + (f"PARTITIONED BY ({parted}) " if parted else "")
+        f"CREATE TABLE {name} ({layout.columns}) USING parquet " + (f"PARTITIONED BY ({parted}) " if parted else "")
         + f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {layout.buckets} BUCKETS LOCATION '{path}'"
     )
     if parted:

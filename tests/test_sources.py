@@ -66,3 +66,27 @@ def test_star_takes_all_rows(spark, sf):
     assert feed.shapes.count() == count("events") and feed.routes.count() == count("part")
     users = spark.read.parquet(f"{sf}/events.parquet").agg({"user_id": "max"}).first()[0]
     assert feed.trips.agg({"shape_id": "max"}).first()[0] > min(users, 15) - 1
+
+
+def test_many_archives(spark, archive, tmp_path):
+    """Unpacked by tasks; names keep their zeros and odd signs, and archives without a feed give their root."""
+    folder = tmp_path / "feeds"
+    folder.mkdir()
+    for name in ("007", "a b=c"):
+        (folder / f"{name}.zip").write_bytes(open(archive, "rb").read())
+    with zipfile.ZipFile(folder / "none.zip", "w") as z:
+        z.writestr("readme.md", "x")
+    feeds = sources.unzip(spark, f"file://{folder}/*.zip")
+    assert sorted(feeds) == ["007", "a b=c"]
+    for at in feeds.values():
+        feed = sources.read_gtfs(spark, at)
+        assert sorted(r.stop_id for r in feed.stops.collect()) == ["A", "B", "C"] and feed.shapes is not None
+    with pytest.raises(ValueError, match="there are 2"):
+        sources.read_gtfs_zip(spark, f"file://{folder}/*.zip")
+
+
+def test_population_with_missing_columns(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Meshcode,Other\n1,2\n")
+    with pytest.raises(sources.MissingColumns) as e:
+        sources.read_population(spark, str(tmp_path / "p.csv"))
+    assert e.value.missing == ["Pop65over", "PopT"]

@@ -32,11 +32,13 @@ def test_population(spark):
     meshes = spark.createDataFrame([(k, 10.0 + k, 1.0, place(k), 140.9) for k in range(8)], "mesh_ord int, pop_t double, pop_65over double, lat double, lon double")
     stops = spark.createDataFrame([(k, place(k), 140.9) for k in range(8)], "stop_id int, stop_lat double, stop_lon double")
     ids = lambda *s: spark.createDataFrame([(0, x) for x in s], "qid int, stop_id int")
-    r = impact.population_near(meshes, stops, ids(0, 1, 99), 120).first()
+    near = impact.catchments(meshes, stops, 120)
+    assert {(r.stop_id, r.mesh_ord) for r in near.collect()} == {(s, m) for s in range(8) for m in range(8) if abs(s - m) < 2}
+    r = impact.population_near(meshes, near, ids(0, 1, 99)).first()
     assert (r.total, r.elderly, r.mesh_count) == (10 + 11 + 12, 3, 3)
-    r = impact.affected_population(meshes, stops, ids(2), ids(1, 2, 7), 120).first()
+    r = impact.affected_population(meshes, near, ids(2), ids(1, 2, 7)).first()
     assert (r.affected_total, r.affected_elderly, r.uncovered_meshes, r.lost_meshes, r.covered_by_others) == (13, 1, 1, 3, 2)
-    r = impact.affected_population(meshes, stops, ids(2).limit(0), ids(1, 2, 7), 120).first()
+    r = impact.affected_population(meshes, near, ids(2).limit(0), ids(1, 2, 7)).first()
     assert (r.affected_total, r.lost_meshes) == (0, 0)
     assert impact.population_around(meshes, place(0), 140.9, 120).first().mesh_count == 2
 
@@ -51,3 +53,20 @@ def test_facilities(spark):
     arrivals = spark.createDataFrame([(0, row[0].nearest_stop, 120)], "qid int, stop_id int, arrival_sec int")
     got = {r.qid: (r.accessible, r.total_min) for r in impact.facility_access(arrivals, queries, placed, stops).collect()}
     assert got == {0: (True, 3.7), 1: (False, None)}
+    found = [tuple(r)[:4] for r in impact.accessible_facilities(impact.reached_facilities(arrivals, queries, placed, stops)).collect()]
+    assert found == [(0, 0, "a", "t")]
+    delta = impact.change_by_type(arrivals, arrivals.limit(0), queries, placed)
+    assert sorted(map(tuple, delta.collect())) == [(0, "t", 1, 1, 0, -1), (1, "t", 1, 0, 0, 0)]
+
+
+def test_nearest_of_all(spark):
+    """Near, far and very far centres, with ties and rows without a position."""
+    a = points(60, 3) + [(100, 43.5, 141.2), (101, -30.0, 20.0), (102, 42.3, -60.0)]
+    b = [*points(40, 4), (900, 43.0, 141.0), (901, 44.0, 141.4), (50, 10.0, 100.0), (51, 10.0, 100.0)]
+    left = spark.createDataFrame([*a, (103, None, 1.0)], "i int, lat double, lon double")
+    right = spark.createDataFrame([*b, (902, None, None)], "j int, lat double, lon double")
+    got = {r.i: (r.j, r.dist) for r in spatial.nearest_of_all(left, right, "i", "j", 50.0).collect()}
+    want = {p[0]: min((metres(p[1:], q[1:]), q[0]) for q in b) for p in a}
+    assert {i: j for i, (j, _) in got.items()} == {i: j for i, (_, j) in want.items()}
+    assert all(abs(got[i][1] - want[i][0]) < 1e-3 for i in want)
+    assert spatial.nearest_of_all(left, right.limit(0), "i", "j").count() == 0 == spatial.nearest_of_all(left.limit(0), right, "i", "j").count()
