@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import BBOX, MODE_BUS, PROFILE_HOURS, UNKNOWN_ROUTE, format_time, in_bbox, is_highway, marker, tenth_minutes, travel_band
+from ..ordinals import ranked
 from ..sources.feed import Feed
 
 #: Colours of route lines, told apart by number.
@@ -120,8 +121,7 @@ def route_shapes(feed: Feed, routes: DataFrame, targets: list[str] | None = None
     first of them that has it. Shapes of fewer than two points are left out. routes: of area_routes()."""
     if feed.shapes is None:
         raise ValueError("the feed has no shapes")
-    number = F.row_number().over(Window.orderBy("appears")) - 1
-    numbered = routes.select("route_id", "route_name", number.alias("n"))
+    numbered = ranked(routes.select("route_id", "route_name", "appears"), "n", "appears").drop("appears")
     owner = feed.trips.select("route_id", "shape_id").where("shape_id IS NOT NULL").distinct().join(numbered, "route_id")
     owner = owner.groupBy("shape_id").agg(F.min_by(F.struct("route_id", "route_name", "n"), "n").alias("r"))
     points = feed.shapes.groupBy("shape_id").agg(F.sort_array(F.collect_list(F.struct("shape_pt_sequence", "shape_pt_lat", "shape_pt_lon"))).alias("p"))

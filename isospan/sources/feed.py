@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_time
+from ..ordinals import PLACE, in_file_order, last_of, placed
 from ..tables import scratch
 from .files import require
 
@@ -36,7 +37,8 @@ class Feed:
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, encoding="UTF-8")
+    """With the place of each row in the files, which _typed() keeps."""
+    return placed(spark.read.csv(path, header=True, encoding="UTF-8"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -47,19 +49,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """The columns named, cast; those that the file lacks are null."""
     have = set(df.columns)
-    return df.select(*((F.col(c).try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()))
-
-
-def _last(df: DataFrame, key: str) -> DataFrame:
-    """One row for each key, the last of the file."""
-    rest = [c for c in df.columns if c != key]
-    last = df.withColumn("__n", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*rest), "__n").alias("__r"))
-    return last.select(key, "__r.*")
+    return df.select(*((F.col(c).try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()), *PLACE)
 
 
 def read_gtfs(spark: SparkSession, folder: str) -> Feed:
-    """The feed in a folder of GTFS text files; a byte-order mark is skipped. Of routes and trips with the same id the
-    last counts. Rows of stop_times whose times can't be read have null seconds and no part in edges."""
+    """The feed in a folder of GTFS text files, or of folders of that name with such files in the order of their paths; a
+    byte-order mark is skipped. Stops are numbered in that order, and of routes and trips with the same id the last counts. Rows of stop_times whose times can't be read have null seconds and no part in edges."""
     inner = "file=" if _exists(spark, posixpath.join(folder, "file=stops.txt")) else ""  # as unzip() leaves them
     at = lambda name: posixpath.join(folder, f"{inner}{name}.txt")
     stops = _csv(spark, at("stops"))
@@ -76,12 +71,12 @@ def read_gtfs(spark: SparkSession, folder: str) -> Feed:
     )
     trips = {"trip_id": "string", "route_id": "string", "service_id": "string", "shape_id": "string"}
     calendar = {"service_id": "string"} | dict.fromkeys(DAYS, "int") | {"start_date": "string", "end_date": "string"}
-    some = lambda name, types: _typed(_csv(spark, at(name)), types) if _exists(spark, at(name)) else None
+    some = lambda name, types: _typed(_csv(spark, at(name)), types).drop(*PLACE) if _exists(spark, at(name)) else None
     return Feed(
-        stops=stops.withColumn("stop_ord", F.monotonically_increasing_id()),
-        routes=_last(_typed(_csv(spark, at("routes")), {"route_id": "string", "route_long_name": "string"}), "route_id"),
-        trips=_last(_typed(_csv(spark, at("trips")), trips), "trip_id"),
-        calendar=_typed(_csv(spark, at("calendar")), calendar),
+        stops=in_file_order(stops, "stop_ord"),
+        routes=last_of(_typed(_csv(spark, at("routes")), {"route_id": "string", "route_long_name": "string"}), "route_id"),
+        trips=last_of(_typed(_csv(spark, at("trips")), trips), "trip_id"),
+        calendar=_typed(_csv(spark, at("calendar")), calendar).drop(*PLACE),
         stop_times=times,
         calendar_dates=some("calendar_dates", {"service_id": "string", "date": "string", "exception_type": "int"}),
         shapes=some("shapes", {"shape_id": "string", "shape_pt_sequence": "bigint", "shape_pt_lat": "double", "shape_pt_lon": "double"}),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mesh_centre
+from ..ordinals import in_file_order, placed
 from ..operators.timetable import Timetable, lay_out, open_timetable
 
 
@@ -38,12 +39,12 @@ def optional(load: Callable[[], DataFrame]) -> DataFrame | None:
 def read_population(spark: SparkSession, path: str) -> DataFrame:
     """mesh_ord, meshcode, pop_t, pop_65over, lat, lon. Meshes are told apart by row, so a code may repeat; missing
     numbers of people are 0."""
-    raw = spark.read.csv(path, header=True)
+    raw = placed(spark.read.csv(path, header=True))
     require(raw, ("Meshcode", "PopT", "Pop65over"))
     people = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
     return with_centres(
-        raw.select(
-            F.monotonically_increasing_id().alias("mesh_ord"),
+        in_file_order(raw, "mesh_ord").select(
+            "mesh_ord",
             F.col("Meshcode").try_cast("bigint").alias("meshcode"),
             people("PopT").alias("pop_t"),
             people("Pop65over").alias("pop_65over"),
@@ -59,10 +60,10 @@ def with_centres(meshes: DataFrame) -> DataFrame:
 
 def read_facilities(spark: SparkSession, path: str) -> DataFrame:
     """fac_ord, name, type, latitude, longitude."""
-    raw = spark.read.csv(path, header=True)
+    raw = placed(spark.read.csv(path, header=True))
     require(raw, ("name", "type", "latitude", "longitude"))
-    return raw.select(
-        F.monotonically_increasing_id().alias("fac_ord"),
+    return in_file_order(raw, "fac_ord").select(
+        "fac_ord",
         "name",
         "type",
         F.col("latitude").try_cast("double").alias("latitude"),
