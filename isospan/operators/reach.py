@@ -79,7 +79,7 @@ class Search:
         then nothing is shuffled up to here."""
         found = []
         for t, base in self._tables():
-            catch = (F.broadcast(frontier) if small else frontier).join(t.trips if small else t.rides, ["stop_id", *t.apart])
+            catch = (F.broadcast(frontier) if small else frontier).join(t.trips if small else t.by_stop, ["stop_id", *t.apart])
             hits = catch.where("departure_sec >= arrival_sec AND arrives <= deadline").select("qid", *self.apart, "deadline", "trip_id", "chain", "place")
             trip = ["trip_id", "chain", *t.apart]
             first = hits.groupBy(*dict.fromkeys([*trip, "qid", "deadline", *self.apart])).agg(F.min("place").alias("from_place"))

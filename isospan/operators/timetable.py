@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,14 +31,23 @@ class Timetable:
     """
 
     trips: DataFrame
-    rides: DataFrame
     walks: DataFrame
+    #: None in scratch layouts, where they are written for the hours of a search once its frontier is too large to be sent.
+    rides: DataFrame | None = None
     apart: tuple[str, ...] = ()
 
     def during(self, first: int, last: int) -> Timetable:
         """What leaves and arrives between two times; of the folders of other hours nothing is read."""
         hours = f"slot BETWEEN {first // SLOT_SEC} AND {last // SLOT_SEC} AND departure_sec >= {first} AND arrives <= {last}"
-        return replace(self, trips=self.trips.where(hours).drop("slot"), rides=self.rides.where(hours).drop("slot"))
+        cut = lambda df: None if df is None else df.where(hours).drop("slot")
+        return replace(self, trips=cut(self.trips), rides=cut(self.rides))
+
+    @cached_property
+    def by_stop(self) -> DataFrame:
+        if self.rides is not None:
+            return self.rides
+        n, by = _parts(self.trips.sparkSession), keys_of(self.apart)["rides"]
+        return bucketed(self.trips.repartition(n, *by), n, by)
 
 
 def chained(bus: DataFrame, apart: Sequence[str] = ()) -> DataFrame:
@@ -61,6 +71,8 @@ def lay_out(bus: DataFrame, walk: DataFrame, apart: Sequence[str] = (), folder:
     tables = {"trips": rides, "rides": rides, "walks": walk.select(*apart, F.col("from_stop").alias("stop_id"), "to_stop", "walk_time")}
     found = {}
     for name, by in keys_of(apart).items():
+        if name == "rides" and not folder:
+            continue
         df = tables[name]
         found[name] = bucketed(df.repartition(n, *by), n, by, *(c for c in df.columns if c == "slot"), path=f"{folder}/{name}" if folder else None)
     return Timetable(**found, apart=tuple(apart))

@@ -76,7 +76,7 @@ def test_rides_stay_where_they_are(spark, network, queries, monkeypatch, limit):
         scans = [line for line in text.split("\n") if "FileScan" in line and "isospan_" in line]
         assert len(scans) == 3 and all("Bucketed: true" in line for line in scans)
         pruned = [line for line in scans if "PartitionFilters: [isnotnull(slot" in line and "(slot" in line]
-        assert len(pruned) == 2
+        assert len(pruned) == (2 if limit else 1)  # the rides of these hours are written anew by their stops
         monkeypatch.setattr(reach, "BROADCAST_BYTES", limit)
         assert found(reach.search(net.kept, queries)) == wanted(*network[:2])
     finally:
