@@ -623,7 +623,7 @@ def checked_files(c):
 
 
 @query
-def optional_tables(c):
+def feed_tables(c):
     """Rows of each table of a feed that was written without shapes, and of one with them; null where there is none."""
     found = []
     for name, feed in (("with", c.feed), ("without", replace(c.feed, shapes=None))):

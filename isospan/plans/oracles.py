@@ -218,7 +218,7 @@ ORACLE = {
         "gtfs_archives": "SELECT feed, from_stop, to_stop, departure_sec, arrival_sec, trip_id, route_id FROM bus, (VALUES ('first'), ('second')) f(feed)",
         "checked_files": "SELECT 'facilities whole' AS file, '' AS missing, count(*) AS n FROM facilities UNION ALL SELECT 'facilities less', 'latitude,type', NULL "
         "UNION ALL SELECT 'population whole', '', count(*) FROM population UNION ALL SELECT 'population less', 'PopT', NULL",
-        "optional_tables": "SELECT feed, name, CASE WHEN feed = 'with' OR name <> 'shapes' THEN n END AS n FROM (VALUES ('with'), ('without')) f(feed), "
+        "feed_tables": "SELECT feed, name, CASE WHEN feed = 'with' OR name <> 'shapes' THEN n END AS n FROM (VALUES ('with'), ('without')) f(feed), "
         "(SELECT 'stops' AS name, count(*) AS n FROM stops UNION ALL SELECT 'stop_times', count(*) FROM stop_times UNION ALL SELECT 'shapes', count(*) FROM shapes UNION ALL SELECT 'calendar_dates', NULL)",
         "parse_times": f"SELECT trip_id, stop_sequence, {_CLOCK.format('arrival_sec')} || ':' || lpad(CAST(arrival_sec % 60 AS VARCHAR), 2, '0') AS time_text, arrival_sec AS seconds FROM stop_times",
         "format_times": f"SELECT trip_id, stop_sequence, {_CLOCK.format('arrival_sec')} AS hhmm FROM stop_times",
