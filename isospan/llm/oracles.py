@@ -101,7 +101,7 @@ units AS (
   FROM segments s JOIN docs d USING (doc_id) JOIN words f ON f.doc_id = s.doc_id AND f.k = s.a JOIN words l ON l.doc_id = s.doc_id AND l.k = s.b - 1
   UNION ALL
   SELECT doc_id, true, array_to_string(ws, ' '), stop - size, stop FROM (
-    SELECT doc_id, stop, length(line) AS size, {_WORDS.replace("coalesce(text, '')", _LOWER.format("line"))} AS ws FROM lines) WHERE len(ws) >= 20),
+    SELECT doc_id, stop, length(line) AS size, {_WORDS.replace("coalesce(text, '')", _LOWER.format("line"))} AS ws FROM lines) WHERE length(array_to_string(ws, ' ')) >= 10),
 owners AS (SELECT line, unit, min(doc_id) AS owner FROM units GROUP BY ALL),
 spans AS (
   SELECT u.doc_id, start, least(u.stop + CAST(u.line AS INT), length(d.text)) AS stop

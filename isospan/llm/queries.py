@@ -61,7 +61,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    done = substring_dedup.dedup_passages(table(spark, sf_dir, "documents"), segments=True)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return done.select("doc_id", "n_removed", spans.alias("removed"), _sha256("text").alias("kept_sha256"))
 

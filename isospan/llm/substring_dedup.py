@@ -1,11 +1,11 @@
 """Repeated passages by hashing normalised units.
 
-Units are lines, and segments of the whole text across line breaks, of LEAST_WORDS words or more: a text is cut between
-two words where a fixed rule over both says so, hence a passage is cut at the same words wherever it stands, and every
-cut starts a segment that runs to the first cut at least LEAST_WORDS on. Segments overlap and leave no words out, so
-passages set into other lines are found as well. Digests of all units are grouped; the earliest document keeps a unit,
-in its first place, and all others lose it. What is removed is reported by its offsets in the original text. Shorter
-lines, such as notices that many texts share, are no passages and stay; they are for line deduplication.
+Units are lines: the words of a line, A-Z in lower case and parted by one space each, if these are LEAST_CHARS code
+points or more. On request there are also segments of the whole text across line breaks, for passages that are set into
+other lines: a text is cut between two words where a fixed rule over both says so, hence a passage is cut at the same
+words wherever it stands, and every cut starts a segment that runs to the first cut at least LEAST_WORDS on. Segments
+overlap and leave no words out. Digests of all units are grouped; the earliest document keeps a unit, in its first
+place, and all others lose it. What is removed is reported by its offsets in the original text.
 
 Units that occur in one document alone, and documents that lose nothing, stay out of the shuffles that follow the
 grouping.
@@ -27,8 +27,13 @@ from pyspark.sql import types as T
 
 from .common import NULL_ID, Sieve, doc_view, materialize, parts, texts
 
-#: Words from which a line or segment is a unit.
+#: Code points from which a normalised line is a unit.
+LEAST_CHARS = 10
+#: Words from which a segment is a unit.
 LEAST_WORDS = 20
+#: A unit in more than so many documents, and in more than one in MOST_HOT of all repeated places, is hot: at most
+#: MOST_HOT units are, and their owners are broadcast instead of shuffling their places by key.
+HOT, MOST_HOT = 1_000, 10_000
 #: One in so many pairs of words is cut.
 CUT = 6
 _KEY = ["h1", "h2"]
@@ -46,25 +51,26 @@ def cut_class(word: bytes) -> int:
 
 
 class Numbers(dict):
-    """Numbers of words as met, with their hashes and classes."""
+    """Numbers of words as met, with their hashes, classes and sizes in code points."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes, self.classes = np.empty(1024, np.uint64), np.empty(1024, np.int64)
+        self.hashes, self.classes, self.sizes = np.empty(1024, np.uint64), np.empty(1024, np.int64), np.empty(1024, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         if n == len(self.hashes):
-            self.hashes, self.classes = (np.concatenate([x, np.empty_like(x)]) for x in (self.hashes, self.classes))
+            self.hashes, self.classes, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.hashes, self.classes, self.sizes))
         self.hashes[n], self.classes[n] = xxhash.xxh3_64_intdigest(word), cut_class(word)
+        self.sizes[n] = len(word.translate(None, _CONTINUES))
         return n
 
 
 class Cutter:
-    """Finds the units of texts; remembers words."""
+    """Finds the units of texts, segments too if asked for; remembers words."""
 
-    def __init__(self) -> None:
-        self.words = Numbers()
+    def __init__(self, segments: bool = False) -> None:
+        self.words, self.within = Numbers(), segments
         self.powers = np.ones((4, 1), np.uint64)
 
     def _powers(self, n: int) -> np.ndarray:
@@ -88,8 +94,9 @@ class Cutter:
         ends = np.flatnonzero(raw == ord("\n"))
         begin = np.append(0, ends[:-1] + 1)
         a, b = np.searchsorted(first, begin), np.searchsorted(first, ends)
-        long = b - a >= LEAST_WORDS
-        c, d = self.segments(self.words.classes[ids], doc, past)
+        size = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.words.sizes[ids] + 1)])
+        long = size[b] - size[a] > LEAST_CHARS
+        c, d = self.segments(self.words.classes[ids], doc, past) if self.within else (np.empty(0, np.int64),) * 2
         line = np.arange(long.sum() + len(c)) < long.sum()
         starts, stops = np.concatenate([begin[long], first[c]]), np.concatenate([ends[long], last[d - 1]])
         a, b = np.concatenate([a[long], c]), np.concatenate([b[long], d])
@@ -140,12 +147,12 @@ class Units:
         return first, again
 
 
-def unit_hashes(docs: DataFrame) -> DataFrame:
+def unit_hashes(docs: DataFrame, segments: bool = False) -> DataFrame:
     """h1, h2, id, again: the distinct unit hashes of each row; id is doc_id, or NULL_ID where it is null; again: the
     unit is repeated in the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter()
+        cutter = Cutter(segments)
         for b in parts(batches):
             found = cutter.units(texts(b))
             first, again = found.distinct()
@@ -200,21 +207,25 @@ def _points(text: bytes, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
+def dedup_passages(docs: DataFrame, segments: bool = False) -> DataFrame:
     """The rows of docs with all columns, text without repeated units, and n_removed (spans) and removed, an array of
     (start, end) offsets in code points of the original text; these replace columns of docs so named.
 
-    The smallest doc_id that has a unit keeps it, in its first place, but for words that are also in a unit, overlapping
+    segments: whether segments are units besides lines. The smallest doc_id that has a unit keeps it, in its first place, but for words that are also in a unit, overlapping
     it, that goes: each word removed is kept in an earlier place of its unit, or goes there in favour of one earlier
     yet. Null doc_ids are one document, larger than all others, and rows with the same doc_id are one document. A null
     or empty text has no units and stays as it is. An empty table gives none. The units are found anew for each use:
     they would take more disk than time.
     """
     docs = docs.drop("n_removed", "removed")
-    units = unit_hashes(docs)
-    owners = units.groupBy(_KEY).agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.max("again").alias("again"))
-    shared = materialize(owners.where("owner != last OR again").select(*_KEY, "owner"))
-    met = Sieve(shared, "h1").part(units, F.col("h1")).join(shared, _KEY).where("id != owner OR again")
+    units = unit_hashes(docs, segments)
+    owners = units.groupBy(_KEY).agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.max("again").alias("again"), F.count("*").alias("places"))
+    shared = materialize(owners.where("owner != last OR again").select(*_KEY, "owner", "places"))
+    many = max(HOT, (shared.agg(F.sum("places")).first()[0] or 0) // MOST_HOT)
+    hot, rest = (shared.where(F.col("places") > many), shared.where(F.col("places") <= many))
+    places = materialize(Sieve(shared, "h1").part(units, F.col("h1")))
+    cold = places.join(F.broadcast(hot.select(_KEY)), _KEY, "left_anti").join(rest, _KEY)
+    met = places.join(F.broadcast(hot), _KEY).unionByName(cold).where("id != owner OR again")
     drop = F.collect_set(F.when(F.col("id") != F.col("owner"), F.struct("h1", "h2")))
     lost = materialize(met.groupBy("id").agg(drop.alias("drops")))
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -226,7 +237,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     both = some.join(lost, key == lost["id"], "left").select(*(some[c] for c in docs.columns), F.coalesce(lost["drops"], F.array().cast(lost.schema["drops"].dataType)).alias("__drops"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter()
+        cutter = Cutter(segments)
         for b in parts(batches):
             raw = b.column(at).cast(pa.binary()).to_pylist()
             plain = [t or b"" for t in raw]

@@ -268,7 +268,7 @@ def test_substring_dedup(spark):
     passage, line = texts[0], " ".join(f"a repeated line of twenty words {k}" for k in range(3))
     made = [texts[k] + " " + passage + " " + texts[k + 20] if k % 3 == 0 else texts[k] + "\n" + line for k in range(1, 19)]
     docs = frame(spark, [passage, line, *made])
-    rows = {r.doc_id: r for r in substring_dedup.dedup_passages(docs).collect()}
+    rows = {r.doc_id: r for r in substring_dedup.dedup_passages(docs, segments=True).collect()}
     assert rows[0].text == passage and rows[1].text == line
     for k, t in enumerate(made, 2):
         r = rows[k]
@@ -284,6 +284,43 @@ def test_substring_dedup(spark):
             assert line not in r.text and texts[k - 1] in r.text
 
 
+def test_every_repeated_line_goes(spark):
+    """Against a plain loop: lines of ten code points or more, normalised, stay in their first document and place."""
+    rng = random.Random(4)
+    pool = ["Read  more here", "read more\there ", "short one", "ÄÖÜ äöü ßß", "äöü ÄÖÜ ßß", "a b c d e f", "", "  ", "All rights reserved.", "x" * 10, "x" * 9, "Seite drücken"]
+    texts = ["\n".join(rng.choices(pool, k=rng.randrange(1, 9)) + rng.choices(["own line %d" % k, "tiny"], k=1)) for k in range(60)]
+    seen, want = set(), []
+    for t in texts:
+        kept = ""
+        for line in t.splitlines(keepends=True):
+            key = " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+            if len(key) >= 10 and key in seen:
+                continue
+            if len(key) >= 10:
+                seen.add(key)
+            kept += line
+        want.append(kept)
+    for segments in (False, True):
+        rows = {r.doc_id: r for r in substring_dedup.dedup_passages(frame(spark, texts), segments).collect()}
+        for k, t in enumerate(texts):
+            kept, at = "", 0
+            for a, b in rows[k].removed:
+                kept, at = kept + t[at:a], b
+            assert kept + t[at:] == rows[k].text
+            if not segments:
+                assert rows[k].text == want[k]
+
+
+def test_hot_units_take_the_same_way(spark, monkeypatch):
+    texts, _ = invented(30, words=100)
+    docs = frame(spark, [t + "\nA notice that all texts share" + "\nAnother of some" * (k % 2) for k, t in enumerate(texts)])
+    rows = lambda: sorted((r.doc_id, r.text, r.n_removed) for r in substring_dedup.dedup_passages(docs, segments=True).collect())
+    before = rows()
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    assert rows() == before
+    assert [k for k, t, _ in before if "notice" in t] == [0] and [k for k, t, _ in before if "Another" in t] == [1]
+
+
 def test_passages_go_whole_but_for_their_edges(spark):
     rng = random.Random(9)
     word = iter(f"w{k}" for k in range(100_000))
@@ -295,7 +332,7 @@ def test_passages_go_whole_but_for_their_edges(spark):
             p = [x + "\n" if j % 7 == 6 else x for j, x in enumerate(p)]
         texts.append(" ".join([*some(40 if k % 3 else 4), *p, *some(40)]))
     texts += [" ".join(["again"] * 39), "\n".join(texts[0].split())]
-    rows = {r.doc_id: r.text for r in substring_dedup.dedup_passages(frame(spark, texts)).collect()}
+    rows = {r.doc_id: r.text for r in substring_dedup.dedup_passages(frame(spark, texts), segments=True).collect()}
     share = []
     for k, p in enumerate(passages):
         assert rows[k] == texts[k]
