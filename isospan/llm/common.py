@@ -25,13 +25,13 @@ class Sieve:
     """A bitmap of hashed ids, of a bounded size however many there are: passes all rows whose id is among them, and
     few others. It leaves rows that can't meet anything out of a shuffle; the join behind it is exact."""
 
-    def __init__(self, ids: DataFrame, column: str = "id"):
-        """ids: a written table; its ids of type bigint."""
-        n = ids.count()
+    def __init__(self, ids: DataFrame, column: str = "id", hashed: bool = False):
+        """ids: a written table; its ids of type bigint. hashed: the ids are hashes and aren't hashed again."""
+        n, self.hashed = ids.count(), hashed
         self.bits = bits = 1 << min(SIEVE_BITS.bit_length() - 1, max(10, (BITS_EACH * n).bit_length()))
         words = ids.select(
             F.shiftright(self.place(F.col(column)), 6).alias("word"),
-            F.expr(f"shiftleft(1L, int(pmod(xxhash64({column}), {bits}) % 64))").alias("bit"),
+            F.expr(f"shiftleft(1L, int(pmod({column if hashed else f'xxhash64({column})'}, {bits}) % 64))").alias("bit"),
         )
         found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         bitmap = np.zeros(bits >> 6, np.int64)
@@ -40,11 +40,11 @@ class Sieve:
 
     def place(self, key: Column) -> Column:
         """Where in the bitmap an id, of type bigint, has its bit."""
-        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+        return F.pmod(key if self.hashed else F.xxhash64(key), F.lit(self.bits))
 
     @staticmethod
-    def holds(bitmap: np.ndarray, place: pa.Array) -> np.ndarray:
-        at = place.to_numpy(zero_copy_only=False)
+    def holds(bitmap: np.ndarray, place: pa.Array | np.ndarray) -> np.ndarray:
+        at = place if isinstance(place, np.ndarray) else place.to_numpy(zero_copy_only=False)
         return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
     def part(self, rows: DataFrame, key: Column, among: bool = True) -> DataFrame:

@@ -76,13 +76,14 @@ class Cutter:
     def _powers(self, n: int) -> np.ndarray:
         """Powers of the factors and of their inverses, up to n."""
         if self.powers.shape[1] <= n:
-            steps = np.concatenate([_FACTORS, _INVERSES])[:, None].repeat(2 * n, 1)
-            self.powers = np.cumprod(np.concatenate([np.ones((4, 1), np.uint64), steps], 1), axis=1, dtype=np.uint64)
+            self.powers = np.empty((4, n + n // 4 + 1), np.uint64)
+            self.powers[:, 1:], self.powers[:, 0] = np.concatenate([_FACTORS, _INVERSES])[:, None], 1
+            np.cumprod(self.powers, axis=1, out=self.powers)
         return self.powers
 
     def units(self, batch: list[bytes]) -> Units:
         words = [t.lower().split() for t in batch]
-        if len(self.words) > 500_000:
+        if len(self.words) > 200_000:
             self.words.clear()
         counts = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
@@ -147,9 +148,10 @@ class Units:
         return first, again
 
 
-def unit_hashes(docs: DataFrame, segments: bool = False) -> DataFrame:
+def unit_hashes(docs: DataFrame, segments: bool = False, sieve: Sieve | None = None) -> DataFrame:
     """h1, h2, id, again: the distinct unit hashes of each row; id is doc_id, or NULL_ID where it is null; again: the
-    unit is repeated in the row."""
+    unit is repeated in the row. With a sieve of h1, only those that pass it."""
+    shared = sieve and (sieve.shared, sieve.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(segments)
@@ -158,6 +160,9 @@ def unit_hashes(docs: DataFrame, segments: bool = False) -> DataFrame:
             first, again = found.distinct()
             repeats = np.isin(found.keys(found.doc, found.h1, found.h2)[first], found.keys(found.doc, found.h1, found.h2)[again])
             ids = np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], np.int64)
+            if shared:
+                own = Sieve.holds(shared[0].value, (found.h1[first] & np.uint64(shared[1] - 1)).view(np.int64))
+                first, repeats = first[own], repeats[own]
             columns = [found.h1[first].view(np.int64), found.h2[first].view(np.int64), ids[found.doc[first]], repeats]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h1", "h2", "id", "again"])
 
@@ -223,7 +228,7 @@ def dedup_passages(docs: DataFrame, segments: bool = False) -> DataFrame:
     shared = materialize(owners.where("owner != last OR again").select(*_KEY, "owner", "places"))
     many = max(HOT, (shared.agg(F.sum("places")).first()[0] or 0) // MOST_HOT)
     hot, rest = (shared.where(F.col("places") > many), shared.where(F.col("places") <= many))
-    places = materialize(Sieve(shared, "h1").part(units, F.col("h1")))
+    places = materialize(unit_hashes(docs, segments, Sieve(shared, "h1", hashed=True)))
     cold = places.join(F.broadcast(hot.select(_KEY)), _KEY, "left_anti").join(rest, _KEY)
     met = places.join(F.broadcast(hot), _KEY).unionByName(cold).where("id != owner OR again")
     drop = F.collect_set(F.when(F.col("id") != F.col("owner"), F.struct("h1", "h2")))
