@@ -27,6 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ordinals import ranked
 from .common import doc_view, materialize, parts, texts
 
 #: Stand for the two words before a text and for its end; no hash of a word is used for them.
@@ -53,12 +54,11 @@ class Sample:
 class Limit:
     """quantile of trusted perplexity, by language, and the factor above it from which a document is rejected.
     prior: tokens at its language's mean that are added to each text, so that a few rare words don't reject a short
-    one. least: such documents of a language below which the quantile of all languages is taken."""
+    one. Languages without a trusted document to calibrate by take the quantile of all languages."""
 
     quantile: float = 0.995
     factor: float = 1.05
     prior: float = 20.0
-    least: int = 50
 
 
 class Words:
@@ -253,32 +253,18 @@ def weights(tri: DataFrame, vocab: Broadcast, p1: Broadcast, d3: list[float], d2
 
 @dataclass
 class Part:
-    """The weights of the keys that begin with some bits. Of each key the first ``lead`` bits are told by how many
-    keys have them, and 32 more are kept: another key is taken for one of them about once in 2^28 times."""
+    """The weights of the keys that begin with some bits: whole keys, sorted."""
 
-    start: int
-    lead: int
-    sizes: np.ndarray
-    rest: np.ndarray
+    keys: np.ndarray
     weight: np.ndarray
 
     @staticmethod
-    def of(keys: np.ndarray, weight: np.ndarray, number: int, bits: int) -> Part:
+    def of(keys: np.ndarray, weight: np.ndarray) -> Part:
         """Sums the weights of equal keys."""
         order = np.argsort(keys)
         keys, weight = keys[order], weight[order]
         first, of = _groups(keys)
-        keys, weight = keys[first], np.bincount(of, weight).astype(np.float32)
-        more = max(1, len(keys).bit_length() - 4)
-        lead, start = bits + more, number << more
-        sizes = np.bincount((keys >> np.uint64(64 - lead)).astype(np.int64) - start, minlength=1 << more)
-        rest = (keys >> np.uint64(32 - lead)).astype(np.uint32)
-        return Part(start, lead, sizes.astype(np.uint8 if sizes.max() < 256 else np.uint32), rest, weight)
-
-    def keys(self) -> np.ndarray:
-        """The first lead + 32 bits of the keys, sorted."""
-        first = np.arange(self.start, self.start + len(self.sizes), dtype=np.uint64)
-        return np.repeat(first, self.sizes) << np.uint64(32) | self.rest
+        return Part(keys[first], np.bincount(of, weight).astype(np.float32))
 
 
 @dataclass
@@ -305,17 +291,16 @@ class Scorer:
         self.maybe = np.zeros(1 << self.BITS, bool)
         self.parts = []
         for part in (p.value for p in model.parts):
-            keys = part.keys()
-            self.maybe[keys >> np.uint64(part.lead + 32 - self.BITS)] = True
-            self.parts.append((np.uint64(32 - part.lead), keys, part.weight))
+            self.maybe[part.keys >> np.uint64(64 - self.BITS)] = True
+            self.parts.append((part.keys, part.weight))
 
     def _add(self, keys: np.ndarray, row: np.ndarray, total: np.ndarray, otherwise: float = 0.0) -> None:
         found = np.flatnonzero(self.maybe[keys >> np.uint64(64 - self.BITS)])
         weight, deal = np.full(len(keys), otherwise), keys[found] >> np.uint64(63 - self.bits) >> np.uint64(1)
-        for k, (shift, known, value) in enumerate(self.parts):
+        for k, (known, value) in enumerate(self.parts):
             own = found[deal == k]
             if len(known) and len(own):
-                asked = keys[own] >> shift
+                asked = keys[own]
                 at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
                 hit = known[at] == asked
                 weight[own[hit]] = value[at[hit]]
@@ -400,7 +385,7 @@ def train(docs: DataFrame, chosen: DataFrame, sample: Sample = Sample()) -> Mode
         got, own = table.where(F.col("part") == k).select("keys", "weights").toArrow(), deal == k
         some = np.concatenate([keys[own], *(np.frombuffer(x.as_buffer(), np.uint64) for x in got["keys"])])
         weight = np.concatenate([one[own], *(np.frombuffer(x.as_buffer(), np.float32) for x in got["weights"])])
-        made.append(share(Part.of(some, weight, k, bits)))
+        made.append(share(Part.of(some, weight)))
     return Model(made, bits, math.log10(spread))
 
 
@@ -417,27 +402,41 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     return doc_view(docs, lang).mapInArrow(run, "doc_id bigint, lang string, n_tokens bigint, log_prob double")
 
 
+def quantiles(held: DataFrame, group: str, value: str, tie: str, share: float) -> DataFrame:
+    """group, q: the quantile of each group's values, exact and interpolated between neighbours. The rows are dealt by
+    ranges of (group, value, tie) and ranked there, so no task has all values of a group, nor all equal ones, however
+    many there are."""
+    rows = ranked(held.select(group, value, tie), "__rank", group, value, tie)
+    sizes = rows.groupBy(group).agg(F.min("__rank").alias("__first"), (F.lit(share) * (F.count("*") - 1)).alias("__place"))
+    own = rows.join(materialize(sizes), group)
+    ahead = F.col("__rank") - F.col("__first") - F.floor("__place")
+    part = F.col("__place") - F.floor("__place")
+    weight = F.when(ahead == 0, F.lit(1.0) - part).when(ahead == 1, part)
+    return own.where((ahead == 0) | ((ahead == 1) & (part > 0))).groupBy(group).agg(F.sum(F.col(value) * weight).alias("q"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), limit: Limit = Limit()) -> DataFrame:
     """For each row of docs: doc_id, lang, n_tokens (words and one end), log_prob (log10), perplexity, smoothed (the
     perplexity with Limit.prior tokens of its language's mean), threshold, kept (smoothed <= threshold).
 
     labels: doc_id, quality, toxic. A null or empty text is an end alone; a null doc_id stays null and isn't trusted;
     a null language is the language ''. Repeated rows give repeated rows. Means and quantiles are exact, over all
-    trusted documents that weren't learnt from. Without any of these there is no threshold and all documents are kept; an empty table gives none. Further columns are left out.
+    trusted documents that weren't learnt from: of a document's language, or of all where it has none of these. Without
+    any there is no threshold and all documents are kept; an empty table gives none. Further columns are left out.
     """
     good, learnt = trusted(docs, labels, sample)
     own = materialize(_only(docs.select("doc_id", "text", "lang"), learnt))
     scored = materialize(perplexities(docs, train(own, learnt.withColumn("learn", F.lit(True)), sample)))
     held = materialize(scored.join(good, "doc_id", "left_semi").join(F.broadcast(learnt), "doc_id", "left_anti"))
     a, b = F.col("log_prob"), F.col("n_tokens")
-    mean = held.groupBy("lang").agg((F.sum(a) / F.sum(b)).alias("mean"), F.count("*").alias("docs"))
-    every = held.agg((F.sum(a) / F.sum(b)).alias("all_mean"))
+    mean = materialize(held.groupBy("lang").agg((F.sum(a) / F.sum(b)).alias("mean")))
+    every = materialize(held.agg((F.sum(a) / F.sum(b)).alias("all_mean")))
     smooth = lambda mean: F.pow(F.lit(10.0), -(a + F.lit(limit.prior) * mean) / (b + F.lit(limit.prior)))
-    middle = F.when(F.col("docs") >= limit.least, F.col("mean")).otherwise(F.col("all_mean"))
-    own = held.join(mean, "lang").crossJoin(F.broadcast(every)).withColumn("smoothed", smooth(middle))
-    cut = (F.percentile("smoothed", F.lit(limit.quantile)) * F.lit(limit.factor)).alias
-    by_lang = own.where(F.col("docs") >= limit.least).groupBy("lang", "mean").agg(cut("threshold"))
-    rest = own.agg(F.max("all_mean").alias("all_mean"), cut("all_threshold"))
+    own = held.join(mean, "lang").crossJoin(F.broadcast(every))
+    own = own.select("doc_id", "lang", F.lit("").alias("all"), smooth(F.col("mean")).alias("smoothed"), smooth(F.col("all_mean")).alias("all_smoothed"))
+    cut = (F.col("q") * F.lit(limit.factor)).alias
+    by_lang = quantiles(own, "lang", "smoothed", "doc_id", limit.quantile).join(mean, "lang").select("lang", "mean", cut("threshold"))
+    rest = every.crossJoin(quantiles(own, "all", "all_smoothed", "doc_id", limit.quantile).agg(F.max("q").alias("q"))).select("all_mean", cut("all_threshold"))
     by_lang, rest = materialize(by_lang), materialize(rest)
     out = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(rest))
     threshold = F.coalesce("threshold", "all_threshold")

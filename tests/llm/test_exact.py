@@ -240,6 +240,40 @@ def test_thresholds_cover_all_trusted_text(spark):
     assert quality_classifier.trusted(longer, labels, small)[1].count() > 3
 
 
+def test_each_language_with_trusted_text_has_its_own_threshold(spark):
+    texts, _ = invented(120)
+    langs = ["en"] * 100 + ["fr"] * 12 + ["de"] * 8
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(zip(texts, langs, strict=True))], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(112)], "doc_id bigint, quality int, toxic int")
+    sample = quality_classifier.Sample(docs=40, calibrate=40)
+    rows = quality_classifier.classify(docs, labels, sample).collect()
+    learnt = {r.doc_id for r in quality_classifier.trusted(docs, labels, sample)[1].collect()}
+    held = [r for r in rows if r.doc_id < 112 and r.doc_id not in learnt]
+
+    def smooth(r, mean):
+        return 10 ** (-(r.log_prob + 20 * mean) / (r.n_tokens + 20))
+
+    for lang in ("en", "fr", "de"):
+        own = [r for r in held if lang in ("de", r.lang)]
+        assert own
+        mean = sum(r.log_prob for r in own) / sum(r.n_tokens for r in own)
+        limit = 1.05 * np.quantile([smooth(r, mean) for r in own], 0.995)
+        for r in rows:
+            if r.lang == lang:
+                assert math.isclose(r.threshold, limit) and math.isclose(r.smoothed, smooth(r, mean)) and r.kept == (smooth(r, mean) <= limit)
+
+
+def test_quantiles(spark):
+    rng = random.Random(5)
+    rows = [(k, "ab"[k % 3 == 0], rng.choice([1.0, 2.0, rng.random()])) for k in range(400)] + [(400, "one", 7.0), (401, "two", 1.0), (402, "two", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, x double")
+    for share in (0.0, 0.3, 0.995, 1.0):
+        got = {r.lang: r.q for r in quality_classifier.quantiles(df, "lang", "x", "doc_id", share).collect()}
+        assert got.keys() == {"a", "b", "one", "two"}
+        assert all(math.isclose(q, np.quantile([x for _, g, x in rows if g == lang], share)) for lang, q in got.items())
+    assert quality_classifier.quantiles(df.limit(0), "lang", "x", "doc_id", 0.5).count() == 0
+
+
 def rank(spark, k):
     return spark.range(1).select(F.xxhash64(F.lit(k).cast("bigint"))).first()[0]
 
