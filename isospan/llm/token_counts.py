@@ -61,7 +61,7 @@ class Merges:
         symbols = self.first[np.frombuffer(b"".join(tokens), np.uint8)]
         owner = np.repeat(np.arange(len(tokens)), sizes)
         none = len(self.key)
-        while len(symbols) > 1:
+        while len(symbols):
             # Pair i is symbols i and i+1; there is none across the end of a sequence.
             rank = np.full(len(symbols), none, np.int64)
             same = owner[:-1] == owner[1:]
