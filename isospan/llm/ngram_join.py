@@ -10,7 +10,8 @@ components that a shorter prefix doesn't change keep their results.
 No pairs are written out. Documents that meet are tied to the smallest of their trie node, which makes candidate
 components; a component is cut into blocks, bounded by documents and by shingles, of documents that share a node, and
 all links of two blocks that have a node in common are found by counting shared shingles. Each block gives one row per
-document: how many links, and the smallest document that they lead to.
+document: how many links, and the smallest document that they lead to. Where classes are asked for without counts of
+links, blocks are paired with one block of each node first, and with others only where a node isn't of one class yet.
 """
 
 from __future__ import annotations
@@ -242,13 +243,12 @@ def _at(depth: int, deepest: int) -> list[Column]:
     return [F.col("node"), F.shiftrightunsigned("below", 8 * (deepest - depth)).alias("below")]
 
 
-def _blocks(candidates: DataFrame, matched: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _placed(candidates: DataFrame, matched: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """candidates: id, n, root; matched: id, node, below (a shared prefix). The block of each candidate (id, block),
-    and the pairs of blocks to verify (i, j).
+    and of those in components of several blocks the nodes too (id, block, node).
 
     A component that fits in a block is one. Of a larger one, the documents of one node, the first of theirs, stay
-    together, as a block or several, or in one of the blocks for small nodes; and only blocks with a node in common are
-    paired.
+    together, as a block or several, or in one of the blocks for small nodes.
     """
     fit = lambda docs, shingles: F.ceil(F.greatest(docs / F.lit(block), shingles / F.lit(SHINGLES))).cast("int")
     sums = (F.count("*").alias("docs"), F.sum("n").alias("shingles"))
@@ -264,11 +264,45 @@ def _blocks(candidates: DataFrame, matched: DataFrame, block: int) -> tuple[Data
     )
     many = home.join(dealt, ["root", "home"]).select("id", place.alias("block"))
     many = materialize(many)
-    met = nodes.join(many, "id").select("node", "block").distinct()
+    return materialize(one.unionAll(many)), nodes.join(many, "id")
+
+
+def _alone(placed: DataFrame) -> DataFrame:
+    return placed.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct()
+
+
+def _links(docs: DataFrame, candidates: DataFrame, matched: DataFrame, block: int) -> DataFrame:
+    """verify() of every block and of all pairs of blocks that have a node in common."""
+    placed, shared = _placed(candidates, matched, block)
+    met = shared.select("node", "block").distinct()
     pairs = met.withColumnRenamed("block", "i").join(met.withColumnRenamed("block", "j"), "node").where("i < j").select("i", "j").distinct()
-    placed = materialize(one.unionAll(many))
-    alone = placed.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct()
-    return placed, materialize(alone.unionAll(pairs))
+    return verify(_members(docs, placed, materialize(_alone(placed).unionAll(pairs))))
+
+
+def _ties(docs: DataFrame, candidates: DataFrame, matched: DataFrame, block: int) -> DataFrame:
+    """verify() of as many pairs of blocks as the classes need: each block, and each block with the first of every node
+    that it has; then, of nodes whose documents aren't of one class by then, the pairs of blocks that hold several. A
+    group of near copies of one text is mostly one class after the first step, which grows with the group, not with its
+    square; the links that are left out lie within a class."""
+    placed, shared = _placed(candidates, matched, block)
+    met = shared.select("node", "block").distinct()
+    first = met.groupBy("node").agg(F.min("block").alias("i"))
+    stars = met.join(first, "node").where("i < block").select("i", F.col("block").alias("j")).distinct()
+    begun = materialize(_alone(placed).unionAll(stars))
+    found = materialize(verify(_members(docs, placed, begun)))
+    if begun.where("i < j").isEmpty():
+        return found
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    root = F.coalesce("root", "id")
+    held = shared.join(roots, "id", "left").groupBy("node", "block").agg(F.min(root).alias("lo"), F.max(root).alias("hi"))
+    held = materialize(held)
+    mixed = held.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("node")
+    held = held.join(mixed, "node", "left_semi")
+    i, j = (held.select("node", F.col("block").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "ij")
+    several = F.least("lo_i", "lo_j") < F.greatest("hi_i", "hi_j")
+    pairs = i.join(j, "node").where((F.col("i") < F.col("j")) & several).select("i", "j").distinct()
+    pairs = materialize(pairs.join(begun, ["i", "j"], "left_anti"))
+    return found.unionAll(verify(_members(docs, placed, pairs)))
 
 
 def _members(docs: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -299,8 +333,9 @@ class Joined:
     depths: list[int]
 
 
-def join(docs: DataFrame, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = DEEPEST, floor: int = FLOOR, block: int = BLOCK) -> Joined:
-    """The links between different sets; see similar_classes(). From deepest to floor there are 8 levels at most."""
+def join(docs: DataFrame, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = DEEPEST, floor: int = FLOOR, block: int = BLOCK, count: bool = True) -> Joined:
+    """The links between different sets; see similar_classes(). From deepest to floor there are 8 levels at most.
+    count: find all links; otherwise those that make the classes, and links are only counted as far as met."""
     if not 0 < floor <= deepest <= floor + 8:
         raise ValueError("levels below the floor are 8 bits each of one bigint")
     rows = materialize(signatures(docs, trees, floor, deepest))
@@ -324,7 +359,7 @@ def join(docs: DataFrame, target: float = TARGET_RECALL, trees: int = TREES, dee
             same = state.join(before, state.columns, "left_semi").where((F.col("docs") <= block) & (F.col("shingles") <= SHINGLES))
             old = candidates.join(same.select("root"), "root", "left_semi").select("id")
             found, todo = found.join(old, "id", "left_semi"), candidates.join(same.select("root"), "root", "left_anti")
-        new = verify(_members(docs, *_blocks(todo, matched, block)))
+        new = (_links if count else _ties)(docs, todo, matched, block)
         found, before = materialize(new if found is None else found.unionAll(new)), state
         percents = found.agg(*(F.coalesce(F.sum(F.get("percents", F.lit(k))), F.lit(0)) for k in range(101 - PERCENT))).first()
         if depth == floor or recall(percents, trees, depth, depth) >= target:
@@ -366,8 +401,9 @@ def similar_classes(docs: DataFrame, **how) -> DataFrame:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns as they are, that stand for their class: its smallest doc_id. Of repeated rows of
-    that doc_id, the first by text stays. Only texts that may go are shuffled. See similar_classes() for all else."""
-    classes = similar_classes(docs, **how)
+    that doc_id, the first by text stays. Only texts that may go are shuffled. Links within a class aren't counted, so a
+    large group of near copies takes no work in its square. See similar_classes() for all else."""
+    classes = similar_classes(docs, **{"count": False} | how)
     id_ = F.coalesce("doc_id", F.lit(NULL_ID))
     ids = classes.groupBy(id_.alias("__id")).agg(F.count("*").alias("__rows"), F.min(F.coalesce("class_id", F.lit(NULL_ID))).alias("__class"))
     odd = materialize(ids.where("__id <> __class OR __rows > 1").select("__id", (F.col("__id") == F.col("__class")).alias("__stays")))
