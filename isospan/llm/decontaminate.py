@@ -123,6 +123,21 @@ def _passes(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found
 
 
+def unchecked(benchmark: DataFrame) -> DataFrame:
+    """item_id, n_tokens of each row of the benchmark that has too few tokens to be checked, null and empty texts
+    among them; null item_ids stay null, repeated rows repeat, and an empty table gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Hashes()
+        for b in parts(batches):
+            owner = tokens(texts(b), words)[1]
+            n = np.bincount(owner, minlength=b.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=["item_id", "n_tokens"])
+
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "item_id bigint, n_tokens bigint").where(F.col("n_tokens") < LEAST_ITEM)
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """item (a number for each row), item_id, n, tokens (hashes of 64 bits), without items of too few tokens."""
 
@@ -253,7 +268,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     run starts in the document's and the item's tokens, and its length.
 
     Null or empty texts, on either side, hold no tokens and overlap nothing; items of fewer than LEAST_ITEM tokens
-    aren't checked; null ids stay null; repeated documents give repeated rows, repeated items don't; with an empty table
+    aren't checked (unchecked() lists them); null ids stay null; repeated documents give repeated rows, repeated items don't; with an empty table
     on either side there are no rows. Further columns are left out. When an item overlaps a document in several places,
     the run with most equal tokens, then the first, counts.
     """

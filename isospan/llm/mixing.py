@@ -31,12 +31,14 @@ DECIMALS = 5
 LEAST_BLOCK = 64
 #: Parts of a source by hash, of which its blocks are made.
 CELLS = 1 << 16
+#: Steps of the chance with which the document at the end of a budget is taken.
+CHANCE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Target:
     """entropy: as a part of the largest, that of equal weights. repeats: how often the source that repeats most may
-    do so. tokens: of the mixture in all, or None. seed: of the permutations. mix_blocks: parts of the mixture, each with
+    do so. tokens: expected of the mixture in all, or None. seed: of the permutations. mix_blocks: parts of the mixture, each with
     every source in its weight."""
 
     entropy: float | None = 0.9
@@ -132,8 +134,10 @@ def mix_sources(docs: DataFrame, target: Target = Target()) -> DataFrame:
     the source), copy (from 0), mix_block and slot, which replace columns of docs so named.
 
     To read the mixture, go through mix_block and within it through slot; every mix_block has each source in its
-    weight. Without a token budget each document is in it once at least. Of the last, partial pass through a source
-    there are the documents that start within its budget, so it is overrun by less than one document.
+    weight. Without a token budget each document is in it once at least, and of the last, partial pass through a source
+    there are the documents that start within its budget, so it is overrun by less than one document. With one, the
+    document at the end of a source's budget is drawn with the part of it that lies within as its chance, so that the
+    tokens of each source are expected to be just its budget; realised() tells what they are.
 
     A null source is a source of its own. A null or empty text counts as one token. Null doc_ids are told apart by
     text. Rows equal in doc_id, source and tokens may change places with each other. An empty table gives none.
@@ -171,6 +175,11 @@ def mix_sources(docs: DataFrame, target: Target = Target()) -> DataFrame:
         .withColumn("__at", F.col("copy") * F.col("__all") + F.col("__start") + F.col("__within"))
         .where(F.col("__at") < F.col("__budget"))
     )
+    if target.tokens is not None:
+        # In whole numbers; a document that lies within as a whole is always taken.
+        chance = F.col("__tokens") * (drawn(target, F.lit("edge"), "copy", "__id") % CHANCE)
+        within = F.least(F.col("__tokens"), F.col("__budget") - F.col("__at"))
+        placed = placed.where(chance < within * CHANCE)
     mix_block = F.floor(F.col("__at") / F.col("__budget") * F.lit(target.mix_blocks)).cast("bigint")
     return placed.select(
         *docs.columns,
@@ -180,3 +189,12 @@ def mix_sources(docs: DataFrame, target: Target = Target()) -> DataFrame:
         mix_block.alias("mix_block"),
         "slot",
     )
+
+
+def realised(mixture: DataFrame) -> DataFrame:
+    """What a mixture came to, by source: source, weight, n_docs, n_tokens, share (of all tokens). A null source is one
+    of its own; a source of which the mixture has no document isn't listed; an empty mixture gives none."""
+    sums = mixture.groupBy("source").agg(F.max("weight").alias("weight"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    sums = materialize(sums)
+    every = sums.agg(F.sum("n_tokens").alias("every"))
+    return sums.crossJoin(F.broadcast(every)).select("source", "weight", "n_docs", "n_tokens", (F.col("n_tokens") / F.col("every")).alias("share"))

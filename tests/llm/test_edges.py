@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+import tokenizers
 
 import corpus_pipeline
 from isospan.llm import (
@@ -95,12 +96,66 @@ def test_odd_tables(docs, labels, benchmark, name):
         assert all(r.score < 0 and r.base_score < 0 and r.n_tokens >= 1 for r in rows)
 
 
+def test_values_on_odd_tables(spark, docs, labels, benchmark):
+    """What each operator says of null, empty, blank and repeated texts."""
+    run = operators(labels, benchmark)
+    by = lambda name: {r.doc_id: r for r in run[name](docs).collect()}
+    counts = by("token_counts")
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    for k, t, *_ in TEXTS:
+        if k is not None:
+            n = len(library.encode(t or "", add_special_tokens=False).ids)
+            assert (counts[k].n_tokens, counts[k].n_bytes, counts[k].over_limit) == (n, len((t or "").encode()), n > 512), k
+    rules = by("quality_rules")
+    assert {k: rules[k].n_words for k in (1, 3, 4, 5, 6, 7, 8)} == {1: 10, 3: 0, 4: 0, 5: 0, 6: 60_000, 7: 1, 8: 13}
+    assert [rules[k].n_dup_lines for k in (3, 4, 8)] == [0, 0, 1] and not rules[3].kept and rules[6].kept
+    pii_rows = by("pii")
+    assert [pii_rows[k].spans for k in (3, 4, 6, 7)] == [""] * 4 and (pii_rows[9].n_email, pii_rows[9].n_phone) == (1, 1)
+    scores = by("quality_classifier")
+    assert all(scores[k].n_tokens == 1 for k in (3, 4, 5)) and scores[3].lang == "en" and scores[2].lang == ""
+    assert scores[4].log_prob == scores[3].log_prob == scores[5].log_prob < 0
+    passages = by("substring_dedup")
+    assert all(passages[k].n_removed == 0 for k in (3, 4, 5, 6, 7, 9)) and passages[2].n_removed == 1 and passages[2].text.strip() == ""
+    mixed = by("mixing")
+    assert all(mixed[k].n_tokens == 1 for k in (3, 4, 5)) and mixed[6].n_tokens == 60_000
+    few = sorted(((r.item_id, r.n_tokens) for r in decontaminate.unchecked(benchmark).collect()), key=str)
+    assert few == [(3, 0), (None, 0)] and decontaminate.unchecked(benchmark.limit(0)).count() == 0
+
+
+def test_rest_of_the_interface_on_odd_tables(docs, benchmark):
+    every = len(TEXTS)
+    ids = lambda rows: sorted((r.doc_id for r in rows.collect()), key=str)
+    assert ids(decontaminate.clean(docs, benchmark)) == ids(docs.where("doc_id IS NULL OR doc_id > 2"))
+    assert decontaminate.clean(docs, benchmark.limit(0)).count() == every and decontaminate.clean(docs.limit(0), benchmark).count() == 0
+    assert ids(quality_rules.keep(docs, quality_rules.POLICIES[quality_rules.CURRENT])) == [6]
+    assert quality_rules.keep(docs.limit(0), quality_rules.BASE).count() == 0
+    redacted = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert redacted[9].endswith("mail [email] or [phone]") and redacted[3] in (None, "") and redacted[4] == "" and redacted[6] == LONG
+    assert pii.redact(docs).count() == every and pii.redact(docs.limit(0)).count() == 0
+    left = ngram_join.keep_one(docs)
+    # The rows without an id are one document, of which one text is empty: a copy of 3.
+    assert ids(left) == [1, 3, 6, 7, 8, 9] and left.schema == docs.schema and ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
 def test_stages_keep_columns(spark, docs, tmp_path):
+    """Each stage on odd rows, and one on what the others leave: columns, rows and session settings."""
     spark.createDataFrame([(1, "nothing")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for source in (docs, docs.limit(0)):
-        left = source
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            left = stage(spark, left, str(tmp_path))
-            if k < 4:
-                assert left.schema == docs.schema
-        assert left.count() >= 0
+    rows = {
+        "quality_rules": [6],
+        "line_dedup": [i for i, *_ in TEXTS],
+        "ngram_join": [1, 3, 6, 7, 8, 9],
+        "decontamination": [i for i, *_ in TEXTS],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, str(tmp_path))
+        assert left.schema == docs.schema and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert sorted((r.doc_id for r in left.collect()), key=str) == sorted(rows[name], key=str), name
+    lines = {(r.doc_id, r.source): r for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert lines[3, None].text is None and lines[3, None].n_chars is None and lines[4, "a"].text == ""
+    assert lines[1, "a"].text == TEXTS[0][1] and lines[8, "c"].text == TEXTS[10][1] and lines[None, None].doc_id is None
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    asked = {key: spark.conf.get(key) for key in corpus_pipeline.BATCHES}
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {key: spark.conf.get(key) for key in corpus_pipeline.BATCHES} == asked
+    assert [(r.doc_id, r.text == LONG, r.weight, r["copy"], r.n_tokens) for r in mixed] == [(6, True, 1.0, 0, 60_000)]

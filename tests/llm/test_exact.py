@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -69,6 +70,27 @@ def test_ngram_join(spark, block):
         assert sorted(kept) == sorted(set(root.values()))
 
 
+def test_classes_without_links_within(spark, monkeypatch):
+    """A large group of near copies and others that only meet it: the same classes as by all links, from a number of
+    block pairs that grows with the group instead of its square."""
+    texts, rng = invented(6, seed=12, words=900)
+    base, texts = texts[0].split() * 2, texts[1:]
+    for k in range(900):
+        w = list(base)
+        for _ in range(1 if k % 9 else 12):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs, asked = frame(spark, texts), []
+    members = ngram_join._members
+    monkeypatch.setattr(ngram_join, "_members", lambda d, placed, pairs: asked.append(pairs.where("i < j").count()) or members(d, placed, pairs))
+    want = sorted({r.class_id for r in ngram_join.similar_classes(docs, block=16).collect()})
+    every, asked = sum(asked), []
+    monkeypatch.setattr(ngram_join, "_members", lambda d, placed, pairs: asked.append(pairs.where("i < j").count()) or members(d, placed, pairs))
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs, block=16).collect()) == want
+    print("pairs of blocks", every, asked, len(want))
+    assert 5 < len(want) < 400 and sum(asked) < every / 4
+
+
 def test_prefixes_are_shortened(spark):
     """Few trees and a deep start miss links, so matched prefixes are shortened until the target is reached."""
     texts, rng = invented(150, seed=4, words=4000)
@@ -297,6 +319,16 @@ def test_token_counts(spark):
     assert all(got[k].n_bytes == len(t.encode()) and got[k].over_limit == (want[k] > 512) for k, t in enumerate(texts))
 
 
+def test_the_last_sequence_to_merge_is_counted():
+    """A pre-token that is alone in its last step and becomes one token there."""
+    merges = token_counts.Merges(public_tokenizers.path("byte_bpe_50k.json"))
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [" the", "a", " international", " w1", " responsibilities", "!!", " w59999"]
+    want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert merges.counts([w.encode() for w in words]).tolist() == want
+    assert [merges.counts([w.encode()]).tolist() for w in words] == [[n] for n in want]
+
+
 def test_substring_dedup(spark):
     texts, _ = invented(40, words=4000)
     passage, line = texts[0], " ".join(f"a repeated line of twenty words {k}" for k in range(3))
@@ -542,6 +574,8 @@ def test_decontamination_of_short_items(spark):
     assert all(rows[len(cases) + k] == ([], 0) for k in range(len(fewer)))
     left = decontaminate.clean(frame(spark, ["the odd odd ones"]), benchmark)
     assert left.count() == 1
+    few = {r.item_id: r.n_tokens for r in decontaminate.unchecked(benchmark).collect()}
+    assert few == {k: n for k, (n, *_) in enumerate(cases + fewer) if n < 8} | {90: 1, 91: 2}
 
 
 def test_masks_miss_nothing():
@@ -651,13 +685,26 @@ def test_mixing_to_a_budget(spark):
                 at = copy * n
                 for b in sorted(set(block.values()), key=lambda b: (draw("block", copy, b), b)):
                     for k in sorted((k for k in own if block[k] == b), key=lambda k: draw("slot", copy, k)):
-                        if at < budget:
+                        if at + size[k] <= budget or at < budget and size[k] * (draw("edge", copy, k) % 2**20) < (budget - at) * 2**20:
                             want.append((copy, k))
                         at += size[k]
             assert sorted(x[:2] for x in got[s]) == sorted(want)
             assert all(abs(x[3] - weights(a)[s]) < 1e-9 and x[2] == draw("slot", *x[:2]) for x in got[s])
 
 
+def test_budgets_are_met_on_average(spark):
+    """200 sources of one document of 100 words, of which each may give 35: about 70 documents, not all 200."""
+    rows = [(k, " ".join(["word"] * 100), f"s{k}") for k in range(200)]
+    docs = spark.createDataFrame([*rows, (200, "none", None)], "doc_id bigint, text string, source string")
+    mixed = mixing.mix_sources(docs.where("doc_id < 200"), mixing.Target(entropy=1.0, repeats=None, tokens=7000))
+    rows = mixing.realised(mixed).collect()
+    assert 50 <= len(rows) <= 90 and all(r.n_docs == 1 and r.n_tokens == 100 and r.weight == 0.005 for r in rows)
+    assert abs(sum(r.share for r in rows) - 1) < 1e-9
+    all_of = {r.source: (r.n_docs, r.n_tokens, r.share) for r in mixing.realised(mixing.mix_sources(docs, mixing.Target(None, None))).collect()}
+    assert all_of[None] == (1, 1, 1 / 20001) and len(all_of) == 201
+    assert mixing.realised(mixed.limit(0)).count() == 0
+
+
 def test_pipeline(spark, sf):
     docs = queries.table(spark, sf, "documents")
     rows, step = {r.doc_id: r for r in docs.collect()}, docs
