@@ -401,9 +401,9 @@ def similar_classes(docs: DataFrame, **how) -> DataFrame:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns as they are, that stand for their class: its smallest doc_id. Of repeated rows of
-    that doc_id, the first by text stays. Only texts that may go are shuffled. Links within a class aren't counted, so a
-    large group of near copies takes no work in its square. See similar_classes() for all else."""
-    classes = similar_classes(docs, **{"count": False} | how)
+    that doc_id, the first by text stays. Only texts that may go are shuffled. With count=False links within a
+    class are left out, and a large group of near copies takes no work in its square. See similar_classes()."""
+    classes = similar_classes(docs, **how)
     id_ = F.coalesce("doc_id", F.lit(NULL_ID))
     ids = classes.groupBy(id_.alias("__id")).agg(F.count("*").alias("__rows"), F.min(F.coalesce("class_id", F.lit(NULL_ID))).alias("__class"))
     odd = materialize(ids.where("__id <> __class OR __rows > 1").select("__id", (F.col("__id") == F.col("__class")).alias("__stays")))

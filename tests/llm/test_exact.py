@@ -86,8 +86,7 @@ def test_classes_without_links_within(spark, monkeypatch):
     want = sorted({r.class_id for r in ngram_join.similar_classes(docs, block=16).collect()})
     every, asked = sum(asked), []
     monkeypatch.setattr(ngram_join, "_members", lambda d, placed, pairs: asked.append(pairs.where("i < j").count()) or members(d, placed, pairs))
-    assert sorted(r.doc_id for r in ngram_join.keep_one(docs, block=16).collect()) == want
-    print("pairs of blocks", every, asked, len(want))
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs, block=16, count=False).collect()) == want
     assert 5 < len(want) < 400 and sum(asked) < every / 4
 
 
