@@ -88,3 +88,11 @@ def test_compare(spark):
     rows = lambda x: spark.createDataFrame([(0, s, t) for s, t in x.items()], "qid bigint, stop_id bigint, arrival_sec bigint")
     changed = impact.compare(rows({1: 0, 2: 60, 3: 60, 4: 60, 5: 60}), rows({1: 0, 2: 120, 3: 119, 6: 5}), 1, removed=[5])
     assert {r.stop_id: r.status for r in changed.collect()} == {1: "unaffected", 2: "degraded", 3: "unaffected", 4: "lost", 5: "removed", 6: "new"}
+
+
+def test_thinning_a_route_of_many_trips(spark):
+    """Place times trips that go is beyond 32 bits."""
+    n = 90_000
+    rows = spark.range(n).selectExpr("named_struct('part', 0, 'trip', id, 'seq', 0L) AS ord", "1L AS from_stop", "2L AS to_stop", "id AS departure_sec", "id + 10 AS arrival_sec", "10L AS travel_time", "id AS trip_id", "'R' AS route_id", "'bus' AS edge_type")
+    left = {r.trip_id for r in scenario.thin_all(Network(rows, None, None), 0.3).bus.select("trip_id").collect()}
+    assert left == set(range(n)) - {int(i * (n / 27_000)) for i in range(27_000)}
