@@ -70,3 +70,16 @@ def test_nearest_of_all(spark):
     assert {i: j for i, (j, _) in got.items()} == {i: j for i, (_, j) in want.items()}
     assert all(abs(got[i][1] - want[i][0]) < 1e-3 for i in want)
     assert spatial.nearest_of_all(left, right.limit(0), "i", "j").count() == 0 == spatial.nearest_of_all(left.limit(0), right, "i", "j").count()
+
+
+def test_nearest_meets_few_centres_where_they_are_dense(spark, monkeypatch):
+    """Pairs that are made grow with the points, not with points times centres near them; ties and copies too."""
+    a, b = points(600, 5, spread=0.004), points(3000, 6, spread=0.004)
+    b += [(k + 10_000, *p) for k, p in enumerate(x[1:] for x in b[:500])]
+    left, right = spark.createDataFrame(a, "i int, lat double, lon double"), spark.createDataFrame(b, "j int, lat double, lon double")
+    made, plain = [], spatial.pairs_within
+    monkeypatch.setattr(spatial, "pairs_within", lambda *args: made.append(plain(*args)) or made[-1])
+    got = {r.i: r.j for r in spatial.nearest(left, right, 500, "i", "j").collect()}
+    assert got == {p[0]: min((metres(p[1:], q[1:]), q[0]) for q in b)[1] for p in a}
+    assert sum(df.count() for df in made) < 30 * len(a)
+    assert len(got) == spatial.nearest_of_all(left, right, "i", "j").count()
