@@ -177,3 +177,23 @@ def test_zones_have_a_hub(spark, network, queries):
         assert r.trip_id is not None or since == r.departure_sec and (r.pred_stop, r.stop_id, at - since) in edges
     text = scenario.hub_edges(net.stops.withColumn("stop_id", F.concat(F.lit("S"), "stop_id")), "S3", 1200)[1]
     assert text.first().stop_id == "S9 zone"
+
+
+def test_walks_lie_by_zone(spark, network, queries, tmp_path):
+    """Also when kept in a folder, with stops of no position and extra walks; no walk is exchanged."""
+    bus, walk, net = network
+    some = net.stops.where("stop_id <> 3").unionAll(spark.createDataFrame([(4, None, None)], STOPS))
+    edges, walks = spark.createDataFrame(bus, BUS), spark.createDataFrame(walk, WALK)
+    timetable.lay_out(edges, walks, folder=f"{tmp_path}/net", stops=some)
+    table = timetable.open_timetable(spark, f"{tmp_path}/net")
+    assert table.zones.select("zone").distinct().count() > 1 and "zone" in table.walks.columns
+    assert found(reach.search(table, queries)) == wanted(bus, walk)
+    job = reach.Search(table, queries)
+    frontier = job.starts()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(job.walked(frontier))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in text and "Bucketed: true" in text
+    assert found(reach.earliest_arrivals(edges, walks, queries, some)) == wanted(bus, walk)
