@@ -38,3 +38,17 @@ def test_without_the_text_operators(tmp_path):
     env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)}
     out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
     assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE)), "False"], out.stderr
+
+
+def test_only_queries_that_ask_for_edges_build_them(spark, sf, monkeypatch):
+    from isospan.plans import catalog
+
+    def none(*args):
+        raise AssertionError("edges are built")
+
+    monkeypatch.setattr(catalog.network, "build_walk_edges", none)
+    monkeypatch.setattr(catalog, "_edges", {}, raising=False)
+    monkeypatch.setattr(catalog, "_built", {})
+    assert QUERIES["area_summary"](spark, sf).count() == 1
+    assert QUERIES["gtfs_shapes"](spark, sf).count() > 0
+    assert {r.n for r in QUERIES["feed_tables"](spark, sf).where("name = 'calendar_dates'").collect()} == {None}

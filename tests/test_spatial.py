@@ -83,3 +83,16 @@ def test_nearest_meets_few_centres_where_they_are_dense(spark, monkeypatch):
     assert got == {p[0]: min((metres(p[1:], q[1:]), q[0]) for q in b)[1] for p in a}
     assert sum(df.count() for df in made) < 30 * len(a)
     assert len(got) == spatial.nearest_of_all(left, right, "i", "j").count()
+
+
+def test_meshes_of_one_place_are_one_site(spark):
+    """Catchments grow with places and not with the rows there; the numbers are those of all rows."""
+    meshes = spark.createDataFrame([(k, 1.5 + k, 0.25, 42.3 + 0.001 * (k % 4), 140.9) for k in range(200)], "mesh_ord int, pop_t double, pop_65over double, lat double, lon double")
+    stops = spark.createDataFrame([(k, 42.3 + 0.001 * k, 140.9) for k in range(4)], "stop_id int, stop_lat double, stop_lon double")
+    ids = lambda *s: spark.createDataFrame([(0, x) for x in s], "qid int, stop_id int")
+    places = impact.sites(meshes)
+    near, rows = impact.catchments(places, stops, 120), impact.catchments(meshes, stops, 120)
+    assert (near.count(), rows.count()) == (10, 500)
+    assert impact.population_near(places, near, ids(0)).first() == impact.population_near(meshes, rows, ids(0)).first()
+    lost = [impact.affected_population(m, n, ids(2), ids(0, 2)).first() for m, n in ((places, near), (meshes, rows))]
+    assert lost[0] == lost[1] and (lost[0].lost_meshes, lost[0].uncovered_meshes) == (150, 100)
