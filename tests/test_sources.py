@@ -90,3 +90,28 @@ def test_population_with_missing_columns(spark, tmp_path):
     with pytest.raises(sources.MissingColumns) as e:
         sources.read_population(spark, str(tmp_path / "p.csv"))
     assert e.value.missing == ["Pop65over", "PopT"]
+
+
+def test_archives_are_packed_by_tasks(spark, tmp_path, monkeypatch):
+    """Several parts of a table and pieces of a file; every row comes back, in order, and no content comes to the driver."""
+    from pyspark.sql import DataFrame
+
+    from isospan.sources import feed as module
+
+    monkeypatch.setattr(module, "CHUNK", 50)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    for name in FILES:
+        (tmp_path / "plain" / f"{name}.txt").mkdir(parents=True)
+    for name, text in FILES.items():
+        head, *rows = text.splitlines()
+        for k, own in enumerate((rows[:1], rows[1:])):
+            (tmp_path / "plain" / f"{name}.txt" / f"part-{k:05}.csv").write_text("\n".join([head, *own]) + "\n")
+    sources.zip_folders(spark, {"a": f"{tmp_path}/plain", "b": f"{tmp_path}/plain"}, f"{tmp_path}/zips")
+    with zipfile.ZipFile(tmp_path / "zips" / "stops.txt-part-00001.csv" / "a.zip") as z:
+        assert z.testzip() is None and z.read("stops.txt").decode().splitlines()[1:] == FILES["stops"].splitlines()[2:]
+    feeds = sources.unzip(spark, f"{tmp_path}/zips/*/*.zip")
+    assert sorted(feeds) == ["a", "b"]
+    for at in feeds.values():
+        feed = sources.read_gtfs(spark, at)
+        assert [r.stop_id for r in feed.stops.orderBy("stop_ord").collect()] == ["A", "B", "C"]
+        assert feed.stop_times.count() == 6 and feed.shapes.count() == 2 and feed.routes.count() == 2
