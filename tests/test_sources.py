@@ -115,3 +115,23 @@ def test_archives_are_packed_by_tasks(spark, tmp_path, monkeypatch):
         feed = sources.read_gtfs(spark, at)
         assert [r.stop_id for r in feed.stops.orderBy("stop_ord").collect()] == ["A", "B", "C"]
         assert feed.stop_times.count() == 6 and feed.shapes.count() == 2 and feed.routes.count() == 2
+
+
+def test_more_calls_are_dealt_to_more_tasks(spark, sf, tmp_path, monkeypatch):
+    """By trip, once for all the sorts up to the edges, whatever the session's partitions; of feeds from files too."""
+    from pyspark.sql import functions as F
+
+    from isospan import tables
+    from isospan.sources import star
+
+    edges = lambda bus: sorted(tuple(map(str, r)) for r in bus.select("ord.seq", "from_stop", "to_stop", "departure_sec", "arrival_sec", "trip_id", "route_id").collect())
+    feed = star.star_feed(spark, sf)
+    want = edges(network.build_bus_edges(feed))
+    sources.write_gtfs(feed, str(tmp_path / "feed"))
+    monkeypatch.setattr(tables, "SORTED_ROWS", 100, raising=False)
+    for again in (star.star_feed(spark, sf), sources.read_gtfs(spark, str(tmp_path / "feed"))):
+        bus = network.build_bus_edges(again)
+        assert edges(bus) == want
+        most = bus.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < 150 < len(want) / 8
+        assert bus._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
