@@ -135,3 +135,16 @@ def test_more_calls_are_dealt_to_more_tasks(spark, sf, tmp_path, monkeypatch):
         most = bus.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
         assert most < 150 < len(want) / 8
         assert bus._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+
+
+def test_trips_are_not_dealt_by_service(spark, sf):
+    """Of which there are few: most trips would meet in one task."""
+    from isospan.sources import star
+
+    feed = star.star_feed(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        text = network.running_trips(feed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in text and "BroadcastHashJoin" in text
