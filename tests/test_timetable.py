@@ -197,3 +197,20 @@ def test_walks_lie_by_zone(spark, network, queries, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in text and "Bucketed: true" in text
     assert found(reach.earliest_arrivals(edges, walks, queries, some)) == wanted(bus, walk)
+
+
+def test_crowded_zones_are_parted(spark, network, queries, monkeypatch):
+    """Evenly, by their squares; stops in one place stay together, others keep their zone, and arrivals are the same."""
+    bus, walk, net = network
+    crowd = [(100 + k, 42.0001 + k % 20 / 2500, 141.0001 + k // 20 / 2000) for k in range(400)] + [(600 + k, 42.5, 141.0) for k in range(30)]
+    stops = net.stops.unionAll(spark.createDataFrame(crowd, STOPS))
+    whole = {r.stop_id: r.zone for r in timetable.zones_of(stops)[0].collect()}
+    monkeypatch.setattr(timetable, "CROWDED", 600, raising=False)
+    zones, buckets = timetable.zones_of(stops)
+    parts = {r.stop_id: r.zone for r in zones.collect()}
+    size = lambda zone: sum(z == zone for z in parts.values())
+    assert len(parts) == 442 and buckets == 8
+    assert max(size(parts[k]) for k in range(100, 500)) < 60 < max(list(whole.values()).count(whole[k]) for k in range(100, 500))
+    assert len({parts[k] for k in range(600, 630)}) == 1
+    assert all(whole[a] == whole[b] for a in parts for b in parts if parts[a] == parts[b])
+    assert found(reach.earliest_arrivals(spark.createDataFrame(bus, BUS), spark.createDataFrame(walk, WALK), queries, stops)) == wanted(bus, walk)
