@@ -117,8 +117,10 @@ def test_archives_are_packed_by_tasks(spark, tmp_path, monkeypatch):
         assert feed.stop_times.count() == 6 and feed.shapes.count() == 2 and feed.routes.count() == 2
 
 
-def test_more_calls_are_dealt_to_more_tasks(spark, sf, tmp_path, monkeypatch):
-    """By trip, once for all the sorts up to the edges, whatever the session's partitions; of feeds from files too."""
+@pytest.mark.parametrize("limit", ["10m", "4k"])
+def test_more_calls_are_dealt_to_more_tasks(spark, sf, tmp_path, monkeypatch, limit):
+    """By trip, once for all the sorts up to the edges, whatever the session's partitions; of feeds from files too, and
+    whether trips are sent to them or not."""
     from pyspark.sql import functions as F
 
     from isospan import tables
@@ -129,12 +131,16 @@ def test_more_calls_are_dealt_to_more_tasks(spark, sf, tmp_path, monkeypatch):
     want = edges(network.build_bus_edges(feed))
     sources.write_gtfs(feed, str(tmp_path / "feed"))
     monkeypatch.setattr(tables, "SORTED_ROWS", 100, raising=False)
-    for again in (star.star_feed(spark, sf), sources.read_gtfs(spark, str(tmp_path / "feed"))):
-        bus = network.build_bus_edges(again)
-        assert edges(bus) == want
-        most = bus.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
-        assert most < 150 < len(want) / 8
-        assert bus._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        for again in (star.star_feed(spark, sf), sources.read_gtfs(spark, str(tmp_path / "feed"))):
+            bus = network.build_bus_edges(again)
+            assert edges(bus) == want
+            most = bus.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+            assert most < 150 < len(want) / 8
+            assert bus._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2  # calls, trips
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_trips_are_not_dealt_by_service(spark, sf):
