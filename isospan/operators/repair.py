@@ -37,11 +37,14 @@ def repair(table: Timetable, queries: DataFrame, arrivals: DataFrame, used: Data
     # Into what was reset, from stops that keep their arrival.
     into = reset.withColumnRenamed("stop_id", "to_stop")
     rides = into.join(job.table.trips, "to_stop").where("arrives <= deadline").join(gone, ["scenario", "trip_id"], "left_anti")
-    walks = into.join(job.table.walks, "to_stop")
     kept = before.withColumnRenamed("before_sec", "since")
     came = lambda e: e.join(reset.select("scenario", "qid", "stop_id"), ["scenario", "qid", "stop_id"], "left_anti").join(kept, ["qid", "stop_id"])
     got = lambda e, at: e.select("qid", "scenario", F.col("to_stop").alias("stop_id"), "deadline", at.alias("arrival_sec"))
-    seeds = got(came(rides).where("since <= departure_sec"), F.col("arrives")).unionAll(got(came(walks), F.col("since") + F.col("walk_time")))
+    if job.grounded():
+        walked = job.pulled(reset, before).select(job.row)
+    else:
+        walked = got(came(into.join(job.table.walks, "to_stop")), F.col("since") + F.col("walk_time"))
+    seeds = got(came(rides).where("since <= departure_sec"), F.col("arrives")).unionAll(walked)
     found = job.fixpoint(job._best(seeds.where("arrival_sec <= deadline")).select(job.row), reset.select(job.key))
     after = found.groupBy("scenario", "qid", "stop_id").agg(F.min("arrival_sec").alias("after_sec"))
     return reset.join(before, ["qid", "stop_id"]).join(after, ["scenario", "qid", "stop_id"], "left").select("scenario", "qid", "stop_id", "before_sec", "after_sec")
