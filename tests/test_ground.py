@@ -102,3 +102,16 @@ def test_no_ground(spark):
     table = timetable.lay_out(bus, network.stop_pairs(texts, 300.0), stops=texts, metres=300.0)
     asked = spark.createDataFrame([("q", "a", 0, 300)], "qid string, start_stop string, t0 bigint, budget bigint")
     assert found(reach.search(table, asked)) == {("q", "a"): 0, ("q", "b"): 99}
+
+
+def test_queries_share_catchments(spark):
+    """A mesh meets what queries reach a stop once, however many they are."""
+    rng = random.Random(1)
+    reached = {(q, s) for q in range(6) for s in rng.sample(range(40), 30)} | {(q, s) for q in range(6) for s in (50, 51)}
+    near = {(s, m) for s in range(60) for m in rng.sample(range(25), 4)}
+    catchment, ids = spark.createDataFrame(list(near), "stop_id bigint, mesh_ord bigint"), spark.createDataFrame([(*r, 0) for r in reached], "qid bigint, stop_id bigint, arrival_sec bigint")
+    meshes = spark.createDataFrame([(m, float(m), 1.0) for m in range(25)], "mesh_ord bigint, pop_t double, pop_65over double")
+    met = {(q, m) for q, s in reached for t, m in near if s == t}
+    found_ = impact.population_near(meshes, catchment, ids)
+    assert {r.qid: (r.total, r.mesh_count) for r in found_.collect()} == {q: (sum(m for p, m in met if p == q), sum(p == q for p, _ in met)) for q in range(6)}
+    assert "collect_set(qid" in found_._jdf.queryExecution().executedPlan().toString()
