@@ -115,3 +115,12 @@ def test_queries_share_catchments(spark):
     found_ = impact.population_near(meshes, catchment, ids)
     assert {r.qid: (r.total, r.mesh_count) for r in found_.collect()} == {q: (sum(m for p, m in met if p == q), sum(p == q for p, _ in met)) for q in range(6)}
     assert "collect_set(qid" in found_._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_hours_of_queries_are_read(spark):
+    bus = [((0, h, 0), 0, 1, 3600 * h + 60, 3600 * h + 120, 60, h, "R", "bus") for h in range(10)]
+    table = timetable.lay_out(spark.createDataFrame(bus, BUS), spark.createDataFrame([], WALK))
+    asked = spark.createDataFrame([(0, 0, 3600, 600), (1, 0, 8 * 3600, 600)], ASKED)
+    job = reach.Search(table, asked)
+    assert found(job.run()) == {(0, 0): 3600, (0, 1): 3720, (1, 0): 28800, (1, 1): 28920}
+    assert sorted(r.trip_id for r in job.table.trips.collect()) == [1, 8]
